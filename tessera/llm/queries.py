@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, mixing
+from tessera.llm import bpe, exact_dedup, lattice_lm, mixing, toxicity
 from tessera.llm.common import table
 
 
@@ -16,9 +16,17 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": lambda s, d: toxicity.op2(table(s, d, "documents"), table(s, d, "labels")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3(table(s, d, "documents")),
+        "op4_lattice_lm": lambda s, d: lattice_lm.op4(table(s, d, "documents"), piece_bpe()),
         "op8_mixing": lambda s, d: mixing.op8(table(s, d, "documents")),
         "op10_bpe": lambda s, d: bpe.op10(table(s, d, "documents"), word_bpe()),
     }
