@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, lattice_lm, mixing, near_dedup, substring_dedup, toxicity
+from tessera.llm import bpe, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, toxicity
 from tessera.llm.common import table
 
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": lambda s, d: toxicity.op2(table(s, d, "documents"), table(s, d, "labels")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3(table(s, d, "documents")),
         "op4_lattice_lm": lambda s, d: lattice_lm.op4(table(s, d, "documents"), piece_bpe()),
+        "op5_hnsw": lambda s, d: hnsw.op5(table(s, d, "embeddings")),
+        "op6_html_extract": lambda s, d: html_extract.op6(table(s, d, "pages")),
         "op7_substring_dedup": lambda s, d: substring_dedup.op7(table(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.op8(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: near_dedup.op9(table(s, d, "documents")),
