@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, toxicity
+from tessera.llm import bpe, chat_tools, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, toxicity
 from tessera.llm.common import table
 
 
@@ -24,6 +24,7 @@ def piece_bpe() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_tools": lambda s, d: chat_tools.op1(table(s, d, "conversations")),
         "op2_toxicity": lambda s, d: toxicity.op2(table(s, d, "documents"), table(s, d, "labels")),
         "op3_exact_dedup": lambda s, d: exact_dedup.op3(table(s, d, "documents")),
         "op4_lattice_lm": lambda s, d: lattice_lm.op4(table(s, d, "documents"), piece_bpe()),
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+    return {"op1_chat_tools": chat_tools.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
