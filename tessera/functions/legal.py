@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.text import collapse, system_slug
 
@@ -158,9 +159,11 @@ def _provision(text: str | None) -> dict | None:
     return key
 
 
-@F.pandas_udf("artigo int, sufixo int, paragrafo int, paragrafo_sufixo int, inciso int, alinea int, item int")
+PROVISION = ["artigo", "sufixo", "paragrafo", "paragrafo_sufixo", "inciso", "alinea", "item"]
+
+
+@F.pandas_udf(StructType([StructField(x, IntegerType()) for x in PROVISION]))
 def provision_key(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The seven numbers a provision is sorted by; all null if it names no article. Absent parts are 0 and sort first."""
-    names = ["artigo", "sufixo", "paragrafo", "paragrafo_sufixo", "inciso", "alinea", "item"]
     for x in texts:
-        yield pd.DataFrame([_provision(t) or dict.fromkeys(names) for t in x], columns=names).astype("Int32")
+        yield pd.DataFrame([_provision(t) or dict.fromkeys(PROVISION) for t in x], columns=PROVISION).astype("Int32")

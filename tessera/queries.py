@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import legal as G
 from tessera.functions import text as T
 from tessera.operators import citations as C
 from tessera.operators import lexical as L
+from tessera.operators import pii as P
 from tessera.operators import relational as R
 from tessera.operators import vector as V
 from tessera.operators.graph import connected_components
+from tessera.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -367,3 +370,226 @@ def g_related_docs(s, d):
 @query(M.format(least=2) + TOP + ", bb AS (SELECT a AS key FROM p UNION SELECT b FROM p), n AS (SELECT 0 AS part, 0 AS rank, key::VARCHAR AS id FROM bb UNION ALL SELECT 1, row_number() OVER (ORDER BY docs DESC, theme) - 1, theme::VARCHAR FROM top) SELECT (row_number() OVER (ORDER BY part, rank, id) - 1)::INT AS idx, part, id FROM n")
 def g_node_index(s, d):
     return C.node_index(C.backbone_of(C.cocitation_pairs(mentions(s, d), 3, 2)), C.top_themes(themes(s, d), 16))
+
+
+# ---- citations, keys, HTML
+CITED = "CASE l_partkey % 5 WHEN 0 THEN 'Art. ' || (l_linenumber + 1) || ', inciso iv do RICMS' WHEN 1 THEN 'Lei nº 8.' || (100 + l_linenumber) || '/89, art. ' || l_linenumber || 'º' WHEN 2 THEN 'Convênio ICMS ' || l_linenumber || '/' || (10 + l_suppkey % 80) WHEN 3 THEN 'o referido decreto' ELSE 'Constituição Federal, art. 155, § ' || l_linenumber END"
+
+
+def cited(s, d):
+    n = F.col("l_linenumber")
+    k = F.col("l_partkey") % 5
+    text = F.when(k == 0, F.concat(F.lit("Art. "), n + 1, F.lit(", inciso iv do RICMS"))).when(k == 1, F.concat(F.lit("Lei nº 8."), 100 + n, F.lit("/89, art. "), n, F.lit("º"))).when(k == 2, F.concat(F.lit("Convênio ICMS "), n, F.lit("/"), 10 + F.col("l_suppkey") % 80)).when(k == 3, F.lit("o referido decreto")).otherwise(F.concat(F.lit("Constituição Federal, art. 155, § "), n))
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("texto"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN 'ricms-rs:art' || (l_linenumber + 1) || ':incIV' WHEN 1 THEN 'lei:8' || (100 + l_linenumber) || '/89:art' || l_linenumber WHEN 2 THEN 'convenio:' || l_linenumber || '/' || (10 + l_suppkey % 80) WHEN 4 THEN 'cf:art155:§' || l_linenumber END AS canon_key FROM lineitem")
+def c_canon_citation(s, d):
+    return cited(s, d).select("l_orderkey", "l_linenumber", G.canonical_citation(F.col("texto"))["canon_key"].alias("canon_key"))
+
+
+@query("SELECT CASE l_partkey % 5 WHEN 0 THEN 'RICMS' WHEN 1 THEN 'Lei/LC' WHEN 2 THEN 'Convênio/Protocolo' ELSE 'Constituição/EC' END AS family, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey % 5 <> 3 GROUP BY 1")
+def c_family_rollup(s, d):
+    rows = cited(s, d).select(G.canonical_citation(F.col("texto"))["canon_key"].alias("k")).filter("k is not null")
+    return rows.groupBy(G.family(F.col("k")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'e-cac' WHEN 1 THEN 'dte' WHEN 3 THEN 'sistema-' || p_partkey WHEN 4 THEN 'nf-e' END AS canon_key FROM part")
+def c_canon_system(s, d):
+    k = F.col("p_partkey") % 6
+    text = F.when(k == 0, " Portal  e-CAC").when(k == 1, "Domicílio Tributário Eletrônico (DTE)").when(k == 2, "Receita Estadual").when(k == 3, F.concat(F.lit("Sistema "), F.col("p_partkey"))).when(k == 4, "Nota Fiscal Eletrônica").otherwise("telefone")
+    return read(s, d, "part").select("p_partkey", G.canonical_system(text).alias("canon_key"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (CASE WHEN o_orderkey % 100 > 30 THEN 1900 ELSE 2000 END + o_orderkey % 100)::INT WHEN o_orderkey % 3 = 1 THEN 2019 END AS year, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey::INT END AS seq FROM orders")
+def c_chrono_key(s, d):
+    k, n = F.col("o_orderkey") % 3, F.col("o_orderkey")
+    number = F.when(k == 0, F.concat(F.lit("Parecer "), n, F.lit("/"), F.lpad((n % 100).cast("string"), 2, "0"))).when(k == 1, F.concat(F.lit("Nº "), n, F.lit("/2019"))).otherwise("sem número")
+    key = G.chronological_key(number)
+    return read(s, d, "orders").select("o_orderkey", key["year"].alias("year"), key["seq"].alias("seq"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY year(o_orderdate) DESC, o_orderkey DESC))::INT AS n FROM orders WHERE o_orderkey <= 1000")
+def c_chrono_sort(s, d):
+    rows = read(s, d, "orders").filter("o_orderkey <= 1000").withColumn("k", G.chronological_key(F.concat("o_orderkey", F.lit("/"), F.year("o_orderdate"))))
+    order = Window.orderBy(F.col("k").isNull(), F.desc("k.year"), F.desc("k.seq"), "o_orderkey")
+    return rows.select("o_orderkey", F.row_number().over(order).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_partkey % 300)::INT AS artigo, 0 AS sufixo, l_linenumber AS paragrafo, 0 AS paragrafo_sufixo, 4 AS inciso, 2 AS alinea, 0 AS item FROM lineitem")
+def c_legal_key(s, d):
+    text = F.concat(F.lit("Art. "), F.col("l_partkey") % 300, F.lit("º, § "), F.col("l_linenumber"), F.lit("º, IV, b"))
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.provision_key(text).alias("k")).select("l_orderkey", "l_linenumber", "k.*")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1994 WHEN 1 THEN 49 WHEN 2 THEN 4 END::INT AS n FROM part")
+def c_roman(s, d):
+    k = F.col("p_size") % 4
+    return read(s, d, "part").select("p_partkey", G.roman(F.when(k == 0, "MCMXCIV").when(k == 1, "xlix").when(k == 2, "IV").otherwise("K")).alias("n"))
+
+
+ENT = "html"
+for _name, _sign in T.ENTITIES.items():
+    ENT = f"replace({ENT}, '{_name}', " + ("chr(39)" if _sign == "'" else f"'{_sign}'") + ")"
+H1 = r"regexp_replace(html, '(?is)<(style|script)[^>]*>.*?</(style|script)>|<!--.*?-->', '', 'g')"
+H2 = rf"regexp_replace(regexp_replace({H1}, '(?i)<br[^>]*>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+H3 = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {H3} AS text FROM (SELECT page_id, {ENT} AS html FROM (SELECT page_id, {H2} AS html FROM pages))")
+def h_html_to_text(s, d):
+    return read(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, regexp_replace(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', '\2 (\1)', 'g') AS html FROM pages""")
+def h_link_text(s, d):
+    return read(s, d, "pages").select("page_id", T.link_text(F.col("html")).alias("html"))
+
+
+@query(f"SELECT page_id, {WS.format(ENT.replace('html', 't'))} AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)")
+def h_title(s, d):
+    return read(s, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
+
+
+# ---- aggregates
+@query("SELECT source, count(*) FILTER (lang = 'en')::BIGINT AS en, count(*) FILTER (lang = 'fr')::BIGINT AS fr, count(*) FILTER (lang = 'de')::BIGINT AS de, count(*) FILTER (lang = 'es')::BIGINT AS es FROM documents GROUP BY source")
+def a_entity_kind_pivot(s, d):
+    return read(s, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("SELECT source, count(*)::BIGINT AS n_files, sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM (SELECT source, sha256(doc_id::VARCHAR || chr(0) || text) AS line FROM documents) GROUP BY source")
+def a_content_hash(s, d):
+    return R.content_hash(read(s, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string")), "source", "doc_id", "text")
+
+
+@query("SELECT coalesce(year(o_orderdate)::VARCHAR, 'TOTAL') AS year, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS open, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done, count(*)::BIGINT AS n, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1)::DOUBLE AS pct FROM orders GROUP BY ROLLUP (year(o_orderdate))")
+def a_year_rollup(s, d):
+    rows = read(s, d, "orders").withColumn("y", F.year("o_orderdate").cast("string")).rollup("y")
+    rows = rows.agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count(F.lit(1)).alias("n"))
+    return rows.select(F.coalesce("y", F.lit("TOTAL")).alias("year"), "open", "done", "n", F.round(100.0 * F.col("done") / F.col("n"), 1).alias("pct"))
+
+
+@query("SELECT source, round(quantile_cont(n_chars, 0.5), 3) AS p50, round(quantile_cont(n_chars, 0.9), 3) AS p90, round(quantile_cont(n_chars, 0.99), 3) AS p99, max(n_chars) AS most FROM documents GROUP BY source")
+def a_percentiles(s, d):
+    return read(s, d, "documents").groupBy("source").agg(*[F.round(F.percentile("n_chars", q), 3).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))], F.max("n_chars").alias("most"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, max(value) AS slowest FROM events GROUP BY event_type")
+def a_timings_by_type(s, d):
+    return read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("slowest"))
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def a_month_log_counts(s, d):
+    return read(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, lang, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
+def a_dir_manifest(s, d):
+    return read(s, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
+
+
+# ---- personal data
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:^|[^0-9A-Za-z./-])\d{5}-\d{3}(?:$|[^0-9A-Za-z./-])'))::INT AS n FROM documents")
+def p_cep(s, d):
+    return read(s, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?:^|[^0-9A-Za-z./-])\d{5}-\d{3}(?:$|[^0-9A-Za-z./-])"), F.lit(0))).alias("n"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ',') AS emails FROM documents")
+def p_email(s, d):
+    return read(s, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0)), ",").alias("emails"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '12/05/1980' ELSE '' END AS born FROM customer")
+def p_birth_date(s, d):
+    text = F.when(F.col("c_custkey") % 2 == 0, "nascido em 12/05/1980, emitido em 01/01/2020").otherwise("emitido em 12/05/1980")
+    return read(s, d, "customer").select("c_custkey", F.regexp_extract(text, r"(?i)nasc.{0,30}?(\d{2}/\d{2}/\d{4})", 1).alias("born"))
+
+
+@query()
+def p_class_report(s, d):
+    rows = read(s, d, "documents").select("doc_id", F.explode(P.detect_pii("text")).alias("x")).select("doc_id", "x.*")
+    return P.report(rows, "doc_id")
+
+
+@query("SELECT count(*)::BIGINT AS docs, count(*)::BIGINT AS intact FROM documents")
+def p_round_trip(s, d):
+    rows = read(s, d, "documents").select(P.mask_pii("text").alias("m"))
+    return rows.agg(F.count(F.lit(1)).alias("docs"), F.count_if("m.intact").alias("intact"))
+
+
+@query("SELECT (c_custkey % 3)::INT AS cohort, count(*)::BIGINT AS expected, count(*) FILTER (c_custkey % 3 <> 2)::BIGINT AS covered, CASE WHEN c_custkey % 3 = 2 THEN 0.0 ELSE 1.0 END AS recall FROM customer GROUP BY ALL")
+def p_recall_by_cohort(s, d):
+    rows = read(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 3).cast("int").alias("cohort"), F.when(F.col("c_custkey") % 3 == 0, "contato: fulano@exemplo.com.br").when(F.col("c_custkey") % 3 == 1, "placa ABC1D23 do carro").otherwise("nada a declarar aqui").alias("text"))
+    found = rows.select("c_custkey", F.explode(P.detect_pii("text")).alias("x")).select("c_custkey", "x.start", "x.end")
+    return P.recall(rows.select("c_custkey", "cohort", F.lit(6).alias("start"), F.lit(12).alias("end")), found, ["cohort"], "c_custkey")
+
+
+# ---- evaluation
+@query(RANKED + ", a AS (SELECT vec_id, 1 AS sys, row_number() OVER (ORDER BY dist, vec_id) AS rn FROM s), z AS (SELECT e.vec_id, 2 AS sys, row_number() OVER (ORDER BY " + DIST + ", e.vec_id) AS rn FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) SELECT vec_id, min(sys)::INT AS origin FROM (SELECT * FROM a WHERE rn <= 8 UNION ALL SELECT * FROM z WHERE rn <= 8) GROUP BY vec_id")
+def e_pool_union(s, d):
+    rows, q0 = emb(s, d)
+    pool = V.topk(rows, q0, 8).select("vec_id").withColumn("sys", F.lit(1)).unionByName(V.topk(rows, emb(s, d, q=1)[1], 8).select("vec_id").withColumn("sys", F.lit(2)))
+    return pool.groupBy("vec_id").agg(F.min("sys").alias("origin"))
+
+
+@query("WITH q AS (SELECT vec_id AS qid, label AS ql, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, ql, e.label, row_number() OVER (PARTITION BY qid ORDER BY round(greatest(0.0, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6), e.vec_id) AS rn FROM embeddings e, q WHERE e.vec_id <> qid) SELECT count(DISTINCT qid)::BIGINT AS queries, count(*) FILTER (rn = 1 AND label = ql)::BIGINT AS hit1, count(DISTINCT qid) FILTER (rn <= 5 AND label = ql)::BIGINT AS hit5 FROM s")
+def e_hit_at_k(s, d):
+    rows = read(s, d, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))  # the labelled queries
+    scored = rows.join(asked, F.col("vec_id") != F.col("qid")).withColumn("dist", V.cosine_distance(F.col("embedding"), F.col("qv")))
+    best = scored.select("qid", "ql", "label", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vec_id")).alias("rn")).filter("rn <= 5")
+    first = best.groupBy("qid").agg(F.min(F.when(F.col("label") == F.col("ql"), F.col("rn"))).alias("first"))
+    return first.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("first") == 1).alias("hit1"), F.count_if(F.col("first") <= 5).alias("hit5"))
+
+
+@query("SELECT 20::BIGINT AS hits, 20::BIGINT AS same_place")
+def e_parity(s, d):
+    rows, q = emb(s, d)
+    order = Window.orderBy("dist", "vec_id")
+    one = V.topk(rows, q, 20).select("vec_id", F.row_number().over(order).alias("n"))
+    two = V.topk(rows, q, 20, fast=True).select("vec_id", F.row_number().over(order).alias("n"))
+    return one.join(two.withColumnRenamed("n", "m"), "vec_id", "full_outer").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("n") == F.col("m")).alias("same_place"))
+
+
+@query("SELECT b.item_id, count(*)::BIGINT AS documents FROM (SELECT item_id, left(text, 60) AS head FROM benchmark WHERE length(text) >= 60) b JOIN documents d ON contains(d.text, b.head) GROUP BY b.item_id")
+def e_bench_overlap(s, d):
+    items = read(s, d, "benchmark").filter(F.char_length("text") >= 60).select("item_id", F.left("text", F.lit(60)).alias("head"))
+    docs = read(s, d, "documents").select("text")
+    return docs.join(items, F.contains("text", F.col("head"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# ---- native extras
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def x_rollup(s, d):
+    return read(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def x_cube(s, d):
+    return read(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p.event_id, v.value AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) v ON p.user_id = v.user_id AND p.ts >= v.ts")
+def x_asof_events(s, d):
+    """As-of join without a range join: both sides in one window, the last click carried forward."""
+    e = read(s, d, "events").filter("event_type in ('click', 'purchase')")
+    clicks = e.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value")).select("user_id", "ts", F.lit(None).cast("long").alias("event_id"), "value", F.lit(0).alias("side"))
+    both = clicks.unionByName(e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")))
+    order = Window.partitionBy("user_id").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("last_click", F.last("value", ignorenulls=True).over(order)).filter("side = 1").select("event_id", "last_click")
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def x_tumbling(s, d):
+    return logs.tumbling(read(s, d, "events"), "1 hour")
+
+
+@query("SELECT b - INTERVAL 30 minute * k AS start, event_type, count(*)::BIGINT AS n FROM (SELECT time_bucket(INTERVAL 30 minute, ts) AS b, event_type FROM events), (VALUES (0), (1)) t(k) GROUP BY ALL")
+def x_sliding(s, d):
+    return logs.sliding(read(s, d, "events"), "1 hour", "30 minutes")
+
+
+@query("WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 hour THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM g GROUP BY user_id, k")
+def x_session(s, d):
+    return logs.sessions(read(s, d, "events"), "2 hours")
