@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def fnv1a64(data: bytes) -> int:
@@ -17,7 +18,7 @@ def fnv1a64(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def key_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for x in texts:
         yield x.map(lambda t: None if t is None else f"{fnv1a64(t.encode('utf-8', 'surrogatepass')):016x}")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import write_table
 
 #: Bound of the broadcast words, the longest of them in characters, and the distinct words a task counts before it flushes.
-HEAD, HEAD_CHARS, FLUSH = 1 << 17, 40, 200_000
+HEAD, HEAD_CHARS, FLUSH = 1 << 19, 40, 600_000
 
 
 class Codec:
@@ -94,13 +94,23 @@ def codec(path: str) -> Codec:
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """Each distinct word once: word, n (its occurrences), ids (little-endian, of the codec's width)."""
+    """Each distinct word once: word, n (its occurrences), ids (little-endian, of the codec's width).
+
+    A task counts its words before they move, and sends them as one compressed list a bucket of the words' hashes.
+    """
+    buckets = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = codec(path), Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            parts: list[list[str]] = [[] for _ in range(buckets)]
+            for w in seen:
+                parts[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+            full = [(i, sorted(ws)) for i, ws in enumerate(parts) if ws]
+            lists = [zlib.compress("\n".join(ws).encode("utf-8", "surrogatepass"), 6) for _, ws in full]
+            sizes = [zlib.compress(np.array([seen[w] for w in ws], "<u4").tobytes(), 6) for _, ws in full]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array(lists, pa.binary()), pa.array(sizes, pa.binary())], names=["bucket", "words", "sizes"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -112,12 +122,20 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
             yield out()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c, seen = codec(path), Counter()  # buckets are whole in a partition
         for batch in batches:
-            ids = [np.array(c.ids(w), c.kind).tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            for words, sizes in zip(batch.column(1), batch.column(2)):
+                found = zlib.decompress(words.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                for w, n in zip(found, np.frombuffer(zlib.decompress(sizes.as_py()), "<u4").tolist()):
+                    seen[w] += n
+        every = list(seen)
+        for at in range(0, len(every), 10_000):
+            part = every[at : at + 10_000]
+            ids = [np.array(c.ids(w), c.kind).tobytes() for w in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64()), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(encode, "word string, n long, ids binary")
+    lists = texts.mapInArrow(count, "bucket int, words binary, sizes binary").repartition(buckets // 2, "bucket")
+    return lists.mapInArrow(encode, "word string, n long, ids binary")
 
 
 def head_cut(words: DataFrame, bound: int = HEAD) -> float:
@@ -141,7 +159,7 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     and doc_id may be null: rows are matched by doc_id and a hash of the text. Other columns are left out.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     words = write_table(word_table(docs.select("text"), path), "bpe-words")
     cut = head_cut(words, head)
     frequent = (F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS)
@@ -152,22 +170,22 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
         c, near = codec(path), sent.value
         gap = np.array([c.gap], c.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                packed, gaps = [], []
-                for text in part.column(2).to_pylist():
-                    ws = c.words(text)
-                    found = [near.get(w, gap) for w in ws]
-                    gaps.append([w for w, f in zip(ws, found) if f is gap])
-                    packed.append(zlib.compress(b"".join(found), 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(gaps, pa.list_(pa.string()))], names=["doc_id", "tkey", "packed", "gaps"])
+            packed = [zlib.compress(b"".join([near.get(w, gap) for w in c.words(t.as_py())]), 6) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "tkey", "packed"])
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, near = codec(path), sent.value
+        for batch in batches:
+            far = [[w for w in c.words(t.as_py()) if w not in near] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.list_(pa.string()))], names=["doc_id", "tkey", "gaps"])
 
+    # the texts are split twice: what moves is less than what a table of both results would take
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    packed = write_table(keyed.mapInArrow(pack, "doc_id long, tkey long, packed binary, gaps array<string>"), "bpe-packed")
-    rare = packed.select("doc_id", "tkey", F.posexplode("gaps").alias("at", "word"))
+    packed = keyed.mapInArrow(pack, "doc_id long, tkey long, packed binary")
+    rare = keyed.mapInArrow(gaps, "doc_id long, tkey long, gaps array<string>").select("doc_id", "tkey", F.posexplode("gaps").alias("at", "word"))
     filled = rare.join(words.filter(~frequent).select("word", "ids"), "word").select("doc_id", "tkey", "at", "ids")
     filled = filled.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "ids")).alias("fill"))
-    rows = packed.drop("gaps").alias("p").join(filled.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.tkey") == F.col("f.tkey")), "left")
+    rows = packed.alias("p").join(filled.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.tkey") == F.col("f.tkey")), "left")
     rows = rows.select("p.doc_id", "packed", F.col("fill.at").alias("at"), F.col("fill.ids").alias("ids"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

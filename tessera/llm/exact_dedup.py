@@ -121,7 +121,7 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     plain = joined.filter(F.coalesce(F.col("texts"), F.lit(1)) == 1)
     plain = plain.withColumns({"keep_id": F.when(alone, F.col("keep_id")).otherwise(F.col("doc_id")), "group_size": F.when(alone, F.col("group_size")).otherwise(F.lit(1)).cast("long")}).drop("texts")
     clash = classes.filter("texts > 1").select("digest")
-    clashing = rows.join(clash, "digest", "left_semi").join(texts, ["digest", "_t"])
+    clashing = rows.filter("hit").join(clash, "digest", "left_semi").join(texts, ["digest", "_t"])
     every = plain.unionByName(clashing).withColumn("stays", F.col("keep_id").eqNullSafe(F.col("doc_id")))
     # repeated rows: the same doc_id with the same text
     once = Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.schemas import MAX_K
 
@@ -19,7 +20,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.round(F.when(fine, F.greatest(F.lit(0.0), 1 - dot / (norm(a) * norm(b)))).otherwise(F.lit(2.0)), 6)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def cosine_distance_np(a: pd.Series, b: pd.Series) -> pd.Series:
     """cosine_distance over Arrow batches, for wide vectors: one pass of numpy a row."""
     out = np.full(len(a), 2.0)
