@@ -3,14 +3,19 @@
 All pairs of a bucket are never made. A bucket's hub is its member with the most collisions over all buckets; each other
 member is verified against it, which is linear in the rows. Links give components. Only buckets whose members then
 still lie in different components have open pairs; those (across components, not yet compared) are verified too, so no link
-between colliding items is lost.
+between colliding items is lost. Open pairs are tested first by the items' outlines: the weights of an item's shingles, summed in
+CELLS cells of their hashes. What two items share is at most the sum of the smaller of both cells, so the test drops only
+pairs that cannot reach the similarity, and does so without their texts, while the pairs are made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, write_table
@@ -28,16 +33,32 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select("a", F.col("id").alias("b"), "wa", F.col("weight").alias("wb"))
 
 
+#: Cells of an outline.
+CELLS = 32
+
+
+def outline(shingles: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """The outline of an item, from the 64-bit hashes of its distinct shingles and their weights (1 each if none are given)."""
+    return np.bincount((shingles >> np.uint64(59)).astype(np.int64), weights, CELLS).astype(float)
+
+
+def may_reach(least: float) -> Column:
+    """Whether outlines oa and ob and total weights wa and wb allow the similarity."""
+    shared = reduce(add, [F.least(F.col("oa")[k], F.col("ob")[k]) for k in range(CELLS)])
+    return shared * F.lit(1 + least) >= F.lit(least - 1e-6) * (F.col("wa") + F.col("wb"))
+
+
 def plausible(pairs: DataFrame, least: float) -> DataFrame:
     """Distinct pairs whose total weights allow the similarity: it is at most the smaller over the larger one."""
     near = pairs.filter(F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb"))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float) -> tuple[DataFrame, DataFrame]:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: float, outlines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and classes (id, component) of the items that have one.
 
-    members: (key, id, weight) rows, distinct in key and id; verify: pairs (a, b) to those of similarity least or more.
+    members: (key, id, weight) rows, distinct in key and id; verify: pairs (a, b) to those of similarity least or more;
+    outlines: (id, outline), a row an item.
     """
     spark = members.sparkSession
     shared_dir(spark)
@@ -46,9 +67,12 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: fl
     classes = write_table(connected_components(links), "link-classes")
     placed = members.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    left = write_table(placed.join(mixed, "key"), "link-open")
-    other = left.select("key", F.col("id").alias("b"), F.col("weight").alias("wb"), F.col("component").alias("cb"))
-    open_pairs = left.select("key", F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("component").alias("ca")).join(other, "key").filter("a < b and ca <> cb")
+    left = placed.join(mixed, "key")
+    left = write_table(left.withColumn("outline", F.lit(None).cast("array<double>")) if outlines is None else left.join(outlines, "id"), "link-open")
+    side = lambda x: left.select("key", F.col("id").alias(x), F.col("weight").alias(f"w{x}"), F.col("component").alias(f"c{x}"), F.col("outline").alias(f"o{x}"))
+    open_pairs = side("a").join(side("b"), "key").filter("a < b and ca <> cb")
+    if outlines is not None:
+        open_pairs = open_pairs.filter(may_reach(least))
     open_pairs = write_table(plausible(open_pairs, least).join(tried, ["a", "b"], "left_anti"), "link-open-pairs")
     if open_pairs.isEmpty():
         return links, classes

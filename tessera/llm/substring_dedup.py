@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import write_table
-from tessera.llm.linking import link
+from tessera.llm.linking import link, outline
 from tessera.llm.near_dedup import GOLD, Hasher
 
 LEAST, RECALL, LONG, CUT, LEAST_WORDS, LEAST_BANDED, SHINGLE = 0.8, 0.98, 30, 2, 20, 12, 5
@@ -78,14 +78,14 @@ def cut(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, weight, keys) of the paragraphs with LEAST_BANDED words or more: MinHash keys; weight is the number of shingles."""
+    """(id, weight, keys, outline) of the paragraphs with LEAST_BANDED words or more: MinHash keys; weight is the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         odd = np.random.default_rng(7).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                ids, sizes, keys = [], [], []
+                ids, sizes, keys, cells = [], [], [], []
                 for t in batch.slice(k, 512).column(0).to_pylist():
                     for a, b in paragraphs(t):
                         found = WORD.findall(t[a:b].lower())
@@ -98,10 +98,11 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                             key = (key ^ (key >> np.uint64(29))) * GOLD + low[:, r]
                         ids.append(xxhash.xxh3_128_digest(" ".join(found)))
                         sizes.append(float(len(sh)))
+                        cells.append(outline(sh))
                         keys.append(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.float64()))], names=["id", "weight", "keys", "outline"])
 
-    return docs.select("text").mapInArrow(run, "id binary, weight double, keys array<long>")
+    return docs.select("text").mapInArrow(run, "id binary, weight double, keys array<long>, outline array<double>")
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,11 +149,12 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     units = write_table(cut(docs).filter("words > 0").distinct(), "sub-units")
     nodes = units.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at")).alias("first"))
     bands, rows = tune(least)
-    keyed = banded(docs, bands, rows).select("id", "weight", F.explode("keys").alias("key")).groupBy("key", "id").agg(F.first("weight").alias("weight"))
-    members = write_table(keyed, "sub-members")
+    # equal paragraphs are one row before their keys are made rows
+    signed = write_table(banded(docs, bands, rows).groupBy("id").agg(F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.first("outline").alias("outline")), "sub-signed")
+    members = write_table(signed.select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"]), "sub-members")
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     texts = write_table(node_texts(docs, members.join(crowded, "key", "left_semi").select("id").distinct()), "sub-texts")
-    _, classes = link(members, lambda pairs: verify_jaccard(pairs, texts, least), least)
+    _, classes = link(members, lambda pairs: verify_jaccard(pairs, texts, least), least, signed.select("id", "outline"))
     named = nodes.join(classes.withColumnsRenamed({"id": "node", "component": "class_id"}), "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
     repeats = named.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).filter("low <> high")
     repeated = write_table(named.select("node", "class_id").join(repeats.select("class_id", "first"), "class_id"), "sub-repeats")
