@@ -47,3 +47,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(fold: int) -> F.Column:
     """Whether crc32(doc_id as text) mod 5 is the fold; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == fold
+
+
+def stash(df: DataFrame, own: list[str], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list[F.Column]]:
+    """df with the columns own and one struct of all others but replaced, whose names then clash with none, and the others again."""
+    others = [c for c in df.columns if c not in (*own, *replaced)]
+    packed = df.select(*own, F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("_rest"))
+    return packed, [F.col("_rest").getField(c).alias(c) for c in others]

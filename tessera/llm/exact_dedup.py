@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import write_table
+from tessera.llm.common import stash, write_table
 
 #: Digests in a memtable, bits of a run's filter (8 a digest) and of the filter of hits (1 MB, whatever the input).
 MEMTABLE_ROWS, RUN_BITS, HIT_BITS, PROBES = 1 << 14, 1 << 17, 1 << 23, 3
@@ -105,6 +105,7 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     column text, for tests of collisions. Columns of docs with the names of the result are replaced. Empty in, empty out.
     """
     spark = docs.sparkSession
+    docs, others = stash(docs, ["doc_id", "text"], ("keep_id", "group_size", "kept", "text_sha256"))
     rows = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     rows = rows.withColumns({"digest": F.xxhash64("_t") if digest is None else digest.cast("long"), "text_sha256": F.sha2(F.col("_t"), 256)})
     runs = write_table(flush_runs(rows), "lsm-runs")
@@ -115,7 +116,6 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     texts = rows.filter("hit").join(hits, "digest", "left_semi").groupBy("digest", "_t").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = write_table(texts, "lsm-verified")
     classes = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    rows = rows.drop("keep_id", "group_size", "kept")
     alone = F.col("hit") & F.col("texts").isNotNull()
     joined = rows.join(classes, "digest", "left")
     plain = joined.filter(F.coalesce(F.col("texts"), F.lit(1)) == 1)
@@ -127,7 +127,7 @@ def exact_dedup(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     once = Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))
     again = every.filter("stays and group_size > 1").withColumn("kept", F.row_number().over(once) == 1)
     rest = every.filter("not (stays and group_size > 1)").withColumn("kept", F.col("stays"))
-    return rest.unionByName(again).drop("digest", "hit", "_t", "stays")
+    return rest.unionByName(again).select("doc_id", "text", *others, "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3(docs: DataFrame) -> DataFrame:

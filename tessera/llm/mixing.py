@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, write_table
+from tessera.llm.common import WORD, stash, write_table
 
 #: Slope of the linear schedule of a source by its weight: light sources come early, heavy ones late.
 SLOPES = {1: -0.5, 2: 0.0, 3: 0.5}
 CAP = 3.0
+#: What a plan adds to the columns of its documents; start is a document's offset in the stream of its source.
+ADDED = ("size", "source_size", "weight", "target", "start", "copies", "taken", "first_position")
 
 
 def source_targets(sized: DataFrame, cap: float = CAP) -> DataFrame:
@@ -49,15 +51,15 @@ def inverse_demand(share: Column, slope: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
-    """Adds size, source_size, target, copies, taken and first_position to every row; all columns of docs stay.
+    """Adds the columns ADDED to every row; all columns of docs stay.
 
     Whole epochs come first (floor of target / source_size copies of every document); the rest of the target goes to the
     documents first in md5 order, up to the one whose middle passes it. A null text has size 0, a null source is a source
     of its own, rows with the same doc_id are mixed as separate documents. Empty tables give empty results.
     Names it adds replace columns of docs with the same names.
     """
-    text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else None
-    rows = docs if text is None else docs.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long"))
+    rows, others = stash(docs, ["doc_id", "text", "source"], ADDED)
+    rows = rows.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumns({"skey": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")), "mkey": key, "bucket": F.substring(key, 1, 3)})
     sums = write_table(rows.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("size")), "mix-sums")
@@ -65,13 +67,14 @@ def plan_mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
     offsets = sums.select("skey", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     offsets = write_table(offsets.join(source_targets(sums, cap), "skey"), "mix-offsets")
     inside = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("mkey", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.drop("offset", "source_size", "weight", "target").join(offsets, ["skey", "bucket"]).withColumn("start", F.col("offset") + inside - F.col("size"))
+    rows = rows.join(offsets, ["skey", "bucket"]).withColumn("start", F.col("offset") + inside - F.col("size"))
     epochs = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     left = F.col("target") - F.col("epochs") * F.col("source_size")
     extra = (F.col("start") + F.col("size") / 2.0 < left).cast("long")
     rows = rows.withColumn("epochs", epochs).withColumn("copies", F.col("epochs") + F.when(F.col("size") > 0, extra).otherwise(0))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.withColumn("first_position", F.when(F.col("taken") > 0, position(F.lit(0))))
+    rows = rows.withColumn("first_position", F.when(F.col("taken") > 0, position(F.lit(0))))
+    return rows.select("doc_id", "text", "source", *others, *ADDED)
 
 
 def position(epoch: Column) -> Column:
@@ -82,10 +85,12 @@ def position(epoch: Column) -> Column:
 
 def ordered_mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: one row per copy taken, with the columns of docs and position, range-sorted by position."""
-    plan = plan_mix(docs).filter("taken > 0")
+    packed, others = stash(docs, ["doc_id", "text", "source"], ("position", "epoch"))
+    plan = plan_mix(packed).filter("taken > 0")
     copies = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    copies = copies.select(*docs.columns, position(F.col("epoch")).alias("position"), "epoch")
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "epoch")
+    copies = copies.select("doc_id", "text", "source", "_rest", position(F.col("epoch")).alias("position"), "epoch")
+    ordered = copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "epoch")
+    return ordered.select("doc_id", "text", "source", *others, "position", "epoch")
 
 
 def op8(docs: DataFrame) -> DataFrame:
