@@ -44,7 +44,7 @@ class Codec:
         self.split_any = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # for characters whose classes every Unicode version agrees on, the same pattern with those classes written out
-        safe = [*range(0x530), *range(0x2000, 0x2070)]
+        safe = [c for c in (*range(0x530), *range(0x2000, 0x2070)) if not 0x1C <= c <= 0x1F]  # those four are white space to Python alone
         letters, numbers = (_ranges(c for c in safe if unicodedata.category(chr(c))[0] == k) for k in "LN")
         self.unsafe = re.compile("[^" + _ranges(c for c in safe if unicodedata.category(chr(c)) != "Cn") + "]")
         self.split_safe = re.compile(self.pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]").replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
