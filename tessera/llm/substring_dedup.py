@@ -139,9 +139,9 @@ def verify_jaccard(pairs: DataFrame, texts: DataFrame, least: float) -> DataFram
 
 
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row a repeated passage: doc_id, first_at, last_at, start, end (code points), words, classes and removed_words.
+    """A row a repeated passage: doc_id, first_at, last_at, start, end (code points), words, classes, removed_words and spans.
 
-    removed_words counts the words of its paragraphs that are not the first occurrence of their class. A null text is empty
+    removed_words counts the words of its paragraphs that are not the first occurrence of their class; spans has their starts and ends. A null text is empty
     and has none; rows with a null doc_id take no part; a document that is there twice repeats nothing (a repeat
     needs two values of doc_id). An empty table gives none; other columns of docs are left out.
     """
@@ -161,17 +161,17 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     hits = units.join(repeated, "node").withColumn("again", F.struct("doc_id", "at") != F.col("first"))
     inside = Window.partitionBy("doc_id").orderBy("at")
     runs = hits.withColumn("run", F.col("at") - F.row_number().over(inside))
-    found = runs.groupBy("doc_id", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("words"), F.count_distinct("class_id").alias("classes"), F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).cast("long").alias("removed_words"))
+    found = runs.groupBy("doc_id", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("words"), F.count_distinct("class_id").alias("classes"), F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).cast("long").alias("removed_words"), F.array_sort(F.collect_list(F.when(F.col("again"), F.struct("start", "end")))).alias("spans"))
     return found.filter(F.col("words") >= least_words).drop("run")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs without the passages that consist of later occurrences alone; every column and row stays, only texts change."""
-    spans = passages.filter("removed_words = words").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    """docs without the later occurrences in passages; every column and row stays, only texts change."""
+    spans = passages.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("_spans"))
     cuts = F.aggregate("_spans", F.struct(F.lit("").alias("s"), F.lit(0).alias("p")), lambda acc, x: F.struct(F.concat(acc.s, F.substring(F.col("text"), acc.p + 1, x.start - acc.p)).alias("s"), x.end.alias("p")))
     rest = F.concat(cuts.s, F.substring(F.col("text"), cuts.p + 1, F.char_length("text")))
     return docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest)).select(docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    return repeated_passages(docs)
+    return repeated_passages(docs).drop("spans")
