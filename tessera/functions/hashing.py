@@ -31,5 +31,6 @@ def hashed_name(slug: Column, text: Column) -> Column:
 
 def half(text: Column) -> Column:
     """0 or 1: the low bit of an FNV fold, (1 + sum of the bytes' low bits) mod 2."""
-    odd = F.char_length(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "[0-9A-F][02468ACE]", "")) / 2
+    # every byte is taken as a pair, so that no match starts inside one
+    odd = F.char_length(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "([0-9A-F][13579BDF])|[0-9A-F]{2}", "$1")) / 2
     return ((1 + odd) % 2).cast("int")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera import queries
@@ -14,7 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if x is None or x != x else round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in frame.astype(object).itertuples(index=False))
+    text = lambda x: "null" if x is None or x is pd.NA or isinstance(x, float) and x != x else str(round(x, 6)) if isinstance(x, float) else str(x)
+    return sorted(tuple(map(text, r)) for r in frame.astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
