@@ -1,7 +1,10 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-A paragraph is a line; a line of more than LONG words is cut further, after sentences whose last word's hash says so, so that a
-passage set into another line is cut alike wherever it stands. Equal paragraphs (by their lower-case words) are one node.
+A paragraph is a line; a line of more than LONG words is cut further, at each gap between two words whose hash is the least of
+the REACH gaps on either side (about every 2 * REACH + 1 words, marks or not), so that a passage set into another line is cut alike
+wherever it stands, but for a few words at its ends. Such pieces are too short to tell a passage, so one of under LEAST_BANDED words
+repeats only inside a sequence of neighbouring pieces of LEAST_WORDS words or more that another document has word for word.
+Hence an edit inside a long line ends a match. Equal paragraphs (by their lower-case words) are one node.
 Bands and rows are tuned for recall: the cheapest (b, r) that finds a pair at the threshold with probability RECALL. Colliding
 nodes are linked as in linking, verified by the exact Jaccard similarity of their shingles, and clustered
 by components. A class with paragraphs in two documents or more is a repeat; its first occurrence (by document, position)
@@ -24,9 +27,8 @@ from tessera.llm.common import write_table
 from tessera.llm.linking import link, outline
 from tessera.llm.near_dedup import GOLD, Hasher
 
-LEAST, RECALL, LONG, CUT, LEAST_WORDS, LEAST_BANDED, SHINGLE = 0.8, 0.98, 30, 2, 20, 12, 5
+LEAST, RECALL, LONG, REACH, MOST, LEAST_WORDS, LEAST_BANDED, SHINGLE = 0.8, 0.98, 30, 3, 24, 20, 12, 5
 WORD = re.compile(r"\w+")
-SENTENCE = re.compile(r"[.!?…]+(?=\s|$)")
 
 
 def tune(least: float = LEAST, recall: float = RECALL, low: float = 0.3, chance: float = 0.35) -> tuple[int, int]:
@@ -36,45 +38,92 @@ def tune(least: float = LEAST, recall: float = RECALL, low: float = 0.3, chance:
     return b, -r
 
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Spans (start, end) of the paragraphs of a text, without white space around them."""
+def gaps(found: list[str], hasher: Hasher) -> list[int]:
+    """The words (by position) after which a long line is cut; text that repeats itself has no least gap and is cut every MOST words."""
+    h = hasher.words(found)
+    mixed = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * GOLD + h[1:]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * GOLD
+    n = len(mixed)
+    wide = np.full(n + 2 * REACH, np.iinfo(np.uint64).max, np.uint64)
+    wide[REACH : REACH + n] = mixed
+    least = np.ones(n, bool)
+    for j in range(1, REACH + 1):
+        least &= (mixed < wide[REACH - j : REACH - j + n]) & (mixed <= wide[REACH + j : REACH + j + n])
+    out, last = [], -1
+    for k in [*np.flatnonzero(least).tolist(), n]:
+        out += range(last + MOST, k, MOST)
+        if k < n:
+            out.append(k)
+        last = k
+    return out
+
+
+def pieces(text: str, hasher: Hasher) -> list[tuple[int, int, bool]]:
+    """Spans (start, end) of the paragraphs of a text, without white space around them, and whether each is a whole line."""
     out, at = [], 0
     for line in text.split("\n"):
         ends = [len(line)]
         if line.count(" ") >= LONG:
-            ends = []
-            for m in SENTENCE.finditer(line):
-                before = line.rfind(" ", 0, m.start()) + 1
-                if xxhash.xxh3_64_intdigest(line[before : m.start()].lower()) % CUT == 0:
-                    ends.append(m.end())
-            ends.append(len(line))
+            spans = [m.span() for m in WORD.finditer(line)]
+            if len(spans) > 1:
+                ends = [spans[k + 1][0] for k in gaps([line[a:b].lower() for a, b in spans], hasher)] + ends
         start = 0
         for end in ends:
             piece = line[start:end]
             if body := piece.strip():
                 first = at + start + piece.index(body[0])
-                out.append((first, first + len(body)))
+                out.append((first, first + len(body), len(ends) == 1))
             start = end
         at += len(line) + 1
     return out
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, start, end, words, node) of every paragraph; node is a 128-bit hash of its lower-case words."""
+def paragraphs(text: str, hasher: Hasher | None = None) -> list[tuple[int, int]]:
+    """Spans (start, end) of the paragraphs of a text, without white space around them."""
+    return [(a, b) for a, b, _ in pieces(text, hasher or Hasher())]
+
+
+def sequences(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest sequences of neighbours with least_words words that start, or end, at each place."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = len(words)
+    last = np.searchsorted(total, total[:-1] + least_words) - 1
+    first = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+    return sorted({(i, int(k)) for i, k in enumerate(last) if k < n} | {(int(i), k) for k, i in enumerate(first) if i >= 0})
+
+
+def cut(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, at, start, end, words, whole, node, lasts, grams) of every paragraph with words.
+
+    node is a 128-bit hash of its lower-case words; grams are those of the sequences that start with it and have a piece
+    of a cut line, lasts the ends (at) of these.
+    """
+    names = ["doc_id", "at", "start", "end", "words", "whole", "node", "lasts", "grams"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 rows = []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for n, (a, b) in enumerate(paragraphs(t)):
-                        found = WORD.findall(t[a:b].lower())
-                        rows.append((i, n, a, b, len(found), xxhash.xxh3_128_digest(" ".join(found))))
-                columns = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "at", "start", "end", "words", "node"])
-
-    return docs.mapInArrow(run, "doc_id long, at int, start int, end int, words int, node binary")
+                    flat, own = [], []
+                    for n, (a, b, whole) in enumerate(pieces(t, hasher)):
+                        if found := WORD.findall(t[a:b].lower()):
+                            own.append((i, n, a, b, len(found), whole, xxhash.xxh3_128_digest(" ".join(found)), [], []))
+                            flat += found
+                    whole = np.concatenate([[0], np.cumsum([u[5] for u in own], dtype=np.int64)])
+                    offset = np.concatenate([[0], np.cumsum([u[4] for u in own], dtype=np.int64)])
+                    for x, y in sequences([u[4] for u in own], least_words):
+                        if whole[y + 1] - whole[x] < y + 1 - x:
+                            own[x][7].append(own[y][1])
+                            own[x][8].append(xxhash.xxh3_128_digest(" ".join(flat[offset[x] : offset[y + 1]])))
+                    rows += own
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, at int, start int, end int, words int, whole boolean, node binary, lasts array<int>, grams array<binary>")
 
 
 def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -87,7 +136,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 ids, sizes, keys, cells = [], [], [], []
                 for t in batch.slice(k, 512).column(0).to_pylist():
-                    for a, b in paragraphs(t):
+                    for a, b in paragraphs(t, hasher):
                         found = WORD.findall(t[a:b].lower())
                         if len(found) < LEAST_BANDED:
                             continue
@@ -109,11 +158,12 @@ def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, text) of the wanted nodes; one text of equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 found = {}
                 for t in batch.slice(k, 512).column(0).to_pylist():
-                    for a, b in paragraphs(t):
+                    for a, b in paragraphs(t, hasher):
                         ws = WORD.findall(t[a:b].lower())
                         if len(ws) >= LEAST_BANDED:
                             found[xxhash.xxh3_128_digest(" ".join(ws))] = " ".join(ws)
@@ -138,6 +188,15 @@ def verify_jaccard(pairs: DataFrame, texts: DataFrame, least: float) -> DataFram
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def covered(units: DataFrame) -> DataFrame:
+    """(doc_id, at, again) of the paragraphs in a sequence that two documents have; again: in one that is not its first occurrence."""
+    pair = F.explode(F.arrays_zip("lasts", "grams")).alias("g")
+    grams = units.filter(F.size("grams") > 0).select("doc_id", "at", pair).select("doc_id", "at", F.col("g.lasts").alias("last"), F.col("g.grams").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at")).alias("first")).filter("low <> high")
+    hits = grams.join(shared.select("gram", "first"), "gram").select("doc_id", F.explode(F.sequence("at", "last")).alias("at"), (F.struct("doc_id", "at") != F.col("first")).alias("again"))
+    return hits.groupBy("doc_id", "at").agg(F.max("again").alias("again"))
+
+
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row a repeated passage: doc_id, first_at, last_at, start, end (code points), words, classes, removed_words and spans.
 
@@ -146,8 +205,9 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     needs two values of doc_id). An empty table gives none; other columns of docs are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    units = write_table(cut(docs).filter("words > 0").distinct(), "sub-units")
-    nodes = units.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at")).alias("first"))
+    units = write_table(cut(docs, least_words), "sub-units")
+    telling = units.filter(F.col("whole") | (F.col("words") >= LEAST_BANDED))
+    nodes = telling.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at")).alias("first"))
     bands, rows = tune(least)
     # equal paragraphs are one row before their keys are made rows
     signed = write_table(banded(docs, bands, rows).groupBy("id").agg(F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.first("outline").alias("outline")), "sub-signed")
@@ -158,7 +218,10 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     named = nodes.join(classes.withColumnsRenamed({"id": "node", "component": "class_id"}), "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
     repeats = named.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).filter("low <> high")
     repeated = write_table(named.select("node", "class_id").join(repeats.select("class_id", "first"), "class_id"), "sub-repeats")
-    hits = units.join(repeated, "node").withColumn("again", F.struct("doc_id", "at") != F.col("first"))
+    place = ["doc_id", "at", "start", "end", "words"]
+    alike = telling.join(repeated, "node").select(*place, "class_id", (F.struct("doc_id", "at") != F.col("first")).alias("again"))
+    inside = units.join(covered(units), ["doc_id", "at"]).select(*place, F.col("node").alias("class_id"), "again")
+    hits = alike.unionByName(inside).groupBy(*place).agg(F.min("class_id").alias("class_id"), F.max("again").alias("again"))
     inside = Window.partitionBy("doc_id").orderBy("at")
     runs = hits.withColumn("run", F.col("at") - F.row_number().over(inside))
     found = runs.groupBy("doc_id", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("words"), F.count_distinct("class_id").alias("classes"), F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).cast("long").alias("removed_words"), F.array_sort(F.collect_list(F.when(F.col("again"), F.struct("start", "end")))).alias("spans"))

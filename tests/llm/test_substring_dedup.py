@@ -95,3 +95,23 @@ def test_passage_inside_a_long_line_is_cut_alike():
     pieces = [{t[a:b] for a, b in sd.paragraphs(t)} for t in texts]
     shared = pieces[0] & pieces[1]
     assert sum(len(x) for x in shared) >= 0.5 * len(" ".join(passage))
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_passages_of_51_words_inside_lines_against_all_windows(spark, marks):
+    rng = random.Random(5)
+    text = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randrange(80)) + ("." if marks and k % 13 == 12 else "") for k in range(n)]
+    planted = [text(51) for _ in range(150)]
+    docs = [" ".join([*text(rng.randint(15, 90)), *p, *text(rng.randint(15, 90))]) for p in planted for _ in range(2)]
+    got = sd.repeated_passages(frame(spark, list(enumerate(docs)))).collect()
+    # independent of the cutting: the words in a window of LEAST_WORDS words that another document has
+    seen, split = {}, [[m for m in re.finditer(r"\w+", d)] for d in docs]
+    for i, ws in enumerate(split):
+        for k in range(len(ws) - sd.LEAST_WORDS + 1):
+            seen.setdefault(tuple(m[0] for m in ws[k : k + sd.LEAST_WORDS]), []).append((i, k))
+    want = {(i, k + j) for at in seen.values() if len({i for i, _ in at}) > 1 for i, k in at for j in range(sd.LEAST_WORDS)}
+    found = {(r["doc_id"], k) for r in got for k, m in enumerate(split[r["doc_id"]]) if r["start"] <= m.start() < r["end"]}
+    # long pieces that differ in a word at the passage's edge are near copies, with that word
+    assert len(want) >= 300 * 51 and len(found - want) <= 0.001 * len(want) and len(found) >= 0.7 * len(want)
+    assert {i for i, _ in found} == set(range(300))
+    assert all(r["removed_words"] == (r["words"] if r["doc_id"] % 2 else 0) and r["words"] >= sd.LEAST_WORDS for r in got)
