@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every node with an edge; the component is its smallest node.
 
-    Min-label propagation with pointer jumping: each round takes the smallest label among a node and its neighbours, then the
-    label of that label, so the rounds grow with the logarithm of a chain's length. Each round is checkpointed in the shared
-    folder; only the count of changed labels reaches the driver.
+    Min-label propagation with pointer jumping and hooked roots (FastSV): each round finds the smallest label of the labels of a
+    node, of its label and of its neighbours, and lowers the node's own label and that label's label to it. So whole trees move, not one node a
+    round, and the rounds grow slowly with a chain's length. Labels only fall, so the rounds end; they go on
+    until none changes. Each round is checkpointed in the shared folder; only whether a label changed reaches the driver.
     """
     links = edges.select(F.col(a).alias("id"), F.col(b).alias("other")).filter("id is not null and other is not null and id <> other")
     links = links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().checkpoint()
     labels = links.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")).checkpoint()
-    for _ in range(rounds):
-        near = links.join(labels.withColumnsRenamed({"id": "other", "component": "seen"}), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        moved = labels.join(near, "id").select("id", "component", F.least("component", "seen").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("jumped"))
-        new = moved.join(jump, "next").select("id", F.least("next", "jumped").alias("component"), (F.least("next", "jumped") != F.col("component")).alias("changed")).checkpoint()
+    while True:
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("grand"))
+        grand = labels.join(jump, "component").select("id", "component", "grand")
+        near = links.join(grand.select(F.col("id").alias("other"), F.col("grand").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
+        moved = grand.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "grand", "seen").alias("low"))
+        hooked = moved.select(F.col("old").alias("id"), F.lit(None).cast(moved.schema["old"].dataType).alias("old"), "low")
+        new = moved.unionByName(hooked).groupBy("id").agg(F.min("low").alias("component"), F.max("old").alias("old")).checkpoint()
         labels = new.select("id", "component")
-        if new.filter("changed").isEmpty():
-            break
-    return labels
+        if new.filter("component <> old").isEmpty():
+            return labels

@@ -119,6 +119,17 @@ def test_components_against_union_find(spark):
     assert dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
 
 
+def test_components_of_long_shuffled_paths(spark):
+    import random
+
+    rng, edges, want = random.Random(4), [], {}
+    ids = rng.sample(range(10**6), 4500)
+    for path in (ids[:3000], ids[3000:]):
+        edges += zip(path, path[1:])
+        want |= dict.fromkeys(path, min(path))
+    assert dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+
+
 def test_related(spark):
     m = spark.createDataFrame([("d1", "x"), ("d1", "y"), ("d2", "x"), ("d2", "y"), ("d3", "x"), ("d4", "x"), ("d4", "y"), ("d4", "y")], "doc string, key string")
     seeds = spark.createDataFrame([("d1",)], "doc string")
