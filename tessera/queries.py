@@ -347,18 +347,18 @@ EDGES = "e AS (SELECT l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem
 REACH = f"WITH RECURSIVE {EDGES}, x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, lab) AS (SELECT DISTINCT a, a FROM x UNION SELECT x.b, r.lab FROM r JOIN x ON x.a = r.id WHERE r.lab < x.b), c AS (SELECT id, min(lab)::BIGINT AS component FROM r GROUP BY id)"
 
 
-def sparse_edges(s, d):
-    return read(s, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b"))
+def item_edges(s, d):
+    return read(s, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b"))
 
 
 @query()
 def g_components(s, d):
-    return connected_components(sparse_edges(s, d))
+    return connected_components(item_edges(s, d))
 
 
 @query()
 def g_giant(s, d):
-    return C.giant_component(sparse_edges(s, d))
+    return C.giant_component(item_edges(s, d))
 
 
 @query(M.format(least=2) + ", k AS (SELECT DISTINCT key FROM m WHERE doc IN (1, 2, 3)) SELECT doc, count(*)::BIGINT AS shared FROM m WHERE doc NOT IN (1, 2, 3) AND key IN (SELECT key FROM k) GROUP BY doc HAVING count(*) >= 2 ORDER BY shared DESC, doc LIMIT 20")

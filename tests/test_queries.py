@@ -42,6 +42,25 @@ def test_runs(spark, name):
     queries.QUERIES[name](spark, SF).collect()
 
 
+def test_components_of_all_edges(spark):
+    """g_components and g_giant on every line item, against a union-find."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pd.read_parquet(f"{SF}/lineitem.parquet")[["l_orderkey", "l_partkey"]].itertuples(index=False):
+        x, y = sorted((root(int(a)), root(int(b) + 1_000_000_000)))
+        parent[y] = x
+    want = {x: root(x) for x in list(parent)}
+    assert {r["id"]: r["component"] for r in queries.QUERIES["g_components"](spark, SF).collect()} == want
+    sizes = pd.Series(want).value_counts()
+    assert {r["id"] for r in queries.QUERIES["g_giant"](spark, SF).collect()} == {x for x, c in want.items() if c == min(sizes.index[sizes == sizes.max()])}
+
+
 def test_entry(spark):
     import __spark_entry__
 
