@@ -31,6 +31,22 @@ def test_validation(spark):
     assert got == {**{i: e for i, (_, e) in enumerate(CASES)}, 98: "", 99: "unknown tool"}
 
 
+def test_more_keywords_are_checked_and_others_raise(spark):
+    df = lambda *a: spark.createDataFrame([(i, 0, "assistant", "call", "x", "t", x, None, "old") for i, x in enumerate(a)], SCHEMA)
+    errors = lambda rule, *a: [list(r["errors"]) for r in ct.link_calls(df(*a), {"t": rule}).orderBy("conv_id").collect()]
+    rule = {"required": ["z"], "properties": {"n": {"maximum": 3}, "s": {"type": "string", "maxLength": 2, "pattern": "^a"}}}
+    assert errors(rule, '{"n": 4, "s": "bcd", "z": 1}', '{"n": 3, "s": "ab", "z": 1}', '{"n": 1}') == [["n: too large", "s: too long", "s: no match"], [], ["z: missing"]]
+    for odd in ({"oneOf": []}, {"properties": {"o": {"type": "object", "properties": {"x": {"type": "integer"}}}}}, {"properties": {"l": {"type": "array", "items": {"type": "string"}}}}, {"properties": {"u": {"type": ["string", "null"]}}}):
+        with pytest.raises(ValueError, match="unsupported"):
+            errors(odd, "{}")
+
+
+def test_query_rows_are_in_order(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(19, -1, -1) for c in (2, 1)]
+    got = [(r["conv_id"], r["depth"], r["turn"]) for r in ct.op1(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert got == sorted(got) and len(got) == len(rows)
+
+
 def test_links_order_and_cycles(spark):
     call = lambda c, t, i: (c, t, "assistant", "call", i, "free", "{}", None, "old")
     result = lambda c, t, i: (c, t, "tool", "result", i, None, None, "done", "old")
