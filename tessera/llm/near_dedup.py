@@ -18,10 +18,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tessera.llm.common import write_table
 from tessera.llm.linking import link, outline
@@ -61,6 +63,12 @@ def split(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+@F.pandas_udf(BinaryType())
+def text_id(text: pd.Series) -> pd.Series:
+    """The 128-bit hash of a text's words: what a text is known by, since a doc_id may have several."""
+    return text.map(lambda t: xxhash.xxh3_128_digest(" ".join(split(t))))
+
+
 def summarize(docs: DataFrame, k: int) -> DataFrame:
     """Of (doc_id, text): a row a document (doc_id, high, low, words, shingles) and rows of counters (shingle, n)."""
 
@@ -163,15 +171,17 @@ def icws(shingles: np.ndarray, weights: np.ndarray, draws) -> np.ndarray:
 
 
 def sign(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(id, weight, keys, outline): the total weight, a 64-bit key a band (texts without words have none) and the outline."""
+    """(id, weight, keys, outline) of texts: text_id, the total weight, a 64-bit key a band (texts without words have none) and the outline."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, draws = Hasher(), tables()
         for batch in batches:
-            total, keys, cells = [], [], []
-            for t in batch.column(1).to_pylist():
-                sh, tf = hasher.shingles(split(t))
+            ids, total, keys, cells = [], [], [], []
+            for t in batch.column(0).to_pylist():
+                found = split(t)
+                ids.append(xxhash.xxh3_128_digest(" ".join(found)))
+                sh, tf = hasher.shingles(found)
                 w = sent.value.of(sh, tf)
                 total.append(float(w.sum()))
                 cells.append(outline(sh, w))
@@ -183,9 +193,9 @@ def sign(docs: DataFrame, weights: Weights) -> DataFrame:
                     keys.append(key.view(np.int64))
                 else:
                     keys.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.float64()))], names=["id", "weight", "keys", "outline"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.float64()))], names=["id", "weight", "keys", "outline"])
 
-    return docs.mapInArrow(run, "id long, weight double, keys array<long>, outline array<double>")
+    return docs.select("text").mapInArrow(run, "id binary, weight double, keys array<long>, outline array<double>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -235,33 +245,40 @@ def fit_weights(docs: DataFrame, k: int = K) -> tuple[Weights, DataFrame]:
     return Weights(ids[order], 1 + np.log(1 + n / np.maximum(df[order], lowest)) / most, 2.0), files
 
 
-def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs (doc_id, text) with class_id (the smallest doc_id of the class), rep_id, n_links and kept.
-
-    Texts with the same words are one class without comparison (rep_id is their smallest doc_id; texts without words are
-    such a class too); classes grow by verified links between representatives, and n_links counts those of the
-    representative. kept: doc_id is class_id. A null text is the empty text. Rows with a null doc_id are a class of their own
-    (class_id null) and kept. Rows that repeat get one class. Other columns are left out; an empty table gives none.
-    """
+def classify(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """near_dedup with the text_id of each row, by which rows of one doc_id are told apart."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     weights, files = fit_weights(docs)
-    reps = files.groupBy("high", "low").agg(F.min("doc_id").alias("rep_id"))
-    files = write_table(files.join(reps, ["high", "low"]).select("doc_id", "rep_id"), "near-files").distinct()
-    own = files.filter("doc_id = rep_id").select(F.col("doc_id").alias("id"))
-    signed = write_table(sign(docs, weights), "near-signed")
-    members = signed.join(own, "id", "left_semi").select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"])
-    members = write_table(members, "near-members")
+    wide = lambda c: F.lpad(F.hex(c), 16, "0")
+    files = write_table(files.select("doc_id", F.unhex(F.concat(wide("high"), wide("low"))).alias("id")).distinct(), "near-files")
+    reps = files.groupBy("id").agg(F.min("doc_id").alias("rep_id"))
+    own = reps.filter("rep_id is not null").select("id")
+    signed = write_table(sign(docs, weights).dropDuplicates(["id"]).join(own, "id", "left_semi"), "near-signed")
+    members = write_table(signed.select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"]), "near-members")
     # only texts that collide are read again; they are dealt out once, not at each verification
     crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     wanted = members.join(crowded, "key", "left_semi").select("id").distinct()
-    texts = write_table(docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi"), "near-texts")
-    links, classes = link(members, lambda pairs: verified(pairs, texts, weights, least).distinct(), least, signed.select("id", "outline").dropDuplicates(["id"]))
-    ends = links.select(F.col("a").alias("rep_id"), "b").unionByName(links.select(F.col("b").alias("rep_id"), F.col("a").alias("b"))).distinct()
-    degree = ends.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = reps.select("rep_id").distinct().join(classes.withColumnsRenamed({"id": "rep_id", "component": "class_id"}), "rep_id", "left").join(degree, "rep_id", "left")
-    named = named.select("rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = files.join(named, "rep_id", "left").select("doc_id", "rep_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.withColumn("kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
+    texts = write_table(docs.select(text_id("text").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+    links, classes = link(members, lambda pairs: verified(pairs, texts, weights, least).distinct(), least, signed.select("id", "outline"))
+    degree = links.select(F.col("a").alias("id"), "b").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("b"))).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    named = reps.join(classes, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # of a class the row with the smallest doc_id stays, of several texts of that doc_id the one with the smallest id
+    first = named.filter("rep_id is not null").groupBy("component").agg(F.min(F.struct("rep_id", "id")).alias("first"))
+    named = write_table(named.join(first, "component", "left").select("id", "rep_id", F.col("first.rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("first.id").eqNullSafe(F.col("id")).alias("first")), "near-named")
+    out = files.join(named, "id")
+    return out.select("doc_id", "rep_id", "class_id", "n_links", (F.col("doc_id").isNull() | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("kept"), F.col("id").alias("text_id"))
+
+
+def near_dedup(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs (doc_id, text) with class_id (the smallest doc_id of the class), rep_id, n_links and kept.
+
+    Texts with the same words are one class without comparison (rep_id is their smallest doc_id; texts without words are
+    such a class too); classes grow by verified links between texts, and n_links counts those that were verified for the
+    row's text (members of one class need not have been compared). kept: one row a class, that of the smallest doc_id. A doc_id with several texts has a row each.
+    A null text is the empty text. Rows with a null doc_id are a class of their own
+    (class_id null) and kept. Rows that repeat get one row. Other columns are left out; an empty table gives none.
+    """
+    return classify(docs, least).drop("text_id")
 
 
 def op9(docs: DataFrame) -> DataFrame:
