@@ -3,12 +3,13 @@
 Features are the distinct character n-grams of the lower-case text (lengths NGRAMS), hashed to 2**BITS buckets. The fit uses
 at most PER_CLASS labelled rows of each class, those of smallest hash of doc_id; bucket counts of both classes give
 the ratio r = log((n1 + 1) / (N1 + 2)) - log((n0 + 1) / (N0 + 2)), the FEATURES buckets of largest chi-square are kept, and
-a logistic regression with weights of classes is fitted to the features times r. Scoring reads every whole text.
+a logistic regression with weights of classes is fitted to the features times r. The fit is on the driver, in memory that PER_CLASS
+and FEATURES bound. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, write_table
 
 #: Bounds of the fit; they are parameters of fit() and do not depend on the input.
-NGRAMS, BITS, PER_CLASS, FEATURES = (3, 4, 5, 6), 18, 8192, 8192
+NGRAMS, BITS, PER_CLASS, FEATURES, RIDGE = (3, 4, 5, 6), 18, 8192, 8192, 1e-3
 
 
 def buckets(text: str, scratch: np.ndarray) -> np.ndarray:
@@ -97,25 +98,42 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["toxic", "x"])
 
     got = rows.mapInArrow(select, "toxic int, x binary").toPandas().sort_values(["toxic", "x"])
-    x, y = [np.frombuffer(x, "<u2") for x in got["x"]], got["toxic"].to_numpy(float)
-    w, bias = logistic(x, y, r)
+    y, starts = got["toxic"].to_numpy(float), np.concatenate([[0], np.cumsum(got["x"].map(len).to_numpy(np.int64) // 2)])
+    flat = np.frombuffer(b"".join(got["x"]), "<u2")  # two bytes a feature of a row are all the driver holds of the sample
+    del got
+    w, bias = logistic(flat, starts, y, r)
     weights[at] = w * r
-    return Model(weights, bias - threshold(x, y, r))
+    return Model(weights, bias - threshold(flat, starts, y, r, np.append(w, bias)))
 
 
-def threshold(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, every: int = 4, false_alarm: float = 4.0) -> float:
-    """The log odds to decide at, found on each every-th row by a model of the other rows.
+def sums(flat: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of values over the features of each row, in chunks of rows; row i has flat[starts[i] : starts[i + 1]]."""
+    out = np.zeros(len(starts) - 1)
+    for a, b in chunks(starts):
+        total = np.concatenate([[0.0], np.cumsum(values[flat[starts[a] : starts[b]]])])
+        out[a:b] = np.diff(total[starts[a : b + 1] - starts[a]])
+    return out
+
+
+def chunks(starts: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows with about most features each, so that what the fit needs beside the sample does not grow with it."""
+    cuts = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, int(starts[-1]), most)), [len(starts) - 1]]))
+    return [(int(a), int(b)) for a, b in zip(np.concatenate([[0], cuts]), cuts) if b > a]
+
+
+def threshold(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, r: np.ndarray, start: np.ndarray, folds: int = 4, false_alarm: float = 8.0) -> float:
+    """The log odds to decide at, from the log odds that each row gets by a model of the other folds, fitted from start on.
 
     It minimises the share of missed rows of class 1 plus false_alarm times the share of rows of class 0 that are taken, and
-    is the middle of the values that do; 0 where the rows set aside lack a class.
+    is the middle of the values that do; 0 where a fold lacks a class.
     """
-    aside = np.arange(len(y)) % every == 0
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
+    fold, z = np.arange(len(y)) % folds, np.zeros(len(y))
+    if any(len(set(y[fold == k])) < 2 for k in range(folds)):
         return 0.0
-    w, bias = logistic([a for a, k in zip(x, aside) if not k], y[~aside], r)
-    z = np.array([bias + (w * r)[a].sum() for a, k in zip(x, aside) if k])
-    y = y[aside]
-    order = np.argsort(z)
+    for k in range(folds):
+        w, bias = logistic(flat, starts, y, r, fold != k, start=start)
+        z[fold == k] = sums(flat, starts, w * r)[fold == k] + bias
+    order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     loss = np.append(0, np.cumsum(y)) / y.sum() + false_alarm * (1 - np.append(0, np.cumsum(1 - y)) / (1 - y).sum())
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
@@ -123,20 +141,51 @@ def threshold(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, every: int = 4,
     return float((edges[best[0]] + edges[best[-1]]) / 2)
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the mean log loss of features scaled by scale; both classes weigh the same."""
-    lengths = np.array([len(x) for x in rows])
-    col = np.concatenate([*rows, np.zeros(0, np.uint16)]).astype(np.int64)
-    row, value = np.repeat(np.arange(len(rows)), lengths), scale[col]
-    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, value * w[col], len(rows)) + w[-1]
-        e = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.append(np.bincount(col, value * e[row], len(scale)) + ridge * w[:-1], e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w[:-1], float(w[-1])
+def logistic(flat: np.ndarray, starts: np.ndarray, y: np.ndarray, scale: np.ndarray, used: np.ndarray | None = None, ridge: float = RIDGE, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of least mean log loss plus ridge / 2 times the squared weights, over the rows used (all if None).
+
+    Features are scaled by scale; both classes weigh the same.
+    """
+    used = np.ones(len(y), bool) if used is None else used
+    each = np.where(y == 1, 0.5 / max(1, y[used].sum()), 0.5 / max(1, (1 - y[used]).sum())) * used
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, sign = x[:-1], 2 * y - 1
+        z = sums(flat, starts, w * scale) + x[-1]
+        e = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        g = np.zeros(len(scale))
+        for a, b in chunks(starts):
+            g += np.bincount(flat[starts[a] : starts[b]], np.repeat(e[a:b], np.diff(starts[a : b + 1])), len(scale))
+        return float((each * np.logaddexp(0, -sign * z)).sum() + ridge / 2 * w @ w), np.append(g * scale + ridge * w, e.sum())
+
+    x = minimise(loss, np.zeros(len(scale) + 1) if start is None else start)
+    return x[:-1], float(x[-1])
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 200, memory: int = 10, least: float = 1e-5) -> np.ndarray:
+    """The minimum of a smooth convex loss (value and gradient) by limited-memory BFGS with halved steps."""
+    value, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() < least:
+            break
+        d, kept = -g, []
+        for s, v in reversed(past):
+            kept.append((s @ d) / (s @ v))
+            d = d - kept[-1] * v
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(g).sum()))
+        for (s, v), a in zip(past, reversed(kept)):
+            d = d + s * (a - (v @ d) / (s @ v))
+        step = 1.0
+        while (got := loss(x + step * d))[0] > value + 1e-4 * step * (g @ d) and step > 1e-9:
+            step /= 2
+        if got[0] >= value:
+            break
+        s, v = step * d, got[1] - g
+        if s @ v > 1e-14:
+            past = [*past[1 - memory :], (s, v)]
+        x, (value, g) = x + s, got
+    return x
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

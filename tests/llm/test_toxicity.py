@@ -70,3 +70,46 @@ def test_held_out_of_the_tables(spark):
     got = toxicity.op2(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     held = got[got["held_out"]]
     assert (held["predicted"] == held["toxic"]).mean() >= 0.9  # some 70 rows
+
+
+def test_fit_is_the_minimum_of_the_loss():
+    """Against plain gradient descent on the dense matrix, and the sums of chunks against the matrix product."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(12) < 0.4).astype("<u2") for _ in range(60)] + [np.zeros(0, "<u2")]
+    y, r = (rng.random(61) < 0.4).astype(float), rng.normal(size=12)
+    flat, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    dense = np.zeros((61, 12))
+    for i, x in enumerate(rows):
+        dense[i, x] = 1
+    assert toxicity.sums(flat, starts, r) == pytest.approx(dense @ r)
+    used = np.arange(61) % 5 != 0
+    w, bias = toxicity.logistic(flat, starts, y, r, used, ridge=0.05)
+    each = np.where(y == 1, 0.5 / y[used].sum(), 0.5 / (1 - y[used]).sum()) * used
+    v, b = np.zeros(12), 0.0
+    for _ in range(20_000):
+        e = each * (1 / (1 + np.exp(-(dense * r @ v + b))) - y)
+        v, b = v - 0.3 * ((dense * r).T @ e + 0.05 * v), b - 0.3 * e.sum()
+    assert w == pytest.approx(v, abs=1e-3) and bias == pytest.approx(b, abs=1e-3)
+
+
+def test_chunks_cover_every_row_once():
+    for sizes in ([], [0, 0], [5] * 10, [0, 30, 0, 2, 2, 50, 0]):
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(int)
+        got = toxicity.chunks(starts, 7)
+        assert [i for a, b in got for i in range(a, b)] == list(range(len(sizes)))
+
+
+def test_weights_are_ratios_times_fit(spark):
+    """Every bucket's log-count ratio by brute force: the model's weight is that ratio times the fitted weight of the bucket."""
+    docs = [(i, "bad ugly" if y else "good nice", y) for i, y in ((1, 0), (2, 1), (3, 0), (4, 1), (6, 0), (7, 1), (8, 0), (9, 1)) if zlib.crc32(str(i).encode()) % 5]
+    d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int"))
+    scratch = np.zeros(1 << toxicity.BITS, bool)
+    n, held = np.zeros((2, 1 << toxicity.BITS)), [0, 0]
+    for _, t, y in docs:
+        n[y, toxicity.buckets(t, scratch)] += 1
+        held[y] += 1
+    ratio = np.log((n[1] + 1) / (held[1] + 2)) - np.log((n[0] + 1) / (held[0] + 2))
+    seen = np.flatnonzero(n.sum(axis=0))
+    assert len(seen) and (model.weights[seen] * ratio[seen] >= 0).all()
+    assert not model.weights[n.sum(axis=0) == 0].any()
