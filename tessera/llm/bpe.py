@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words as the tokenizer file's own normaliser and splitter do; each distinct word is encoded once, in
-Spark, and its ids are joined back by position. The most frequent words (at most HEAD, an exact bound kept by a histogram
-of counts) are broadcast and joined where the text lies; the others are joined by a shuffle, by word, and return to their
-document by the number of the gap they fill. Decoding joins ids to the vocabulary's pieces, a table of fixed size.
+Spark, and decoded once, by a join of its ids to the vocabulary's table of pieces; both are joined back by position. The most
+frequent words (at most HEAD and HEAD_BYTES, exact bounds kept by a histogram of counts) are broadcast and joined where the text lies;
+the others are joined by a shuffle, by word, once a document, and return to it by their number. In between a document is a
+compressed list of word numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import write_table
 
-#: Bound of the broadcast words, the longest of them in characters, and the distinct words a task counts before it flushes.
-HEAD, HEAD_CHARS, FLUSH = 1 << 19, 40, 600_000
+#: Bounds of the broadcast words (number, bytes, longest in characters), and the distinct words a task counts before it flushes.
+HEAD, HEAD_BYTES, HEAD_CHARS, FLUSH = 1 << 19, 1 << 26, 4096, 600_000
 
 
 class Codec:
@@ -51,8 +52,6 @@ class Codec:
         self.split_ascii = re.compile(self.pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = np.array([self.tokenizer.id_to_token(i) or "" for i in range(size)], object)
-        self.kind = np.dtype("<u2" if size < 0xFFFF else "<u4")
-        self.gap = int(np.iinfo(self.kind).max)
 
     def words(self, text: str) -> list[str]:
         if self.at_special is None or "<" not in text:
@@ -94,7 +93,7 @@ def codec(path: str) -> Codec:
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """Each distinct word once: word, n (its occurrences), ids (little-endian, of the codec's width).
+    """Each distinct word once: word, n (its occurrences), ids.
 
     A task counts its words before they move, and sends them as one compressed list a bucket of the words' hashes.
     """
@@ -131,26 +130,84 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
         every = list(seen)
         for at in range(0, len(every), 10_000):
             part = every[at : at + 10_000]
-            ids = [np.array(c.ids(w), c.kind).tobytes() for w in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64()), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64()), pa.array([c.ids(w) for w in part], pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     lists = texts.mapInArrow(count, "bucket int, words binary, sizes binary").repartition(buckets // 2, "bucket")
-    return lists.mapInArrow(encode, "word string, n long, ids binary")
+    return lists.mapInArrow(encode, "word string, n long, ids array<int>")
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the tokenizer's vocabulary: a table of fixed size, whatever the input."""
+    rows = codec(path).pieces
+    return spark.createDataFrame(list(enumerate(rows.tolist())), "id int, piece string")
+
+
+def decode(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """rows with decoded, the pieces of the array column ids in order, joined by a blank; key tells the rows apart.
+
+    ids are joined to the table of pieces, which is broadcast because a vocabulary has a fixed size. Rows are dealt by key
+    before their ids become rows, so that these don't move. No ids, an empty text.
+    """
+    dealt = rows.repartition(F.col(key)).withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    ids = dealt.select(key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces(rows.sparkSession, path)), "id", "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))), lambda x: x.piece), " ")
+    return dealt.join(ids.groupBy(key).agg(text.alias("decoded")), key)
 
 
 def head_cut(words: DataFrame, bound: int = HEAD) -> float:
-    """The count from which words are broadcast: at most bound words have it. The histogram has at most 260 rows."""
+    """The count from which words are broadcast: at most bound words, of HEAD_BYTES, have it. The histogram has at most 260 rows."""
     level = F.floor(F.log2("n") * 4)
-    rows = words.filter(F.char_length("word") <= HEAD_CHARS).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
-    cut, total = float("inf"), 0
+    size = F.octet_length("word") + F.octet_length("decoded") + 4 * F.size("ids")
+    rows = words.filter(F.char_length("word") <= HEAD_CHARS).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes")).collect()
+    cut, total, held = float("inf"), 0, 0
     for r in sorted(rows, key=lambda r: -r["level"]):
-        total += r["words"]
-        if total > bound:
+        total, held = total + r["words"], held + r["bytes"]
+        if total > bound or held > HEAD_BYTES:
             break
         cut = r["level"]
     return float(cut)
 
 
+class Head:
+    """The broadcast words: their numbers, most frequent first, their ids one after another, and their decoded texts."""
+
+    def __init__(self, rows: list[tuple[str, list[int], str]]) -> None:
+        self.number = {w: i for i, (w, _, _) in enumerate(rows)}
+        self.ends = np.concatenate([[0], np.cumsum([len(ids) for _, ids, _ in rows], dtype=np.int64)])
+        self.flat = np.fromiter((i for _, ids, _ in rows for i in ids), "<u4", int(self.ends[-1]))
+        self.texts = [t for _, _, t in rows]
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each word's number, and the words beyond the broadcast ones, which are numbered from len(texts) on."""
+        far: dict[str, int] = {}
+        size, get = len(self.texts), self.number.get
+        got = [n if (n := get(w, -1)) >= 0 else size + far.setdefault(w, len(far)) for w in words]
+        return np.array(got, "<u4"), list(far)
+
+    def spell(self, numbers: np.ndarray, far: list[tuple[list[int], str]]) -> tuple[np.ndarray, str]:
+        """The ids and the decoded text of a document."""
+        size = len(self.texts)
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids, _ in far], dtype=np.int64)]) if far else self.ends
+        length = ends[numbers + 1] - ends[numbers]
+        at = np.repeat(ends[numbers] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+        out = np.zeros(len(at), "<u4")
+        near = at < len(self.flat)
+        out[near] = self.flat[at[near]]
+        if far:
+            out[~near] = np.array([i for ids, _ in far for i in ids], "<u4")[at[~near] - len(self.flat)]
+        texts, more = self.texts, [t for _, t in far]
+        return out, " ".join([t for n in numbers.tolist() if (t := texts[n] if n < size else more[n - size])])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, low bytes first: frequent words have small numbers, so the high bytes compress to nothing."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel() if blob else np.zeros(0, "<u4")
+
+
 def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """docs (doc_id, text) with n_tokens, ids (32-bit little-endian) and decoded.
 
@@ -160,53 +217,44 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = write_table(word_table(docs.select("text"), path), "bpe-words")
+    words = write_table(decode(word_table(docs.select("text"), path), path, "word"), "bpe-words")
     cut = head_cut(words, head)
     frequent = (F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS)
-    known = {sys.intern(r["word"]): bytes(r["ids"]) for r in words.filter(frequent).select("word", "ids").toLocalIterator()} if cut < float("inf") else {}
-    sent = spark.sparkContext.broadcast(known)
+    chosen = words.filter(frequent).orderBy(F.desc("n"), "word").select("word", "ids", "decoded").toLocalIterator() if cut < float("inf") else []
+    sent = spark.sparkContext.broadcast(Head([tuple(r) for r in chosen]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, near = codec(path), sent.value
-        gap = np.array([c.gap], c.kind).tobytes()
         for batch in batches:
-            packed = [zlib.compress(b"".join([near.get(w, gap) for w in c.words(t.as_py())]), 6) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "tkey", "packed"])
+            blobs = [packed(n) if len(n := near.numbers(c.words(t.as_py()))[0]) else b"" for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "tkey", "packed"])
 
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, near = codec(path), sent.value
         for batch in batches:
-            far = [[w for w in c.words(t.as_py()) if w not in near] for t in batch.column(2)]
+            far = [near.numbers(c.words(t.as_py()))[1] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.list_(pa.string()))], names=["doc_id", "tkey", "gaps"])
 
     # the texts are split twice: what moves is less than what a table of both results would take
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    packed = keyed.mapInArrow(pack, "doc_id long, tkey long, packed binary")
+    lists = keyed.mapInArrow(pack, "doc_id long, tkey long, packed binary")
     rare = keyed.mapInArrow(gaps, "doc_id long, tkey long, gaps array<string>").select("doc_id", "tkey", F.posexplode("gaps").alias("at", "word"))
-    filled = rare.join(words.filter(~frequent).select("word", "ids"), "word").select("doc_id", "tkey", "at", "ids")
-    filled = filled.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "ids")).alias("fill"))
-    rows = packed.alias("p").join(filled.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.tkey") == F.col("f.tkey")), "left")
-    rows = rows.select("p.doc_id", "packed", F.col("fill.at").alias("at"), F.col("fill.ids").alias("ids"))
+    filled = rare.join(words.filter(~frequent).select("word", "ids", "decoded"), "word").select("doc_id", "tkey", "at", "ids", "decoded")
+    filled = filled.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "ids", "decoded")).alias("fill"))
+    rows = lists.alias("p").join(filled.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.tkey") == F.col("f.tkey")), "left")
+    rows = rows.select("p.doc_id", "packed", "fill.at", "fill.ids", "fill.decoded")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        near = sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 counts, ids, texts = [], [], []
-                for blob, at, fill in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    mine = np.frombuffer(zlib.decompress(blob), c.kind)
-                    if at:
-                        by = [b for _, b in sorted(zip(at, fill))]
-                        cuts = np.flatnonzero(mine == c.gap)
-                        parts, last = [], 0
-                        for k, b in zip(cuts.tolist(), by):
-                            parts += (mine[last:k], np.frombuffer(b, c.kind))
-                            last = k + 1
-                        mine = np.concatenate([*parts, mine[last:]])
-                    counts.append(len(mine))
-                    ids.append(mine.astype("<u4").tobytes())
-                    texts.append(" ".join(c.pieces[mine]))
+                for blob, at, more, spelled in zip(*(part.column(k).to_pylist() for k in range(1, 5))):
+                    got, text = near.spell(unpacked(blob), [x[1:] for x in sorted(zip(at or [], more or [], spelled or []))])
+                    counts.append(len(got))
+                    ids.append(got.tobytes())
+                    texts.append(text)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return rows.mapInArrow(finish, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -55,3 +55,15 @@ def test_whole_table(spark, library):
     got = [tuple(r) for r in bpe.encode_documents(docs, word_bpe()).collect()]
     assert len(got) == len(texts)
     check(got, texts, library)
+
+
+def test_decode_joins_ids_to_pieces(spark, library):
+    rows = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)] + [(99, None)]
+    got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), word_bpe(), "k").collect()}
+    assert got == {k: library.decode(ids or [], skip_special_tokens=False) for k, ids in rows}
+
+
+def test_numbers_survive_packing():
+    for x in ([], [0], [1, 255, 256, 70_000, 1 << 31], list(range(5000))):
+        n = np.array(x, "<u4")
+        assert bpe.unpacked(bpe.packed(n) if len(n) else b"").tolist() == x
