@@ -142,16 +142,44 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows.tolist())), "id int, piece string")
 
 
-def decode(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """rows with decoded, the pieces of the array column ids in order, joined by a blank; key tells the rows apart.
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """rows with decoded, the pieces of the array column ids in order, joined by a blank; no ids, an empty text.
 
-    ids are joined to the table of pieces, which is broadcast because a vocabulary has a fixed size. Rows are dealt by key
-    before their ids become rows, so that these don't move. No ids, an empty text.
+    ids become rows and are joined to the table of pieces, which is broadcast because a vocabulary has a fixed size. So the rows of
+    an array stay in their task, one after another, and are gathered there without a shuffle.
     """
-    dealt = rows.repartition(F.col(key)).withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    ids = dealt.select(key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces(rows.sparkSession, path)), "id", "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))), lambda x: x.piece), " ")
-    return dealt.join(ids.groupBy(key).agg(text.alias("decoded")), key)
+    others = [c for c in rows.columns if c != "ids"]
+    table = F.broadcast(pieces(rows.sparkSession, path).withColumnsRenamed({"id": "_id", "piece": "_piece"}))
+    spread = rows.select(*others, F.posexplode_outer("ids").alias("_at", "_id")).join(table, "_id", "left").select(*others, "_at", "_id", "_piece")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(part: pa.Table) -> pa.RecordBatch:
+            at = part.column("_at").to_numpy()
+            starts = np.flatnonzero(~(at > 0))  # the first place, or none at all
+            ends = np.append(starts[1:], len(at)).tolist()
+            ids, found = part.column("_id").to_pylist(), part.column("_piece").to_pylist()
+            spans = [(a, b if ids[a] is not None else a) for a, b in zip(starts.tolist(), ends)]
+            first = part.select(others).take(pa.array(starts)).combine_chunks()
+            columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in first.columns]
+            columns += [pa.array([ids[a:b] for a, b in spans], pa.list_(pa.int32())), pa.array([" ".join(found[a:b]) for a, b in spans], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=[*others, "ids", "decoded"])
+
+        for batch in batches:
+            starts = np.flatnonzero(~(batch.column(len(others)).to_numpy(zero_copy_only=False) > 0))
+            if len(starts):
+                held.append(batch.slice(0, int(starts[-1])))
+                if sum(x.num_rows for x in held):
+                    yield out(pa.Table.from_batches(held))
+                held = [batch.slice(int(starts[-1]))]
+            else:
+                held.append(batch)
+        if sum(x.num_rows for x in held):
+            yield out(pa.Table.from_batches(held))
+
+    kinds = dict(rows.dtypes)
+    return spread.mapInArrow(gather, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "ids array<int>", "decoded string"]))
 
 
 def head_cut(words: DataFrame, bound: int = HEAD) -> float:
@@ -175,7 +203,7 @@ class Head:
         self.number = {w: i for i, (w, _, _) in enumerate(rows)}
         self.ends = np.concatenate([[0], np.cumsum([len(ids) for _, ids, _ in rows], dtype=np.int64)])
         self.flat = np.fromiter((i for _, ids, _ in rows for i in ids), "<u4", int(self.ends[-1]))
-        self.texts = [t for _, _, t in rows]
+        self.texts = np.array([*(t for _, _, t in rows), None], object)[:-1]
 
     def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         """Each word's number, and the words beyond the broadcast ones, which are numbered from len(texts) on."""
@@ -187,16 +215,27 @@ class Head:
     def spell(self, numbers: np.ndarray, far: list[tuple[list[int], str]]) -> tuple[np.ndarray, str]:
         """The ids and the decoded text of a document."""
         size = len(self.texts)
-        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids, _ in far], dtype=np.int64)]) if far else self.ends
-        length = ends[numbers + 1] - ends[numbers]
-        at = np.repeat(ends[numbers] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
-        out = np.zeros(len(at), "<u4")
-        near = at < len(self.flat)
-        out[near] = self.flat[at[near]]
+        near = numbers < size
+        mine, rest = numbers[near], numbers[~near].astype(np.int64) - size
+        begin, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        begin[near], length[near] = self.ends[mine], self.ends[mine + 1] - self.ends[mine]
+        texts = np.empty(len(numbers), object)
+        texts[near] = self.texts[mine]
+        source = self.flat
         if far:
-            out[~near] = np.array([i for ids, _ in far for i in ids], "<u4")[at[~near] - len(self.flat)]
-        texts, more = self.texts, [t for _, t in far]
-        return out, " ".join([t for n in numbers.tolist() if (t := texts[n] if n < size else more[n - size])])
+            ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in far], dtype=np.int64)])
+            begin[~near], length[~near] = ends[rest], ends[rest + 1] - ends[rest]
+            texts[~near] = np.array([t for _, t in far], object)[rest]
+            source = np.array([i for ids, _ in far for i in ids], "<u4")
+        total = np.cumsum(length)
+        at = np.repeat(begin - total + length, length) + np.arange(int(total[-1]) if len(total) else 0)
+        if far:
+            among = np.repeat(near, length)
+            out = np.empty(len(at), "<u4")
+            out[among], out[~among] = self.flat[at[among]], source[at[~among]]
+        else:
+            out = source[at]
+        return out, " ".join(filter(None, texts.tolist()))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -217,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = write_table(decode(word_table(docs.select("text"), path), path, "word"), "bpe-words")
+    words = write_table(decode(word_table(docs.select("text"), path), path), "bpe-words")
     cut = head_cut(words, head)
     frequent = (F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS)
     chosen = words.filter(frequent).orderBy(F.desc("n"), "word").select("word", "ids", "decoded").toLocalIterator() if cut < float("inf") else []

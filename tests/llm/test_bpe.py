@@ -59,7 +59,7 @@ def test_whole_table(spark, library):
 
 def test_decode_joins_ids_to_pieces(spark, library):
     rows = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)] + [(99, None)]
-    got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), word_bpe(), "k").collect()}
+    got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), word_bpe()).collect()}
     assert got == {k: library.decode(ids or [], skip_special_tokens=False) for k, ids in rows}
 
 
