@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from tessera.llm.common import write_table
-from tessera.llm.linking import link, outline
+from tessera.llm.linking import crowded, link
 
 SHINGLE, LEAST, BANDS, ROWS, K, CHUNK = 5, 0.8, 8, 3, 1 << 16, 1 << 21
 WORDS = re.compile(r"\w+")
@@ -34,17 +34,18 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hasher:
-    """64-bit hashes of words, kept for words seen; the memory of it is bounded."""
+    """64-bit hashes of words (with fold: of their lower case), kept for words seen; the memory of it is bounded."""
 
-    def __init__(self) -> None:
+    def __init__(self, fold: bool = False) -> None:
         self.seen: dict[str, int] = {}
+        self.fold = fold
 
     def words(self, found: list[str]) -> np.ndarray:
         seen, get = self.seen, xxhash.xxh3_64_intdigest
         if len(seen) > 300_000:
             seen.clear()
         for w in set(found).difference(seen):
-            seen[w] = get(w)
+            seen[w] = get(w.lower() if self.fold else w)
         return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
 
     def shingles(self, found: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -171,20 +172,19 @@ def icws(shingles: np.ndarray, weights: np.ndarray, draws) -> np.ndarray:
 
 
 def sign(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(id, weight, keys, outline) of texts: text_id, the total weight, a 64-bit key a band (texts without words have none) and the outline."""
+    """(id, weight, keys) of texts: text_id, the total weight and a 64-bit key a band (texts without words have none)."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, draws = Hasher(), tables()
         for batch in batches:
-            ids, total, keys, cells = [], [], [], []
+            ids, total, keys = [], [], []
             for t in batch.column(0).to_pylist():
                 found = split(t)
                 ids.append(xxhash.xxh3_128_digest(" ".join(found)))
                 sh, tf = hasher.shingles(found)
                 w = sent.value.of(sh, tf)
                 total.append(float(w.sum()))
-                cells.append(outline(sh, w))
                 if len(sh):
                     got = icws(sh, w, draws).reshape(BANDS, ROWS)
                     key = np.arange(BANDS, dtype=np.uint64)
@@ -193,9 +193,9 @@ def sign(docs: DataFrame, weights: Weights) -> DataFrame:
                     keys.append(key.view(np.int64))
                 else:
                     keys.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.float64()))], names=["id", "weight", "keys", "outline"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "weight", "keys"])
 
-    return docs.select("text").mapInArrow(run, "id binary, weight double, keys array<long>, outline array<double>")
+    return docs.select("text").mapInArrow(run, "id binary, weight double, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -217,6 +217,22 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def shingled(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(id, shingle, w): the distinct shingles of texts (id, text) with their weights."""
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [vector(t, hasher, sent.value) for t in part.column(1).to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(sh) for sh, _ in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(np.concatenate([sh for sh, _ in found]).view(np.int64)), pa.array(np.concatenate([w for _, w in found]).astype(float))], names=["id", "shingle", "w"])
+
+    return texts.select("id", "text").mapInArrow(run, "id binary, shingle long, w double")
+
+
 def vector(text: str, hasher: Hasher, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     sh, tf = hasher.shingles(split(text))
     return sh, weights.of(sh, tf)
@@ -254,12 +270,12 @@ def classify(docs: DataFrame, least: float = LEAST) -> DataFrame:
     reps = files.groupBy("id").agg(F.min("doc_id").alias("rep_id"))
     own = reps.filter("rep_id is not null").select("id")
     signed = write_table(sign(docs, weights).dropDuplicates(["id"]).join(own, "id", "left_semi"), "near-signed")
-    members = write_table(signed.select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"]), "near-members")
+    members = crowded(signed.select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"]))
     # only texts that collide are read again; they are dealt out once, not at each verification
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    wanted = members.join(crowded, "key", "left_semi").select("id").distinct()
+    wanted = members.select("id").distinct()
     texts = write_table(docs.select(text_id("text").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
-    links, classes = link(members, lambda pairs: verified(pairs, texts, weights, least).distinct(), least, signed.select("id", "outline"))
+    contents = lambda ids: shingled(texts.join(ids, "id", "left_semi"), weights)
+    links, classes = link(members, lambda pairs: verified(pairs, texts, weights, least).distinct(), least, contents)
     degree = links.select(F.col("a").alias("id"), "b").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("b"))).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     named = reps.join(classes, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # of a class the row with the smallest doc_id stays, of several texts of that doc_id the one with the smallest id
