@@ -1,34 +1,39 @@
-"""Substring dedup: paragraphs that repeat across documents, by MinHash banding.
-
-A paragraph is a line; a line of more than LONG words is cut further, at each gap between two words whose hash is the least of
-the REACH gaps on either side (about every 2 * REACH + 1 words, marks or not), so that a passage set into another line is cut alike
-wherever it stands, but for a few words at its ends. Such pieces are too short to tell a passage, so one of under LEAST_BANDED words
-repeats only inside a sequence of neighbouring pieces of LEAST_WORDS words or more that another document has word for word.
-Hence an edit inside a long line ends a match. Equal paragraphs (by their lower-case words) are one node.
-Bands and rows are tuned for recall: the cheapest (b, r) that finds a pair at the threshold with probability RECALL. Colliding
-nodes are linked as in linking, verified by the exact Jaccard similarity of their shingles, and clustered
-by components. A class with paragraphs in two documents or more is a repeat; its first occurrence (by document, position)
-stays and the others are removed. Neighbouring repeats of a document are one passage, and passages under LEAST_WORDS
-words are left alone: short stock lines do not make a document a copy.
+"""Substring dedup: what repeats across documents, by MinHash banding of paragraphs and by runs of words inside them.
+
+A paragraph is a line; paragraphs with the same lower-case words are one node. Bands and rows are tuned for recall: the cheapest
+(b, r) that finds a pair at the threshold with probability RECALL; every paragraph with a word is banded. Colliding nodes are
+linked as in linking, verified by the exact Jaccard similarity of their shingles, and clustered by components. A class
+with paragraphs in two documents or more is a repeat.
+
+A passage may also sit inside longer paragraphs, or run over several. Of each document's windows of RUN words, the one of smallest
+hash among NEAR neighbours is a mark, so every run of RUN + NEAR - 1 words that two documents share has a mark in common. A marked
+window in two documents or more is a repeat.
+
+The first occurrence of a class or mark (by document, position) stays and the others are removed. Repeats of a document that touch or
+overlap are one passage. Passages under least_words words are left alone: stock lines such as "Read more." repeat
+everywhere and do not make a document a copy.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import write_table
-from tessera.llm.linking import link, outline
+from tessera.llm.common import stash, write_table
+from tessera.llm.linking import crowded, link
 from tessera.llm.near_dedup import GOLD, Hasher
 
-LEAST, RECALL, LONG, REACH, MOST, LEAST_WORDS, LEAST_BANDED, SHINGLE = 0.8, 0.98, 30, 3, 24, 20, 12, 5
+LEAST, RECALL, RUN, NEAR, LEAST_WORDS, SHINGLE = 0.8, 0.98, 20, 16, 20, 5
 WORD = re.compile(r"\w+")
+#: Odd bases of the two polynomials over word hashes; together they are a hash of 128 bits.
+BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
 def tune(least: float = LEAST, recall: float = RECALL, low: float = 0.3, chance: float = 0.35) -> tuple[int, int]:
@@ -38,138 +43,154 @@ def tune(least: float = LEAST, recall: float = RECALL, low: float = 0.3, chance:
     return b, -r
 
 
-def gaps(found: list[str], hasher: Hasher) -> list[int]:
-    """The words (by position) after which a long line is cut; text that repeats itself has no least gap and is cut every MOST words."""
-    h = hasher.words(found)
-    mixed = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * GOLD + h[1:]
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * GOLD
-    n = len(mixed)
-    wide = np.full(n + 2 * REACH, np.iinfo(np.uint64).max, np.uint64)
-    wide[REACH : REACH + n] = mixed
-    least = np.ones(n, bool)
-    for j in range(1, REACH + 1):
-        least &= (mixed < wide[REACH - j : REACH - j + n]) & (mixed <= wide[REACH + j : REACH + j + n])
-    out, last = [], -1
-    for k in [*np.flatnonzero(least).tolist(), n]:
-        out += range(last + MOST, k, MOST)
-        if k < n:
-            out.append(k)
-        last = k
-    return out
-
-
-def pieces(text: str, hasher: Hasher) -> list[tuple[int, int, bool]]:
-    """Spans (start, end) of the paragraphs of a text, without white space around them, and whether each is a whole line."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        ends = [len(line)]
-        if line.count(" ") >= LONG:
-            spans = [m.span() for m in WORD.finditer(line)]
-            if len(spans) > 1:
-                ends = [spans[k + 1][0] for k in gaps([line[a:b].lower() for a, b in spans], hasher)] + ends
-        start = 0
-        for end in ends:
-            piece = line[start:end]
-            if body := piece.strip():
-                first = at + start + piece.index(body[0])
-                out.append((first, first + len(body), len(ends) == 1))
-            start = end
-        at += len(line) + 1
-    return out
-
-
-def paragraphs(text: str, hasher: Hasher | None = None) -> list[tuple[int, int]]:
-    """Spans (start, end) of the paragraphs of a text, without white space around them."""
-    return [(a, b) for a, b, _ in pieces(text, hasher or Hasher())]
-
-
-def sequences(words: list[int], least_words: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest sequences of neighbours with least_words words that start, or end, at each place."""
-    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    n = len(words)
-    last = np.searchsorted(total, total[:-1] + least_words) - 1
-    first = np.searchsorted(total, total[1:] - least_words, side="right") - 1
-    return sorted({(i, int(k)) for i, k in enumerate(last) if k < n} | {(int(i), k) for k, i in enumerate(first) if i >= 0})
-
-
-def cut(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, at, start, end, words, whole, node, lasts, grams) of every paragraph with words.
-
-    node is a 128-bit hash of its lower-case words; grams are those of the sequences that start with it and have a piece
-    of a cut line, lasts the ends (at) of these.
+@functools.lru_cache(maxsize=1)
+def word_marks() -> np.ndarray:
+    """Whether a code point belongs to a word, as in WORD."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
+
+
+@functools.lru_cache(maxsize=64)
+def powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of an odd base and of its inverse, modulo 2**64."""
+    inverse = pow(base, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, x, np.uint64)]), dtype=np.uint64) for x in (base, inverse))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * GOLD
+    return (x ^ (x >> np.uint64(29))) * GOLD
+
+
+@dataclass
+class Words:
+    """The words of a text: spans in code points, lower-case hashes' polynomials, and the words (from, to) of each line that has some."""
+
+    start: np.ndarray
+    end: np.ndarray
+    sums: tuple[np.ndarray, np.ndarray]
+    line: np.ndarray  # number of the line of each word
+    first: np.ndarray
+    last: np.ndarray
+
+    def spans(self, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+        """64-bit hashes of the words a to b (exclusive)."""
+        size = max(10, int(len(self.start)).bit_length())
+        back = powers(BASES[which], size)[1]
+        return mix((self.sums[which][b] - self.sums[which][a]) * back[a] + (b - a).astype(np.uint64))
+
+
+def read(text: str, hasher: Hasher) -> Words:
+    """hasher: one with fold, so that a word counts by its lower case."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], word_marks()[codes], [False]]).astype(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    h = hasher.words(WORD.findall(text))
+    size = max(10, int(len(h)).bit_length())
+    sums = tuple(np.concatenate([np.zeros(1, np.uint64), np.cumsum((h if k == 0 else mix(h)) * powers(BASES[k], size)[0][: len(h)], dtype=np.uint64)]) for k in (0, 1))
+    line = np.searchsorted(np.flatnonzero(codes == 10), start)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    return Words(start, end, sums, line, first, np.append(first[1:], len(start)) if len(start) else first)
+
+
+def line_shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, shingle), ascending and distinct, of the lines with words; a short line is one shingle."""
+    at = np.arange(max(0, len(w.start) - SHINGLE + 1))
+    at = at[w.line[at] == w.line[at + SHINGLE - 1]]
+    short = np.flatnonzero(w.last - w.first < SHINGLE)
+    index = np.repeat(np.arange(len(w.first)), w.last - w.first)
+    line = np.concatenate([index[at], short])
+    shingle = np.concatenate([w.spans(at, at + SHINGLE, 0), w.spans(w.first[short], w.last[short], 0)])
+    order = np.lexsort((shingle, line))
+    line, shingle = line[order], shingle[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (shingle[1:] != shingle[:-1])
+    return line[new], shingle[new]
+
+
+def marks(w: Words, run: int = RUN, near: int = NEAR) -> np.ndarray:
+    """The first words of the marked windows."""
+    n = len(w.start) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.arange(n)
+    h = w.spans(at, at + run, 0)
+    if n <= near:
+        return np.array([int(h.argmin())])
+    found, block = [], 1 << 16  # bounded memory for long texts
+    for k in range(0, n - near + 1, block):
+        view = np.lib.stride_tricks.sliding_window_view(h[k : min(n, k + block + near - 1)], near)
+        found.append(k + np.arange(len(view)) + view.argmin(axis=1))
+    return np.unique(np.concatenate(found))
+
+
+def binary(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    """16 bytes a row."""
+    both = np.stack([high, low], axis=1).astype("<u8")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+
+
+def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(doc_id, version, w0, w1, start, end, node, weight, keys) of every line with words.
+
+    node: 128-bit hash of its lower-case words; weight: its distinct shingles; keys: a MinHash key a band; version: a hash of the
+    text, since a doc_id may have several.
     """
-    names = ["doc_id", "at", "start", "end", "words", "whole", "node", "lasts", "grams"]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+    names = ["doc_id", "version", "w0", "w1", "start", "end", "node", "weight", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(fold=True)
+        odd = np.random.default_rng(7).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                rows = []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    flat, own = [], []
-                    for n, (a, b, whole) in enumerate(pieces(t, hasher)):
-                        if found := WORD.findall(t[a:b].lower()):
-                            own.append((i, n, a, b, len(found), whole, xxhash.xxh3_128_digest(" ".join(found)), [], []))
-                            flat += found
-                    whole = np.concatenate([[0], np.cumsum([u[5] for u in own], dtype=np.int64)])
-                    offset = np.concatenate([[0], np.cumsum([u[4] for u in own], dtype=np.int64)])
-                    for x, y in sequences([u[4] for u in own], least_words):
-                        if whole[y + 1] - whole[x] < y + 1 - x:
-                            own[x][7].append(own[y][1])
-                            own[x][8].append(xxhash.xxh3_128_digest(" ".join(flat[offset[x] : offset[y + 1]])))
-                    rows += own
-                columns = list(zip(*rows)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types)], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, at int, start int, end int, words int, whole boolean, node binary, lasts array<int>, grams array<binary>")
-
-
-def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, weight, keys, outline) of the paragraphs with LEAST_BANDED words or more: MinHash keys; weight is the number of shingles."""
+            for doc, version, text in zip(*(batch.column(k) for k in range(3))):
+                w = read(text.as_py(), hasher)
+                n = len(w.first)
+                if not n:
+                    continue
+                line, shingle = line_shingles(w)
+                cuts = np.searchsorted(line, np.arange(n))
+                low = np.stack([np.minimum.reduceat(shingle * o, cuts) for o in odd], axis=1).reshape(n, bands, rows)
+                key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
+                for r in range(rows):
+                    key = (key ^ (key >> np.uint64(29))) * GOLD + low[:, :, r]
+                node = binary(w.spans(w.first, w.last, 0), w.spans(w.first, w.last, 1))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))
+                whole = [pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, version.as_py(), np.int32)), pa.array(w.first.astype(np.int32)), pa.array(w.last.astype(np.int32)), pa.array(w.start[w.first].astype(np.int32)), pa.array(w.end[w.last - 1].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*whole, node, pa.array(np.bincount(line, minlength=n).astype(float)), keys], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, version int, w0 int, w1 int, start int, end int, node binary, weight double, keys array<long>")
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, version, w0, start, end) of the marked windows."""
+    names = ["h1", "h2", "doc_id", "version", "w0", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        odd = np.random.default_rng(7).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        hasher = Hasher(fold=True)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                ids, sizes, keys, cells = [], [], [], []
-                for t in batch.slice(k, 512).column(0).to_pylist():
-                    for a, b in paragraphs(t, hasher):
-                        found = WORD.findall(t[a:b].lower())
-                        if len(found) < LEAST_BANDED:
-                            continue
-                        sh, _ = hasher.shingles(found, SHINGLE)
-                        low = np.array([(sh * o).min() for o in odd]).reshape(bands, rows)
-                        key = np.arange(bands, dtype=np.uint64)
-                        for r in range(rows):
-                            key = (key ^ (key >> np.uint64(29))) * GOLD + low[:, r]
-                        ids.append(xxhash.xxh3_128_digest(" ".join(found)))
-                        sizes.append(float(len(sh)))
-                        cells.append(outline(sh))
-                        keys.append(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.float64()))], names=["id", "weight", "keys", "outline"])
-
-    return docs.select("text").mapInArrow(run, "id binary, weight double, keys array<long>, outline array<double>")
+            for doc, version, text in zip(*(batch.column(k) for k in range(3))):
+                w = read(text.as_py(), hasher)
+                at = marks(w)
+                if n := len(at):
+                    hashes = [pa.array(w.spans(at, at + RUN, k).view(np.int64)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*hashes, pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, version.as_py(), np.int32)), pa.array(at.astype(np.int32)), pa.array(w.start[at].astype(np.int32)), pa.array(w.end[at + RUN - 1].astype(np.int32))], names=names)
+
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, version int, w0 int, start int, end int")
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, text) of the wanted nodes; one text of equal nodes."""
+    """(id, text) of the wanted nodes: their lower-case words; one text of equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(fold=True)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                found = {}
-                for t in batch.slice(k, 512).column(0).to_pylist():
-                    for a, b in paragraphs(t, hasher):
-                        ws = WORD.findall(t[a:b].lower())
-                        if len(ws) >= LEAST_BANDED:
-                            found[xxhash.xxh3_128_digest(" ".join(ws))] = " ".join(ws)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["id", "text"])
+            for text in batch.column(2):
+                w = read(text.as_py(), hasher)
+                if len(w.first):
+                    found = [x.lower() for x in WORD.findall(text.as_py())]
+                    lines = [" ".join(found[a:b]) for a, b in zip(w.first.tolist(), w.last.tolist())]
+                    yield pa.RecordBatch.from_arrays([binary(w.spans(w.first, w.last, 0), w.spans(w.first, w.last, 1)), pa.array(lines, pa.string())], names=["id", "text"])
 
-    return docs.select("text").mapInArrow(run, "id binary, text string").join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return docs.mapInArrow(run, "id binary, text string").join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def verify_jaccard(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -188,53 +209,81 @@ def verify_jaccard(pairs: DataFrame, texts: DataFrame, least: float) -> DataFram
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def covered(units: DataFrame) -> DataFrame:
-    """(doc_id, at, again) of the paragraphs in a sequence that two documents have; again: in one that is not its first occurrence."""
-    pair = F.explode(F.arrays_zip("lasts", "grams")).alias("g")
-    grams = units.filter(F.size("grams") > 0).select("doc_id", "at", pair).select("doc_id", "at", F.col("g.lasts").alias("last"), F.col("g.grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at")).alias("first")).filter("low <> high")
-    hits = grams.join(shared.select("gram", "first"), "gram").select("doc_id", F.explode(F.sequence("at", "last")).alias("at"), (F.struct("doc_id", "at") != F.col("first")).alias("again"))
-    return hits.groupBy("doc_id", "at").agg(F.max("again").alias("again"))
+def shingled(texts: DataFrame) -> DataFrame:
+    """(id, shingle, w): the distinct shingles of texts (id, text), of weight 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            found = [hasher.shingles(t.as_py().split(" "), SHINGLE)[0] for t in batch.column(1)]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.ones(len(owner)))], names=["id", "shingle", "w"])
+
+    return texts.select("id", "text").mapInArrow(run, "id binary, shingle long, w double")
+
+
+def repeated_lines(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, version, w0, w1, start, end, class_id, first) of the lines whose class has two documents; first: its first (doc_id, w0)."""
+    units = write_table(paragraphs(docs, *tune(least)), "sub-lines")
+    place = F.struct("doc_id", "w0")
+    nodes = units.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(place).alias("first"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
+    nodes = write_table(nodes, "sub-nodes")
+    members = crowded(nodes.select(F.col("node").alias("id"), "weight", F.explode(F.array_distinct("keys")).alias("key")))
+    texts = write_table(node_texts(docs, members.select("id").distinct()), "sub-texts")
+    _, classes = link(members, lambda pairs: verify_jaccard(pairs, texts, least), least, lambda ids: shingled(texts.join(ids, "id", "left_semi")))
+    named = nodes.select("node", "low", "high", "first").join(classes.withColumnsRenamed({"id": "node", "component": "class_id"}), "node", "left")
+    linked = named.filter(F.col("class_id").isNotNull())
+    shared = linked.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).filter("low <> high")
+    same = named.filter(F.col("class_id").isNull() & (F.col("low") != F.col("high"))).select("node", F.col("node").alias("class_id"), "first")
+    found = same.unionByName(linked.select("node", "class_id").join(shared.select("class_id", "first"), "class_id"))
+    return units.select("doc_id", "version", "w0", "w1", "start", "end", "node").join(write_table(found, "sub-classes"), "node").drop("node")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """The same columns for the marked windows that two documents have. The windows are dealt by their hash once."""
+    dealt = windows(docs).repartition("h1")
+    shared = dealt.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "w0")).alias("first")).filter("low <> high")
+    hits = dealt.join(shared.select("h1", "h2", "first"), ["h1", "h2"])
+    return hits.select("doc_id", "version", "w0", (F.col("w0") + RUN).alias("w1"), "start", "end", F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("class_id"), "first")
 
 
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row a repeated passage: doc_id, first_at, last_at, start, end (code points), words, classes, removed_words and spans.
+    """A row a repeated passage: doc_id, start, end (code points), words, removed_words, classes, class_id, source_doc_id and spans.
 
-    removed_words counts the words of its paragraphs that are not the first occurrence of their class; spans has their starts and ends. A null text is empty
-    and has none; rows with a null doc_id take no part; a document that is there twice repeats nothing (a repeat
-    needs two values of doc_id). An empty table gives none; other columns of docs are left out.
+    class_id and source_doc_id are the class (or mark) of the passage's first repeat and the document of its first occurrence; passages with a
+    class_id in common are linked. removed_words counts the words that occur before elsewhere; spans has the starts and ends of what is
+    removed. A null text is empty and has none; rows with a null doc_id take no part; a document that is there twice repeats nothing (a
+    repeat needs two values of doc_id), and texts that share a doc_id have passages of their own. An empty table gives
+    none; other columns of docs are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    units = write_table(cut(docs, least_words), "sub-units")
-    telling = units.filter(F.col("whole") | (F.col("words") >= LEAST_BANDED))
-    nodes = telling.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "at")).alias("first"))
-    bands, rows = tune(least)
-    # equal paragraphs are one row before their keys are made rows
-    signed = write_table(banded(docs, bands, rows).groupBy("id").agg(F.first("weight").alias("weight"), F.first("keys").alias("keys"), F.first("outline").alias("outline")), "sub-signed")
-    members = write_table(signed.select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"]), "sub-members")
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    texts = write_table(node_texts(docs, members.join(crowded, "key", "left_semi").select("id").distinct()), "sub-texts")
-    _, classes = link(members, lambda pairs: verify_jaccard(pairs, texts, least), least, signed.select("id", "outline"))
-    named = nodes.join(classes.withColumnsRenamed({"id": "node", "component": "class_id"}), "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
-    repeats = named.groupBy("class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).filter("low <> high")
-    repeated = write_table(named.select("node", "class_id").join(repeats.select("class_id", "first"), "class_id"), "sub-repeats")
-    place = ["doc_id", "at", "start", "end", "words"]
-    alike = telling.join(repeated, "node").select(*place, "class_id", (F.struct("doc_id", "at") != F.col("first")).alias("again"))
-    inside = units.join(covered(units), ["doc_id", "at"]).select(*place, F.col("node").alias("class_id"), "again")
-    hits = alike.unionByName(inside).groupBy(*place).agg(F.min("class_id").alias("class_id"), F.max("again").alias("again"))
-    inside = Window.partitionBy("doc_id").orderBy("at")
-    runs = hits.withColumn("run", F.col("at") - F.row_number().over(inside))
-    found = runs.groupBy("doc_id", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("words"), F.count_distinct("class_id").alias("classes"), F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).cast("long").alias("removed_words"), F.array_sort(F.collect_list(F.when(F.col("again"), F.struct("start", "end")))).alias("spans"))
-    return found.filter(F.col("words") >= least_words).drop("run")
+    docs = docs.select("doc_id", F.hash("text").alias("version"), "text")
+    hits = repeated_lines(docs, least).unionByName(repeated_runs(docs))
+    hits = hits.withColumn("again", F.struct("doc_id", "w0") != F.col("first"))
+    hits = write_table(hits.select("doc_id", "version", "w0", "w1", "start", "end", "again", "class_id", F.col("first.doc_id").alias("source_doc_id")), "sub-hits")
+    order = Window.partitionBy("doc_id", "version").orderBy("w0", F.desc("w1"), "class_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    again = lambda c: F.when(F.col("again"), F.col(c))
+    rows = hits.withColumns({"seen": F.max("w1").over(before), "gone": F.max(again("w1")).over(before), "gone_end": F.max(again("end")).over(before)})
+    rows = rows.withColumn("run", F.sum(F.when(F.col("w0") > F.coalesce("seen", F.lit(-1)), 1).otherwise(0)).over(order))
+    more = lambda to: F.greatest(F.lit(0), F.col("w1") - F.greatest("w0", F.coalesce(to, F.lit(0))))
+    cut = F.when(F.col("again") & (more("gone") > 0), F.struct(F.when(F.col("w0") < F.col("gone"), F.col("gone_end")).otherwise(F.col("start")).alias("start"), "end"))
+    rows = rows.withColumns({"new": more("seen"), "lost": F.when(F.col("again"), more("gone")).otherwise(0), "cut": cut})
+    ahead = F.struct("w0", -F.col("w1"), "class_id", "source_doc_id")
+    found = rows.groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("new").alias("words"), F.sum("lost").alias("removed_words"), F.count_distinct("class_id").alias("classes"), F.min(ahead).alias("ahead"), F.array_sort(F.collect_list("cut")).alias("spans"))
+    return found.filter(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "removed_words", "classes", F.lower(F.hex("ahead.class_id")).alias("class_id"), "ahead.source_doc_id", "spans", "version")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs without the later occurrences in passages; every column and row stays, only texts change."""
-    spans = passages.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("_spans"))
-    cuts = F.aggregate("_spans", F.struct(F.lit("").alias("s"), F.lit(0).alias("p")), lambda acc, x: F.struct(F.concat(acc.s, F.substring(F.col("text"), acc.p + 1, x.start - acc.p)).alias("s"), x.end.alias("p")))
+    own, others = stash(docs, ["doc_id", "text"])
+    own = own.withColumn("version", F.hash(F.coalesce("text", F.lit(""))))
+    spans = passages.distinct().select("doc_id", "version", F.explode("spans").alias("s")).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    cuts = F.aggregate("spans", F.struct(F.lit("").alias("s"), F.lit(0).alias("p")), lambda acc, x: F.struct(F.concat(acc.s, F.substring(F.col("text"), acc.p + 1, x.start - acc.p)).alias("s"), x.end.alias("p")))
     rest = F.concat(cuts.s, F.substring(F.col("text"), cuts.p + 1, F.char_length("text")))
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest)).select(docs.columns)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest)
+    return own.join(spans, ["doc_id", "version"], "left").select("doc_id", text.alias("text"), *others).select(docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    return repeated_passages(docs).drop("spans")
+    return repeated_passages(docs).drop("spans", "version")

@@ -16,30 +16,49 @@ def grams(ws):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def brute(rows):
-    """(doc_id, first start, last end, words) of the repeated passages, by comparing all paragraphs."""
-    units = [(i, n, a, b, words(t[a:b])) for i, t in rows if i is not None for n, (a, b) in enumerate(sd.paragraphs(t or "")) if words(t[a:b])]
+def texts_of(rows):
+    return {i: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t or "")] for i, t in rows if i is not None}
+
+
+def brute_lines(rows):
+    """(doc_id, word) of all words in lines whose class has two documents, by comparing all lines with a word."""
+    units = []
+    for i, t in rows:
+        at = 0
+        for line in (t or "").split("\n") if i is not None else []:
+            if ws := words(line):
+                units.append((i, at, ws, grams(ws)))
+                at += len(ws)
     cls = list(range(len(units)))
     for x in range(len(units)):
         for y in range(x):
-            wx, wy = units[x][4], units[y][4]
-            same = wx == wy
-            if not same and min(len(wx), len(wy)) >= sd.LEAST_BANDED:
-                gx, gy = grams(wx), grams(wy)
-                same = len(gx & gy) >= sd.LEAST * len(gx | gy)
-            if same:
+            gx, gy = units[x][3], units[y][3]
+            if units[x][2] == units[y][2] or len(gx & gy) >= sd.LEAST * len(gx | gy):
                 old, new = max(cls[x], cls[y]), min(cls[x], cls[y])
                 cls = [new if c == old else c for c in cls]
     hot = {c for c in cls if len({units[k][0] for k in range(len(units)) if cls[k] == c}) > 1}
+    return {(u[0], u[1] + k) for u, c in zip(units, cls) if c in hot for k in range(len(u[2]))}
+
+
+def brute_runs(rows, run):
+    """(doc_id, word) of all words in windows of run words that two documents have, by all windows."""
+    split, seen = texts_of(rows), {}
+    for i, ws in split.items():
+        for k in range(len(ws) - run + 1):
+            seen.setdefault(tuple(w for _, _, w in ws[k : k + run]), set()).add((i, k))
+    return {(i, k + j) for at in seen.values() if len({i for i, _ in at}) > 1 for i, k in at for j in range(run)}
+
+
+def islands(found, split, least):
+    """(doc_id, start, end, words) of runs of neighbouring words."""
     out, last = [], None
-    for u, c in sorted(zip(units, cls), key=lambda p: p[0][:2]):
-        if c in hot:
-            if last == (u[0], u[1] - 1):
-                out[-1][2], out[-1][3] = u[3], out[-1][3] + len(u[4])
-            else:
-                out.append([u[0], u[2], u[3], len(u[4])])
-            last = u[:2]
-    return sorted(tuple(x) for x in out if x[3] >= sd.LEAST_WORDS)
+    for i, k in sorted(found):
+        if last == (i, k - 1):
+            out[-1][2], out[-1][3] = split[i][k][1], out[-1][3] + 1
+        else:
+            out.append([i, split[i][k][0], split[i][k][1], 1])
+        last = (i, k)
+    return [tuple(x) for x in out if x[3] >= least]
 
 
 @pytest.fixture(scope="module")
@@ -59,9 +78,33 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "n", 3) for i, t in rows], "doc_id long, text string, node string, words int")
 
 
-def test_brute_force(spark, rows):
-    got = sorted((r["doc_id"], r["start"], r["end"], r["words"]) for r in sd.repeated_passages(frame(spark, rows)).collect())
-    assert got == brute(rows) and got
+@pytest.mark.parametrize("least_words", [sd.LEAST_WORDS, 1])
+def test_brute_force(spark, rows, least_words):
+    got = sd.repeated_passages(frame(spark, rows), least_words=least_words).collect()
+    split, lines = texts_of(rows), brute_lines(rows)
+    found = {(r["doc_id"], k) for r in got for k, (a, b, _) in enumerate(split[r["doc_id"]]) if r["start"] <= a and b <= r["end"]}
+    assert sum(r["words"] for r in got) == len(found)
+    runs, long = brute_runs(rows, sd.RUN), brute_runs(rows, sd.RUN + sd.NEAR - 1)
+    assert found <= lines | runs
+    # every line that repeats, and something of every run that is long enough for a common mark
+    want = islands(lines | found, split, least_words)
+    assert sorted((r["doc_id"], r["start"], r["end"], r["words"]) for r in got) == want and want
+    assert all(any(a <= x["start"] < b or x["start"] <= a < x["end"] for x in got if x["doc_id"] == i) for i, a, b, _ in islands(long, split, 1))
+
+
+def test_pieces_of_the_hashing():
+    hasher = sd.Hasher(fold=True)
+    w = sd.read("The cat İ sat\n\n on_the MAT 9½ x\nthe CAT", hasher)
+    assert [("The cat İ sat\n\n on_the MAT 9½ x\nthe CAT"[a:b]) for a, b in zip(w.start, w.end)] == ["The", "cat", "İ", "sat", "on_the", "MAT", "9½", "x", "the", "CAT"]
+    assert (w.first.tolist(), w.last.tolist()) == ([0, 4, 8], [4, 8, 10])
+    h = [w.spans(sd.np.array([0, 8, 1]), sd.np.array([2, 10, 3]), k) for k in (0, 1)]
+    assert all(x[0] == x[1] != x[2] for x in h)
+    line, shingle = sd.line_shingles(w)
+    assert line.tolist() == [0, 1, 2] and len(set(shingle.tolist())) == 3
+    for n in (0, 5, 19, 20, 30, 43, 44, 300):
+        v = sd.read(" ".join(f"w{k * 7919 % 1000}" for k in range(n)), hasher)
+        got = sd.marks(v)
+        assert len(got) == 0 if n < sd.RUN else len(got) and (sd.np.diff(got) <= sd.NEAR).all() and got[0] < sd.NEAR and got[-1] > n - sd.RUN - sd.NEAR
 
 
 def test_first_occurrence_stays(spark, rows):
@@ -87,16 +130,6 @@ def test_tuning():
     assert 1 - (1 - sd.LEAST**rows) ** bands >= sd.RECALL and 1 - (1 - 0.3**rows) ** bands <= 0.35
 
 
-def test_passage_inside_a_long_line_is_cut_alike():
-    rng = random.Random(1)
-    sentence = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(9)) + "."
-    passage = [sentence() for _ in range(12)]
-    texts = [" ".join([*(sentence() for _ in range(k)), *passage, *(sentence() for _ in range(5))]) for k in (3, 6)]
-    pieces = [{t[a:b] for a, b in sd.paragraphs(t)} for t in texts]
-    shared = pieces[0] & pieces[1]
-    assert sum(len(x) for x in shared) >= 0.5 * len(" ".join(passage))
-
-
 @pytest.mark.parametrize("marks", [True, False])
 def test_passages_of_51_words_inside_lines_against_all_windows(spark, marks):
     rng = random.Random(5)
@@ -111,7 +144,37 @@ def test_passages_of_51_words_inside_lines_against_all_windows(spark, marks):
             seen.setdefault(tuple(m[0] for m in ws[k : k + sd.LEAST_WORDS]), []).append((i, k))
     want = {(i, k + j) for at in seen.values() if len({i for i, _ in at}) > 1 for i, k in at for j in range(sd.LEAST_WORDS)}
     found = {(r["doc_id"], k) for r in got for k, m in enumerate(split[r["doc_id"]]) if r["start"] <= m.start() < r["end"]}
-    # long pieces that differ in a word at the passage's edge are near copies, with that word
-    assert len(want) >= 300 * 51 and len(found - want) <= 0.001 * len(want) and len(found) >= 0.7 * len(want)
+    assert len(want) >= 300 * 51 and found <= want and len(found) >= 0.7 * len(want)
     assert {i for i, _ in found} == set(range(300))
     assert all(r["removed_words"] == (r["words"] if r["doc_id"] % 2 else 0) and r["words"] >= sd.LEAST_WORDS for r in got)
+
+
+def test_class_and_source_link_passages(spark, rows):
+    got = sd.repeated_passages(frame(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["class_id"], set()).add((r["doc_id"], r["source_doc_id"]))
+    assert all(len({s for _, s in x}) == 1 for x in by.values())
+    assert all(s <= i for x in by.values() for i, s in x) and any(len(x) > 1 for x in by.values())
+
+
+def test_texts_that_share_a_doc_id_have_their_own_passages(spark):
+    p = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"aa bb\n{p}"), (1, f"cc\n{p}"), (2, f"{p}\ndd")]
+    df = frame(spark, rows)
+    got = sorted((r["doc_id"], r["start"], r["words"], r["removed_words"]) for r in sd.repeated_passages(df).collect())
+    assert [(i, a, w) for i, a, w, _ in got] == [(1, 3, 60), (1, 6, 60), (2, 0, 60)]
+    assert sorted(len(r["text"]) for r in sd.remove_passages(df, sd.repeated_passages(df)).collect())[-1] >= len(p)
+
+
+def test_columns_named_like_the_operators_own(spark, rows):
+    df = spark.createDataFrame([(i, t, 1, "v", "s") for i, t in rows], "doc_id long, text string, spans int, version string, _spans string")
+    out = sd.remove_passages(df, sd.repeated_passages(df))
+    assert out.columns == df.columns and {(r["spans"], r["version"], r["_spans"]) for r in out.collect()} == {(1, "v", "s")}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
+    got = sd.repeated_passages(frame(spark, [(1, long), (2, "x " + long[100_000:101_000])])).collect()
+    assert {r["doc_id"] for r in got} == {1, 2}
