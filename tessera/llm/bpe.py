@@ -185,7 +185,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 def head_cut(words: DataFrame, bound: int = HEAD) -> float:
     """The count from which words are broadcast: at most bound words, of HEAD_BYTES, have it. The histogram has at most 260 rows."""
     level = F.floor(F.log2("n") * 4)
-    size = F.octet_length("word") + F.octet_length("decoded") + 4 * F.size("ids")
+    size = F.octet_length("word") + F.octet_length("decoded") + F.octet_length("ids")
     rows = words.filter(F.char_length("word") <= HEAD_CHARS).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes")).collect()
     cut, total, held = float("inf"), 0, 0
     for r in sorted(rows, key=lambda r: -r["level"]):
@@ -199,10 +199,11 @@ def head_cut(words: DataFrame, bound: int = HEAD) -> float:
 class Head:
     """The broadcast words: their numbers, most frequent first, their ids one after another, and their decoded texts."""
 
-    def __init__(self, rows: list[tuple[str, list[int], str]]) -> None:
+    def __init__(self, rows: list[tuple[str, bytes, str]], kind: np.dtype) -> None:
+        self.kind = kind  # of ids, in words' bytes
         self.number = {w: i for i, (w, _, _) in enumerate(rows)}
-        self.ends = np.concatenate([[0], np.cumsum([len(ids) for _, ids, _ in rows], dtype=np.int64)])
-        self.flat = np.fromiter((i for _, ids, _ in rows for i in ids), "<u4", int(self.ends[-1]))
+        self.ends = np.concatenate([[0], np.cumsum([len(ids) // kind.itemsize for _, ids, _ in rows], dtype=np.int64)])
+        self.flat = np.frombuffer(b"".join(ids for _, ids, _ in rows), kind).astype("<u4")
         self.texts = np.array([*(t for _, _, t in rows), None], object)[:-1]
 
     def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -212,7 +213,7 @@ class Head:
         got = [n if (n := get(w, -1)) >= 0 else size + far.setdefault(w, len(far)) for w in words]
         return np.array(got, "<u4"), list(far)
 
-    def spell(self, numbers: np.ndarray, far: list[tuple[list[int], str]]) -> tuple[np.ndarray, str]:
+    def spell(self, numbers: np.ndarray, far: list[tuple[bytes, str]]) -> tuple[np.ndarray, str]:
         """The ids and the decoded text of a document."""
         size = len(self.texts)
         near = numbers < size
@@ -223,10 +224,10 @@ class Head:
         texts[near] = self.texts[mine]
         source = self.flat
         if far:
-            ends = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in far], dtype=np.int64)])
+            ends = np.concatenate([[0], np.cumsum([len(ids) // self.kind.itemsize for ids, _ in far], dtype=np.int64)])
             begin[~near], length[~near] = ends[rest], ends[rest + 1] - ends[rest]
             texts[~near] = np.array([t for _, t in far], object)[rest]
-            source = np.array([i for ids, _ in far for i in ids], "<u4")
+            source = np.frombuffer(b"".join(ids for ids, _ in far), self.kind).astype("<u4")
         total = np.cumsum(length)
         at = np.repeat(begin - total + length, length) + np.arange(int(total[-1]) if len(total) else 0)
         if far:
@@ -256,11 +257,13 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = write_table(decode(word_table(docs.select("text"), path), path), "bpe-words")
+    width = 4 if len(codec(path).pieces) < 1 << 16 else 8  # hex digits of an id
+    code = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), width, "0")), ""))
+    words = write_table(decode(word_table(docs.select("text"), path), path).withColumn("ids", code), "bpe-words")
     cut = head_cut(words, head)
     frequent = (F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS)
     chosen = words.filter(frequent).orderBy(F.desc("n"), "word").select("word", "ids", "decoded").toLocalIterator() if cut < float("inf") else []
-    sent = spark.sparkContext.broadcast(Head([tuple(r) for r in chosen]))
+    sent = spark.sparkContext.broadcast(Head([tuple(r) for r in chosen], np.dtype(f">u{width // 2}")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, near = codec(path), sent.value
