@@ -27,10 +27,13 @@ from tessera.operators.graph import connected_components
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """The rows of members (key, id, weight) whose key has two or more, with the number of them as size; dealt by key once."""
-    dealt = members.repartition("key")
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return write_table(dealt.join(sizes, "key"), "link-shared")
+    """The rows of members (key, id, weight; distinct in key and id) whose key has two or more, with the number of them as size.
+
+    They are dealt by key once: both uses of the shuffle need the whole item, so Spark keeps them alike and reuses it.
+    """
+    dealt = members.select("key", F.struct("id", "weight").alias("item")).repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
+    return write_table(dealt.join(sizes.select("key", "size"), "key").select("key", "item.*", "size"), "link-shared")
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:

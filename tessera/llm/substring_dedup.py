@@ -63,12 +63,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of a text: spans in code points, lower-case hashes' polynomials, and the words (from, to) of each line that has some."""
+    """The words of texts one after another.
+
+    Spans in code points of their text, polynomials of the lower-case hashes, the text and line of each word, and the words (from, to) of
+    each line that has some.
+    """
 
     start: np.ndarray
     end: np.ndarray
     sums: tuple[np.ndarray, np.ndarray]
-    line: np.ndarray  # number of the line of each word
+    text: np.ndarray
+    origin: np.ndarray  # the first word of each word's text
+    line: np.ndarray
     first: np.ndarray
     last: np.ndarray
 
@@ -79,17 +85,34 @@ class Words:
         return mix((self.sums[which][b] - self.sums[which][a]) * back[a] + (b - a).astype(np.uint64))
 
 
-def read(text: str, hasher: Hasher) -> Words:
-    """hasher: one with fold, so that a word counts by its lower case."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], word_marks()[codes], [False]]).astype(np.int8)))
+def read(texts: list[str], hasher: Hasher) -> Words:
+    """hasher: one with fold, so that a word counts by its lower case. Texts are read together, each ended by a line end."""
+    whole = "\n".join([*texts, ""])
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], word_marks()[codes], [False]]).view(np.int8)))
     start, end = edges[::2], edges[1::2]
-    h = hasher.words(WORD.findall(text))
+    h = hasher.words(WORD.findall(whole))
     size = max(10, int(len(h)).bit_length())
     sums = tuple(np.concatenate([np.zeros(1, np.uint64), np.cumsum((h if k == 0 else mix(h)) * powers(BASES[k], size)[0][: len(h)], dtype=np.uint64)]) for k in (0, 1))
     line = np.searchsorted(np.flatnonzero(codes == 10), start)
     first = np.flatnonzero(np.diff(line, prepend=-1))
-    return Words(start, end, sums, line, first, np.append(first[1:], len(start)) if len(start) else first)
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+    text = np.searchsorted(begin, start, side="right") - 1
+    origin = np.searchsorted(text, np.arange(len(texts)))
+    return Words(start - begin[text], end - begin[text], sums, text, origin[text], line, first, np.append(first[1:], len(start)) if len(start) else first)
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch in lists of about most characters: the row of the first text, and the texts."""
+    at, held, size = 0, [], 0
+    for k, t in enumerate(batch.column(column)):
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= most:
+            yield at, held
+            at, held, size = k + 1, [], 0
+    if held:
+        yield at, held
 
 
 def line_shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -108,19 +131,22 @@ def line_shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(w: Words, run: int = RUN, near: int = NEAR) -> np.ndarray:
-    """The first words of the marked windows."""
+    """The first words of the marked windows; a window lies in one text, and near a text's ends neighbours are fewer."""
     n = len(w.start) - run + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     at = np.arange(n)
-    h = w.spans(at, at + run, 0)
-    if n <= near:
-        return np.array([int(h.argmin())])
+    inside = w.text[at] == w.text[at + run - 1]
+    none = np.iinfo(np.uint64).max
+    pad = np.full(near - 1, none, np.uint64)
+    h = np.concatenate([pad, np.where(inside, np.minimum(w.spans(at, at + run, 0), none - np.uint64(1)), none), pad])
     found, block = [], 1 << 16  # bounded memory for long texts
-    for k in range(0, n - near + 1, block):
-        view = np.lib.stride_tricks.sliding_window_view(h[k : min(n, k + block + near - 1)], near)
-        found.append(k + np.arange(len(view)) + view.argmin(axis=1))
-    return np.unique(np.concatenate(found))
+    for k in range(0, len(h) - near + 1, block):
+        view = np.lib.stride_tricks.sliding_window_view(h[k : min(len(h), k + block + near - 1)], near)
+        found.append(np.unique(k + np.arange(len(view)) + view.argmin(axis=1)))
+    out = np.unique(np.concatenate(found)) - (near - 1)
+    out = out[(out >= 0) & (out < n)]
+    return out[inside[out]]
 
 
 def binary(high: np.ndarray, low: np.ndarray) -> pa.Array:
@@ -141,8 +167,8 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         hasher = Hasher(fold=True)
         odd = np.random.default_rng(7).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for doc, version, text in zip(*(batch.column(k) for k in range(3))):
-                w = read(text.as_py(), hasher)
+            for row, texts in parts(batch, 2):
+                w = read(texts, hasher)
                 n = len(w.first)
                 if not n:
                     continue
@@ -154,8 +180,9 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     key = (key ^ (key >> np.uint64(29))) * GOLD + low[:, :, r]
                 node = binary(w.spans(w.first, w.last, 0), w.spans(w.first, w.last, 1))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.ravel().view(np.int64)))
-                whole = [pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, version.as_py(), np.int32)), pa.array(w.first.astype(np.int32)), pa.array(w.last.astype(np.int32)), pa.array(w.start[w.first].astype(np.int32)), pa.array(w.end[w.last - 1].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*whole, node, pa.array(np.bincount(line, minlength=n).astype(float)), keys], names=names)
+                owner = pa.array(row + w.text[w.first])
+                place = [w.first - w.origin[w.first], w.last - w.origin[w.first], w.start[w.first], w.end[w.last - 1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in place), node, pa.array(np.bincount(line, minlength=n).astype(float)), keys], names=names)
 
     return docs.mapInArrow(run, "doc_id long, version int, w0 int, w1 int, start int, end int, node binary, weight double, keys array<long>")
 
@@ -167,12 +194,12 @@ def windows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=True)
         for batch in batches:
-            for doc, version, text in zip(*(batch.column(k) for k in range(3))):
-                w = read(text.as_py(), hasher)
+            for row, texts in parts(batch, 2):
+                w = read(texts, hasher)
                 at = marks(w)
-                if n := len(at):
-                    hashes = [pa.array(w.spans(at, at + RUN, k).view(np.int64)) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*hashes, pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, version.as_py(), np.int32)), pa.array(at.astype(np.int32)), pa.array(w.start[at].astype(np.int32)), pa.array(w.end[at + RUN - 1].astype(np.int32))], names=names)
+                owner = pa.array(row + w.text[at])
+                place = [at - w.origin[at], w.start[at], w.end[at + RUN - 1]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(w.spans(at, at + RUN, k).view(np.int64)) for k in (0, 1)), batch.column(0).take(owner), batch.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in place)], names=names)
 
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, version int, w0 int, start int, end int")
 
@@ -183,12 +210,11 @@ def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=True)
         for batch in batches:
-            for text in batch.column(2):
-                w = read(text.as_py(), hasher)
-                if len(w.first):
-                    found = [x.lower() for x in WORD.findall(text.as_py())]
-                    lines = [" ".join(found[a:b]) for a, b in zip(w.first.tolist(), w.last.tolist())]
-                    yield pa.RecordBatch.from_arrays([binary(w.spans(w.first, w.last, 0), w.spans(w.first, w.last, 1)), pa.array(lines, pa.string())], names=["id", "text"])
+            for _, texts in parts(batch, 2):
+                w = read(texts, hasher)
+                found = [x.lower() for t in texts for x in WORD.findall(t)]
+                lines = [" ".join(found[a:b]) for a, b in zip(w.first.tolist(), w.last.tolist())]
+                yield pa.RecordBatch.from_arrays([binary(w.spans(w.first, w.last, 0), w.spans(w.first, w.last, 1)), pa.array(lines, pa.string())], names=["id", "text"])
 
     return docs.mapInArrow(run, "id binary, text string").join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
@@ -240,11 +266,15 @@ def repeated_lines(docs: DataFrame, least: float) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """The same columns for the marked windows that two documents have. The windows are dealt by their hash once."""
-    dealt = windows(docs).repartition("h1")
-    shared = dealt.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "w0")).alias("first")).filter("low <> high")
-    hits = dealt.join(shared.select("h1", "h2", "first"), ["h1", "h2"])
-    return hits.select("doc_id", "version", "w0", (F.col("w0") + RUN).alias("w1"), "start", "end", F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("class_id"), "first")
+    """The same columns for the marked windows that two documents have.
+
+    The windows are dealt by their hash once: both uses of the shuffle need the whole place, so Spark keeps them alike and reuses it.
+    """
+    dealt = windows(docs).select("h1", "h2", F.struct("doc_id", "w0", "version", "start", "end").alias("place")).repartition("h1")
+    shared = dealt.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("most")).filter("first.doc_id <> most.doc_id")
+    hits = dealt.join(shared.select("h1", "h2", F.struct("first.doc_id", "first.w0").alias("first")), ["h1", "h2"])
+    mark = F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("class_id")
+    return hits.select("place.doc_id", "place.version", "place.w0", (F.col("place.w0") + RUN).alias("w1"), "place.start", "place.end", mark, "first")
 
 
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -94,7 +94,7 @@ def test_brute_force(spark, rows, least_words):
 
 def test_pieces_of_the_hashing():
     hasher = sd.Hasher(fold=True)
-    w = sd.read("The cat İ sat\n\n on_the MAT 9½ x\nthe CAT", hasher)
+    w = sd.read(["The cat İ sat\n\n on_the MAT 9½ x\nthe CAT"], hasher)
     assert [("The cat İ sat\n\n on_the MAT 9½ x\nthe CAT"[a:b]) for a, b in zip(w.start, w.end)] == ["The", "cat", "İ", "sat", "on_the", "MAT", "9½", "x", "the", "CAT"]
     assert (w.first.tolist(), w.last.tolist()) == ([0, 4, 8], [4, 8, 10])
     h = [w.spans(sd.np.array([0, 8, 1]), sd.np.array([2, 10, 3]), k) for k in (0, 1)]
@@ -102,9 +102,13 @@ def test_pieces_of_the_hashing():
     line, shingle = sd.line_shingles(w)
     assert line.tolist() == [0, 1, 2] and len(set(shingle.tolist())) == 3
     for n in (0, 5, 19, 20, 30, 43, 44, 300):
-        v = sd.read(" ".join(f"w{k * 7919 % 1000}" for k in range(n)), hasher)
+        v = sd.read([" ".join(f"w{k * 7919 % 1000}" for k in range(n))], hasher)
         got = sd.marks(v)
         assert len(got) == 0 if n < sd.RUN else len(got) and (sd.np.diff(got) <= sd.NEAR).all() and got[0] < sd.NEAR and got[-1] > n - sd.RUN - sd.NEAR
+    one, two = "a b c", " ".join(f"v{k}" for k in range(70))
+    both, alone = sd.read(["", one, two, "", two], hasher), sd.read([two], hasher)
+    at = sd.marks(both)
+    assert set(both.text[at].tolist()) == {2, 4} and [(at[both.text[at] == k] - both.origin[at[both.text[at] == k]]).tolist() for k in (2, 4)] == [sd.marks(alone).tolist()] * 2
 
 
 def test_first_occurrence_stays(spark, rows):
