@@ -79,8 +79,16 @@ def norm_of(text: Column) -> tuple[Column, Column]:
 
 def canonical_citation(text: Column) -> Column:
     """struct(canon_key, display) of a citation; null for what refers back, dumps an article, is over 120 characters or has no norm."""
-    t = collapse(text)
-    key, norm = norm_of(t)
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  a lambda's variable is evaluated once, however often it is used
+
+    def norm(t: Column) -> Column:
+        key, name = norm_of(t)
+        return once(F.struct(t.alias("t"), key.alias("key"), name.alias("name")), lambda n: _cite(n["t"], n["key"], n["name"]))
+
+    return once(collapse(text), norm)
+
+
+def _cite(t: Column, key: Column, norm: Column) -> Column:
     part = {name: _got(t, pattern) for name, _, pattern in COMPONENTS}
     for name in ("livro", "apendice", "titulo", "capitulo", "secao", "inciso"):
         part[name] = F.upper(part[name])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,13 +18,18 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&ordm;": "º", "&ordf;": "ª", "&sect;": "§", "&ndash;": "–", "&mdash;": "—", "&middot;": "·", "&copy;": "©", "&deg;": "°", "&amp;": "&"}
 
 
+#: Every Latin, Greek or Cyrillic letter that decomposes into a letter and marks, by that rule, and the marks themselves.
+FOLDED = {chr(c): u for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)) if (u := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) != chr(c) and len(u) == 1}
+
+
 def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
 def normalise(s: Column) -> Column:
-    """Lower case without accents, white space collapsed; ß keeps."""
-    return collapse(F.lower(F.translate(F.coalesce(s, F.lit("")), MARKED, PLAIN)))
+    """Lower case without accents (letters by canonical decomposition, and free marks U+0300 to U+036F), white space collapsed; ß keeps."""
+    bare = F.translate(F.coalesce(s, F.lit("")), "".join(FOLDED), "".join(FOLDED.values()))
+    return collapse(F.lower(F.regexp_replace(bare, "[\u0300-\u036F]", "")))
 
 
 def slug(s: Column) -> Column:

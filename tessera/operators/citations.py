@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.legal import canonical_citation
 from tessera.operators.graph import connected_components
+from tessera.operators.relational import number_all
 
 
 def inverted_index(mentions: DataFrame) -> DataFrame:
-    """canon_key, display (first seen by seq), occurrences, variants and docs, of (canon_key, display, variant, doc, seq)."""
-    return mentions.groupBy("canon_key").agg(F.min_by("display", "seq").alias("display"), F.count(F.lit(1)).alias("occurrences"), F.array_sort(F.collect_set("variant")).alias("variants"), F.array_sort(F.collect_set("doc")).alias("docs"))
+    """canon_key, display (first seen by seq, ties to the smaller text), occurrences, variants and n_docs, of (canon_key, display, variant, doc, seq).
+
+    The documents of a key are rows, see postings: a frequent key has too many for one.
+    """
+    heads = mentions.groupBy("canon_key").agg(F.min_by("display", F.struct("seq", "display")).alias("display"), F.count(F.lit(1)).alias("occurrences"), F.array_sort(F.collect_set("variant")).alias("variants"))
+    return heads.join(postings(mentions).groupBy("canon_key").agg(F.count(F.lit(1)).alias("n_docs")), "canon_key")
+
+
+def postings(mentions: DataFrame) -> DataFrame:
+    """(canon_key, doc), each pair once."""
+    return mentions.select("canon_key", "doc").distinct()
+
+
+def canonicalise(rows: DataFrame, text: str) -> DataFrame:
+    """rows with canon_key and display of the citation in the column text; each distinct text is canonicalised once and joined back.
+
+    The distinct texts are checkpointed, so that no later filter makes Catalyst copy the long expression.
+    """
+    known = rows.select(F.col(text).alias("_text")).distinct().withColumn("_canon", canonical_citation(F.col("_text"))).checkpoint()
+    return rows.join(known, F.col(text).eqNullSafe(F.col("_text")), "left").select(*rows.columns, "_canon.canon_key", "_canon.display")
 
 
 def mode_by(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -67,6 +87,5 @@ def related(mentions: DataFrame, seeds: DataFrame, least_shared: int, most: int)
 
 def node_index(keys: DataFrame, themes: DataFrame) -> DataFrame:
     """Nodes by position: keys in order, then themes by rank."""
-    order = Window.orderBy("part", "rank", "id")
     both = keys.select(F.lit(0).alias("part"), F.lit(0).alias("rank"), F.col("key").cast("string").alias("id")).unionByName(themes.select(F.lit(1).alias("part"), "rank", F.col("theme").cast("string").alias("id")))
-    return both.withColumn("idx", F.row_number().over(order) - 1).select("idx", "part", "id")
+    return number_all(both, [F.col("part"), F.col("rank"), F.col("id")], "idx").withColumn("idx", (F.col("idx") - 1).cast("int")).select("idx", "part", "id")

@@ -76,3 +76,21 @@ def spans(text: str, wanted: list[str]) -> list[dict]:
         else:
             out.append([a, b])
     return [{"start": a, "end": b} for a, b in out]
+
+
+def containing(items: DataFrame, docs: DataFrame, item: str, doc: str, size: int = 3) -> DataFrame:
+    """(item, documents): how many documents hold the whole text of each item; items that none holds have no row.
+
+    An item of size + 2 words or more is found by its inner words 2 to size + 1, which a document that holds it has as words as well:
+    an equi-join of hashed word sequences, then the whole text is compared. Shorter items, few as they are, are compared with
+    every document; the list of items is the smaller side.
+    """
+    parted = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
+    named = items.filter("text <> ''").select(F.col(item), F.col("text").alias("_whole"), parted(F.col("text")).alias("_w"))
+    anchored = named.filter(F.size("_w") >= size + 2).select(item, "_whole", F.xxhash64(F.array_join(F.slice("_w", 2, size), " ")).alias("_anchor"))
+    places = F.when(F.size("_w") >= size, F.sequence(F.lit(1), F.size("_w") - size + 1))
+    spread = docs.select(F.col(doc), parted(F.col("text")).alias("_w")).select(doc, F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " "))))).alias("_anchor"))
+    likely = spread.join(anchored.select(item, "_anchor"), "_anchor").select(doc, item).distinct()
+    long = likely.join(docs, doc).join(anchored.select(item, "_whole"), item).filter(F.contains("text", F.col("_whole"))).select(item)
+    short = docs.join(named.filter(F.size("_w") < size + 2), F.contains(F.col("text"), F.col("_whole"))).select(item)
+    return long.unionByName(short).groupBy(item).agg(F.count(F.lit(1)).alias("documents"))

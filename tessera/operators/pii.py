@@ -5,11 +5,13 @@ Overlaps are decided here: the longest span wins, then the higher confidence, th
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -85,15 +87,19 @@ class Rule:
     raises: Callable[[str], bool] | None = None
     group: int = 0
     glue: bool = True  # neighbours that make a longer number or word disqualify
+    edge: bool = False  # letters and digits of any script next to the span disqualify
+    hints: tuple[str, ...] = ()  # a text without any of these has no match
 
 
 NAME = r"[A-ZÀ-Ý][a-zà-ÿ]+"
-NUCLEUS = rf"{NAME}(?:\s+(?:d[aeo]s?\s+|e\s+)?{NAME}){{1,3}}"
 c = lambda p: re.compile(p, re.I)
 # Classes, patterns, confidences and context words of the recognizers.
+NUCLEUS = r"\p{Lu}\p{L}+(?:\s+(?:d[aeo]s?\s+|e\s+)?\p{Lu}\p{L}+){1,3}"
+STRONG = "Ltda Ltda. EIRELI Cia Cia. Companhia".split()
+STOP = set("Pessoa Física Fisica Jurídica Juridica Contribuinte Substituto Substituição Substituicao Vossa Senhoria Nota Fiscal Fiscais Simples Nacional Regime Especial Inscrição Inscricao Estadual Estaduais Cadastro Tributário Tributária Tributaria ICMS IPVA ITCD Auditor Analista Receita Fazenda Sefaz SEFAZ Secretaria Federal Portal Atendimento Junta Estado Município Municipio Prefeitura Porto Alegre Rio Grande Sul".split())
 PHONE, CEP, PROTOCOL, PLATE = (c(r"telefone|celular|fone|whatsapp|zap|contato|ligar|ligue|tel"), c(r"\bcep\b|endere[çc]o|c[óo]digo\s+postal"), c(r"\bprotocolo\b|\bproc\w*\b"), c(r"\bplacas?\b|ve[íi]culo|\bcarro\b|caminh[ãa]o|\bmoto\b"))
 RULES = [
-    Rule("EMAIL", "email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), 0.95, glue=False),
+    Rule("EMAIL", "email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), 0.95, glue=False, hints=("@",)),
     Rule("CPF", "cpf", re.compile(r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}"), 0.95, must=valid_cpf),
     Rule("CNPJ", "cnpj", re.compile(r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}"), 0.95, must=valid_cnpj),
     Rule("CNPJ", "cnpj-alfanumerico", c(r"[0-9A-Z]{2}\.?[0-9A-Z]{3}\.?[0-9A-Z]{3}/?[0-9A-Z]{4}-?[0-9]{2}"), 0.95, must=lambda s: any(x.isalpha() for x in s) and valid_cnpj(s)),
@@ -110,12 +116,24 @@ RULES = [
     Rule("PLACA", "placa", c(r"[a-z]{3}\d[a-z]\d{2}"), 0.8, PLATE, gain=0.15),
     Rule("PLACA", "placa-antiga", c(r"[a-z]{3}-?\d{4}"), 0.75, PLATE, True),
     Rule("DATA_NASCIMENTO", "nascimento", re.compile(r"\d{2}/\d{2}/\d{4}"), 0.9, c("nasc"), True, must=birthday),
-    Rule("RAZAO_SOCIAL", "razao-social", re.compile(rf"(?:{NAME}|[A-Z]{{2,}})(?:\s+(?:d[aeo]s?\s+|e\s+|&\s+)?(?:{NAME}|[A-Z]{{2,}})){{0,5}}\s+(?:Ltda\.?|LTDA\.?|EIRELI|Cia\.?|S\.?A\.?|S/A|ME|EPP)(?!\w)"), 0.7, glue=False),
-    Rule("ENDERECO", "endereco", re.compile(rf"(?:Rua|Avenida|Av\.|Travessa|Praça|Rodovia|Estrada|Alameda)\s+(?:d[aeo]s?\s+)?{NAME}(?:\s+(?:d[aeo]s?\s+|e\s+)?{NAME}){{0,4}},?\s*(?:n[º°.]*\s*)?\d+"), 0.7, glue=False),
-    Rule("NOME", "nome", re.compile(rf"\b(?:Srta\.?|Sra\.?|Sr\.?|[Cc]ontribuinte|[Rr]equerente|[Pp]rodutora?\s+rural|[Ss][óo]ci[oa]|[Nn]ome|[Tt]itular|[Rr]espons[áa]vel|[Cc]ontadora?)\s*[:,]?\s*(?:(?:d[aeo]s?|e)\s+)?({NUCLEUS})\b"), 0.7, group=1, glue=False),
+    Rule("RAZAO_SOCIAL", "razao-social", regex.compile(r"(\p{Lu}[\p{L}\d&'’.\-]*(?:\s+(?:(?:d[aeo]s?|e|&)\s+)?\p{Lu}[\p{L}\d&'’.\-]*){0,4}\s+(?:Ltda\.?|S\.?/A\.?|S\.?A\.?|SA|EIRELI|EPP|MEI|ME|Cia\.?|Companhia))(?:[^\p{L}\p{N}]|$)"), 0.7, group=1, glue=False, edge=True, must=lambda s: company(s), hints=("Ltda", "SA", "S.A", "S/A", "S./A", "EIRELI", "EPP", "ME", "Cia", "Companhia")),
+    Rule("ENDERECO", "endereco", re.compile(rf"(?:Rua|Avenida|Av\.|Travessa|Praça|Rodovia|Estrada|Alameda)\s+(?:d[aeo]s?\s+)?{NAME}(?:\s+(?:d[aeo]s?\s+|e\s+)?{NAME}){{0,4}},?\s*(?:n[º°.]*\s*)?\d+"), 0.7, glue=False, edge=True, hints=("Rua", "Avenida", "Av.", "Travessa", "Praça", "Rodovia", "Estrada", "Alameda")),
+    Rule("NOME", "nome", regex.compile(rf"\b(?:Srta\.?|Sra\.?|Sr\.?|[Cc]ontribuinte|[Rr]equerente|[Pp]rodutora?\s+rural|[Ss][óo]ci[oa]|[Nn]ome|[Tt]itular|[Rr]espons[áa]vel|[Cc]ontadora?)\s*[:,]?\s*(?:(?:d[aeo]s?|e)\s+)?({NUCLEUS})\b"), 0.7, group=1, glue=False, edge=True, must=lambda s: not stopped(s), hints=("Sr", "ontribuinte", "equerente", "rodutor", "óci", "oci", "nome", "Nome", "itular", "espons", "ontador")),
 ]
 
 
+def stopped(s: str) -> bool:
+    """Whether a token, without marks around it, is an institution's word: such a name is none."""
+    return any(regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", t) in STOP for t in s.split())
+
+
+def company(s: str) -> bool:
+    """A strong suffix needs one capitalised token before it, a weak one two with small letters."""
+    *before, suffix = s.split()
+    capital = [t for t in before if t[0].isupper()]
+    return not stopped(s) and (len(capital) >= 1 if suffix in STRONG else sum(any(x.islower() for x in t) for t in capital) >= 2)
+
+
 def glued(text: str, a: int, b: int) -> bool:
     before, after = text[a - 1 : a], text[b : b + 1]
     if any(x and x.isascii() and x.isalnum() for x in (before, after)):
@@ -124,24 +142,31 @@ def glued(text: str, a: int, b: int) -> bool:
 
 
 def detect(text: str) -> list[dict]:
-    found = []
+    found, numbers = [], re.search(r"\d", text)
     for r in RULES:
+        if (r.glue and not numbers) or (r.hints and not any(h in text for h in r.hints)):
+            continue
         for m in r.pattern.finditer(text):
             a, b = m.span(r.group)
             s = text[a:b]
+            if r.edge and (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
+                continue
             if (r.glue and glued(text, a, b)) or (r.must and not r.must(s)) or (r.not_ and r.not_(s)):
                 continue
-            behind = text[:a].encode("utf-8", "surrogatepass")[-WINDOW:].decode("utf-8", "ignore")
+            behind = text[max(0, a - WINDOW) : a].encode("utf-8", "surrogatepass")[-WINDOW:].decode("utf-8", "ignore")
             near = bool(r.context and r.context.search(behind))
             if r.needs_context and not near:
                 continue
             more = r.raises(s) if r.raises else near and not r.needs_context
             found.append({"cls": r.cls, "start": a, "end": b, "text": s, "confidence": round(r.confidence + r.gain * more, 2), "recognizer": r.name})
     kept: list[dict] = []
+    starts: list[int] = []  # of kept, ascending: only the neighbours of a span can overlap it
     for x in sorted(found, key=lambda x: (x["start"] - x["end"], -x["confidence"], x["start"], x["recognizer"])):
-        if all(x["end"] <= y["start"] or y["end"] <= x["start"] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x["start"])
+        k = bisect.bisect_left(starts, x["start"])
+        if (k == 0 or kept[k - 1]["end"] <= x["start"]) and (k == len(kept) or x["end"] <= starts[k]):
+            starts.insert(k, x["start"])
+            kept.insert(k, x)
+    return kept
 
 
 def mask(text: str) -> tuple[str, dict[str, str]]:

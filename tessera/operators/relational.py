@@ -13,9 +13,34 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> tuple[DataFr
 
 
 def fold(rows: DataFrame, key: str, seq: str, first: list[str], gather: str) -> DataFrame:
-    """One row a key: first values by seq, and what is gathered in order of seq without repeats."""
-    got = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(seq, gather))), lambda x: x[gather]))
-    return rows.groupBy(key).agg(*[F.min_by(c, seq).alias(c) for c in first], got.alias(gather))
+    """One row a key: first values by seq, and what is gathered in order of seq without repeats; ties of seq go to the smaller value.
+
+    Repeats of a value are reduced to their first seq before a key's values are gathered, so a row holds distinct values only.
+    """
+    heads = rows.groupBy(key).agg(*[F.min_by(c, F.struct(seq, c)).alias(c) for c in first])
+    values = rows.filter(F.col(gather).isNotNull()).groupBy(key, gather).agg(F.min(seq).alias("_at"))
+    lists = values.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", gather))), lambda x: x[gather]).alias(gather))
+    return heads.join(lists, key, "left")
+
+
+def first_of(rows: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
+    """Ordered dedup: of each key the row that comes first by seq; the other columns break ties."""
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*seq, *[c for c in rest if c not in seq])).alias("_row"))
+    return best.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(rows.columns)
+
+
+def number_all(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """rows numbered from 1 in the given total order, without a task that sees them all.
+
+    Rows are range-sorted and checkpointed; a task's rows are numbered from the count of rows in the tasks before it. Only a
+    row a task is gathered for those counts.
+    """
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_task", F.coalesce(F.sum("_size").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_task"))
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_task", "_before")
 
 
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:

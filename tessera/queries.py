@@ -90,11 +90,11 @@ def v_adherence(s, d):
     return hits.select("label", "rn", F.concat(F.lit("documento "), F.col("rn")).alias("row_label"), F.format_string("%.3f", 1 - F.col("dist")).alias("adherence"), F.format_string("%.3f", F.col("dist")).alias("distance"))
 
 
-@query(RANKED + ", t AS (SELECT * FROM r WHERE rn <= 3) SELECT t.label, t.rn::INT AS rn, t.vec_id, t.dist, coalesce(left(d.text, 200), '') AS body, d.doc_id IS NOT NULL AS found FROM t LEFT JOIN documents d ON d.doc_id = t.vec_id")
+@query(RANKED + ", t AS (SELECT * FROM r WHERE rn <= 3) SELECT t.label, t.rn::INT AS rn, t.vec_id, t.dist, coalesce(d.text, '') AS body, d.doc_id IS NOT NULL AS found FROM t LEFT JOIN documents d ON d.doc_id = t.vec_id")
 def v_late_body_join(s, d):
     hits = V.topk_per(*emb(s, d), 3, "label").select("label", "rn", "vec_id", "dist")
     got = V.with_bodies(hits, read(s, d, "documents").select("doc_id", "text"), "vec_id", "doc_id")
-    return got.select("label", "rn", "vec_id", "dist", F.coalesce(F.left("text", F.lit(200)), F.lit("")).alias("body"), F.col("text").isNotNull().alias("found"))
+    return got.select("label", "rn", "vec_id", "dist", F.coalesce("text", F.lit("")).alias("body"), F.col("text").isNotNull().alias("found"))
 
 
 # ---- keys, blocks, text
@@ -103,9 +103,9 @@ def k_compose_key(s, d):
     return read(s, d, "documents").select("doc_id", T.compose_key(F.col("source"), F.col("lang"), F.lit(""), F.col("text")).alias("key"))
 
 
-@query(r"SELECT doc_id, trim(left(array_to_string(list_filter([source || ' | ' || lang, left(text, 20), '', trim(left(text, 300))], lambda x: x <> ''), chr(10)), 6000)) AS key FROM documents")
+@query(r"SELECT doc_id, trim(left(array_to_string(list_filter([source || ' | ' || lang, lang, '', trim(left(text, 300))], lambda x: x <> ''), chr(10)), 6000)) AS key FROM documents")
 def k_service_key(s, d):
-    return read(s, d, "documents").select("doc_id", T.service_key(F.concat("source", F.lit(" | "), "lang"), F.left("text", F.lit(20)), F.col("text")).alias("key"))
+    return read(s, d, "documents").select("doc_id", T.service_key(F.concat("source", F.lit(" | "), "lang"), F.col("lang"), F.col("text")).alias("key"))
 
 
 WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -121,14 +121,14 @@ def k_cap_report(s, d):
     return read(s, d, "documents").groupBy("source").agg(F.count_if(F.char_length("text") >= 6000).alias("capped"), F.count(F.lit(1)).alias("keys"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(['## pergunta' || chr(10) || left(text, 60), CASE WHEN doc_id % 2 = 0 THEN '' ELSE '## resposta' || chr(10) || source END, 'Link: ' || lang], lambda x: x <> ''), chr(10)) AS block FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN text = '' THEN '' ELSE '## pergunta' || chr(10) || text END, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '## resposta' || chr(10) || source END, 'Link: ' || lang], lambda x: x <> ''), chr(10)) AS block FROM documents")
 def k_block_render(s, d):
-    return read(s, d, "documents").select("doc_id", T.block(F.left("text", F.lit(60)), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("lang")).alias("block"))
+    return read(s, d, "documents").select("doc_id", T.block(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("lang")).alias("block"))
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN left(text, 40) END, CASE WHEN lang = 'en' AND source <> '' THEN source END, '(texto indisponível)') AS body FROM documents")
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN text END, CASE WHEN lang = 'en' AND source <> '' THEN source END, '(texto indisponível)') AS body FROM documents")
 def k_degraded_block(s, d):
-    body = F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(40)))
+    body = F.when(F.col("doc_id") % 3 == 0, F.col("text"))
     return read(s, d, "documents").select("doc_id", T.degraded(body, F.col("source"), F.col("lang") == "en", "(texto indisponível)").alias("body"))
 
 
@@ -136,9 +136,9 @@ PLAINED = "translate({}, 'áàâãäåéèêëíìîïóòôõöúùûüçñýÁ
 SLUG = "trim(regexp_replace(lower(" + PLAINED.format("replace({}, 'ß', 'ss')") + "), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"SELECT doc_id, {SLUG.format('left(text, 120)')} AS slug, CASE WHEN length(x) <= 60 THEN x WHEN contains(left(x, 60), '-') THEN regexp_replace(left(x, 60), '-[^-]*$', '') ELSE left(x, 60) END AS cut FROM (SELECT *, {SLUG.format('left(text, 120)')} AS x FROM documents)")
+@query(f"SELECT doc_id, {SLUG.format('text')} AS slug, CASE WHEN length(x) <= 60 THEN x WHEN contains(left(x, 60), '-') THEN regexp_replace(left(x, 60), '-[^-]*$', '') ELSE left(x, 60) END AS cut FROM (SELECT *, {SLUG.format('text')} AS x FROM documents)")
 def t_slug(s, d):
-    one = T.slug(F.left("text", F.lit(120)))
+    one = T.slug(F.col("text"))
     return read(s, d, "documents").select("doc_id", one.alias("slug"), T.cut_slug(one, 60).alias("cut"))
 
 
@@ -214,7 +214,7 @@ def d_losers(s, d):
     return R.latest(read(s, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])[1].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("losers"))
 
 
-@query("WITH x AS (SELECT l_suppkey, l_returnflag AS flag, l_linestatus, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), f AS (SELECT l_suppkey, flag, min(seq) AS seq FROM x GROUP BY ALL) SELECT x.l_suppkey, arg_min(l_linestatus, seq) AS l_linestatus, (SELECT string_agg(flag, ',' ORDER BY seq) FROM f WHERE f.l_suppkey = x.l_suppkey) AS flags FROM x GROUP BY x.l_suppkey")
+@query("WITH x AS (SELECT l_suppkey, l_returnflag AS flag, l_linestatus, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), f AS (SELECT l_suppkey, flag, min(seq) AS seq FROM x GROUP BY ALL) SELECT x.l_suppkey, arg_min(l_linestatus, row(seq, l_linestatus)) AS l_linestatus, (SELECT string_agg(flag, ',' ORDER BY seq, flag) FROM f WHERE f.l_suppkey = x.l_suppkey) AS flags FROM x GROUP BY x.l_suppkey")
 def d_fold_by_link(s, d):
     rows = read(s, d, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("flag"), "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return R.fold(rows, "l_suppkey", "seq", ["l_linestatus"], "flag").select("l_suppkey", "l_linestatus", F.array_join("flag", ",").alias("flags"))
@@ -308,10 +308,10 @@ def themes(s, d):
 M = "WITH m AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 97 AS key FROM lineitem), th AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey % 30 AS theme FROM lineitem), ok AS (SELECT * FROM m WHERE key IN (SELECT key FROM m GROUP BY key HAVING count(*) >= 3)), p AS (SELECT a.key AS a, b.key AS b, count(*)::BIGINT AS w FROM ok a JOIN ok b ON a.doc = b.doc AND a.key < b.key GROUP BY ALL HAVING count(*) >= {least})"
 
 
-@query("SELECT l_partkey % 97 AS canon_key, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) AS display, count(*)::BIGINT AS occurrences, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS variants, count(DISTINCT l_orderkey)::BIGINT AS n_docs FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey % 97 AS canon_key, arg_min(l_returnflag, row(l_orderkey * 10 + l_linenumber, l_returnflag)) AS display, count(*)::BIGINT AS occurrences, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS variants, count(DISTINCT l_orderkey)::BIGINT AS n_docs FROM lineitem GROUP BY 1")
 def i_inverted_index(s, d):
     li = read(s, d, "lineitem").select((F.col("l_partkey") % 97).alias("canon_key"), F.col("l_returnflag").alias("display"), F.col("l_returnflag").alias("variant"), F.col("l_orderkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return C.inverted_index(li).select("canon_key", "display", "occurrences", F.array_join("variants", ",").alias("variants"), F.size("docs").cast("long").alias("n_docs"))
+    return C.inverted_index(li).select("canon_key", "display", "occurrences", F.array_join("variants", ",").alias("variants"), "n_docs")
 
 
 @query("WITH c AS (SELECT l_suppkey, l_returnflag, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_returnflag, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) AS rn FROM c) WHERE rn = 1")
@@ -343,10 +343,6 @@ def g_backbone(s, d):
     return C.backbone_of(C.cocitation_pairs(mentions(s, d), 3, 3))
 
 
-EDGES = "e AS (SELECT l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem WHERE l_quantity >= 49)"
-REACH = f"WITH RECURSIVE {EDGES}, x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, lab) AS (SELECT DISTINCT a, a FROM x UNION SELECT x.b, r.lab FROM r JOIN x ON x.a = r.id WHERE r.lab < x.b), c AS (SELECT id, min(lab)::BIGINT AS component FROM r GROUP BY id)"
-
-
 def item_edges(s, d):
     return read(s, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b"))
 
@@ -385,13 +381,14 @@ def cited(s, d):
 
 @query("SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN 'ricms-rs:art' || (l_linenumber + 1) || ':incIV' WHEN 1 THEN 'lei:8' || (100 + l_linenumber) || '/89:art' || l_linenumber WHEN 2 THEN 'convenio:' || l_linenumber || '/' || (10 + l_suppkey % 80) WHEN 4 THEN 'cf:art155:§' || l_linenumber END AS canon_key FROM lineitem")
 def c_canon_citation(s, d):
-    return cited(s, d).select("l_orderkey", "l_linenumber", G.canonical_citation(F.col("texto"))["canon_key"].alias("canon_key"))
+    return C.canonicalise(cited(s, d), "texto").select("l_orderkey", "l_linenumber", "canon_key")
 
 
 @query("SELECT CASE l_partkey % 5 WHEN 0 THEN 'RICMS' WHEN 1 THEN 'Lei/LC' WHEN 2 THEN 'Convênio/Protocolo' ELSE 'Constituição/EC' END AS family, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey % 5 <> 3 GROUP BY 1")
 def c_family_rollup(s, d):
-    rows = cited(s, d).select(G.canonical_citation(F.col("texto"))["canon_key"].alias("k")).filter("k is not null")
-    return rows.groupBy(G.family(F.col("k")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cited(s, d).groupBy("texto").agg(F.count(F.lit(1)).alias("m"))
+    rows = C.canonicalise(counts, "texto").groupBy("canon_key").agg(F.sum("m").alias("m")).filter("canon_key is not null")
+    return rows.groupBy(G.family(F.col("canon_key")).alias("family")).agg(F.sum("m").alias("n"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'e-cac' WHEN 1 THEN 'dte' WHEN 3 THEN 'sistema-' || p_partkey WHEN 4 THEN 'nf-e' END AS canon_key FROM part")
@@ -409,11 +406,10 @@ def c_chrono_key(s, d):
     return read(s, d, "orders").select("o_orderkey", key["year"].alias("year"), key["seq"].alias("seq"))
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY year(o_orderdate) DESC, o_orderkey DESC))::INT AS n FROM orders WHERE o_orderkey <= 1000")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate) DESC, o_orderkey DESC)::BIGINT AS n FROM orders")
 def c_chrono_sort(s, d):
-    rows = read(s, d, "orders").filter("o_orderkey <= 1000").withColumn("k", G.chronological_key(F.concat("o_orderkey", F.lit("/"), F.year("o_orderdate"))))
-    order = Window.orderBy(F.col("k").isNull(), F.desc("k.year"), F.desc("k.seq"), "o_orderkey")
-    return rows.select("o_orderkey", F.row_number().over(order).alias("n"))
+    rows = read(s, d, "orders").select("o_orderkey", G.chronological_key(F.concat("o_orderkey", F.lit("/"), F.year("o_orderdate"))).alias("k"))
+    return R.number_all(rows, [F.col("k").isNull(), F.desc("k.year"), F.desc("k.seq"), F.col("o_orderkey")]).select("o_orderkey", "n")
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_partkey % 300)::INT AS artigo, 0 AS sufixo, l_linenumber AS paragrafo, 0 AS paragrafo_sufixo, 4 AS inciso, 2 AS alinea, 0 AS item FROM lineitem")
@@ -552,11 +548,9 @@ def e_parity(s, d):
     return one.join(two.withColumnRenamed("n", "m"), "vec_id", "full_outer").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("n") == F.col("m")).alias("same_place"))
 
 
-@query("SELECT b.item_id, count(*)::BIGINT AS documents FROM (SELECT item_id, left(text, 60) AS head FROM benchmark WHERE length(text) >= 60) b JOIN documents d ON contains(d.text, b.head) GROUP BY b.item_id")
+@query("SELECT b.item_id, count(*)::BIGINT AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY b.item_id")
 def e_bench_overlap(s, d):
-    items = read(s, d, "benchmark").filter(F.char_length("text") >= 60).select("item_id", F.left("text", F.lit(60)).alias("head"))
-    docs = read(s, d, "documents").select("text")
-    return docs.join(items, F.contains("text", F.col("head"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return L.containing(read(s, d, "benchmark").select("item_id", "text"), read(s, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 # ---- native extras
@@ -593,3 +587,6 @@ def x_sliding(s, d):
 @query("WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 hour THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM g GROUP BY user_id, k")
 def x_session(s, d):
     return logs.sessions(read(s, d, "events"), "2 hours")
+
+
+from tessera import queries_catalog  # noqa: E402,F401  registers its own queries here
