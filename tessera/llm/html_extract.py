@@ -3,17 +3,21 @@
 Pages of a host are merged into one tree: a node is a path of block elements (tag, and class or id where there is one). A node's
 presentation is the sequence of its block children, its content the text of its own blocks; over the pages of a host both are
 distributions, and the entropy of a distribution, divided by its largest value log m, is the node's importance (the larger of both).
-Menus and notices repeat on a site, articles don't. The same tree over all hosts gives a second importance; the
+A branch is as important as the most important of its nodes, so a branch goes where all its nodes are low, and a low node keeps what is
+important below it. Menus and notices repeat on a site, articles don't. The same tree over all hosts gives a second importance; the
 smaller one counts. A tree says something from LEAST_SEEN occurrences of a node on; below, it has importance 1.
 
-Names go before entropy: elements for menus, footers, forms and the like, and elements whose class or id says so, have importance
-0 with all they hold; an article or main element and what else it holds has importance 1. From each page, branches below KEEP go.
+Names go before entropy, because menus and adverts that differ from page to page have a high entropy: elements for menus, footers, forms
+and the like, and elements with a class, id or role that says so as a whole, have importance 0 with all they hold, but never html, body,
+main or article. In an article or main element only what has a class, id or role of its own enters the tree; plain text stays. From each
+page, branches below KEEP go.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +34,14 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements by what they are.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object select".split())
+RAW = set("script style textarea title noscript iframe template svg object select".split())
+ENDS = set("script style textarea title noscript iframe".split())  # without an end tag the rest of the page is inside; other raw elements are then left out alone
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE = set("aside button dialog fieldset footer form head header menu nav".split())
 NOISE_NAMES = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that say nothing beside a name of noise ("site-footer"); any other word ("no-comments", "post-header") takes the vote away.
+PLAIN_NAMES = set("area bar block bottom box container content global left links list main page primary right secondary section site top wrapper".split())
+CONTAINERS = set("html body main article".split())
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 LISTS = set("ul ol dl menu table".split())
@@ -42,8 +50,9 @@ LISTS = set("ul ol dl menu table".split())
 @dataclass
 class Node:
     tag: str
-    path: str
-    state: str  # what names say: noise, article or nothing
+    path: int  # hash of the way from the root
+    state: str  # what names say: noise, article (plain text of one) or nothing
+    inside: bool = False  # of an article
     children: list[str] = field(default_factory=list)
 
 
@@ -55,21 +64,37 @@ class Page:
     blocks: list[tuple[Node, str]]
 
 
+def says_noise(names: str) -> bool:
+    """Whether a class, id or role has a token that names noise: one name of noise at least, beside plain words only."""
+    for token in names.lower().split():
+        words = {w for w in re.split("[_-]+", token) if w}
+        if words & NOISE_NAMES and words <= NOISE_NAMES | PLAIN_NAMES:
+            return True
+    return False
+
+
 def read_page(text: str) -> Page:
-    root = Node("", "", "")
+    root = Node("", 0, "")
     nodes, blocks, stack, buffer = [root], [], [root], []
+    holders, opened = [root], Counter()  # open block elements, and how many elements of a tag are open
     at, size = 0, len(text)
 
     def flush() -> None:
         if buffer:
             if words := " ".join(entities.unescape("".join(buffer)).split()):
-                blocks.append((next(n for n in reversed(stack) if n.tag in BLOCK or n is root), words))
+                blocks.append((holders[-1], words))
             buffer.clear()
 
     def close(upto: int) -> None:
-        flush()
+        for n in stack[upto:]:
+            opened[n.tag] -= 1
+            if n.tag in BLOCK:
+                holders.pop()
         del stack[upto:]
 
+    def last(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] else 0
+
     while at < size:
         m = TOKEN.match(text, at)
         at = m.end()
@@ -81,15 +106,16 @@ def read_page(text: str) -> Page:
         if m[1]:
             if tag == "br":
                 buffer.append(" ")
-            elif (k := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)) and (tag in BLOCK or all(n.tag not in BLOCK for n in stack[k + 1 :])):
+            elif (k := last(tag)) and (tag in BLOCK or all(n.tag not in BLOCK for n in stack[k + 1 :])):
                 if tag in BLOCK:
-                    close(k)
-                else:
-                    del stack[k:]
+                    flush()
+                close(k)
             continue
         if tag in RAW:
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            at = end.end() if end else size
+            at = end.end() if end else size if tag in ENDS else at
             continue
         if tag in VOID:
             if tag == "hr":
@@ -97,32 +123,37 @@ def read_page(text: str) -> Page:
             elif tag in ("br", "wbr"):
                 buffer.append(" " if tag == "br" else "")
             continue
-        if tag in CLOSES_P and (k := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)):
+        if tag in CLOSES_P and (k := last("p")):
+            flush()
             close(k)
-        if tag in SAME_LEVEL:
+        if tag in SAME_LEVEL and any(opened[t] for t in SAME_LEVEL[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in LISTS:
                     break
                 if stack[i].tag in SAME_LEVEL[tag]:
+                    flush()
                     close(i)
                     break
+        opened[tag] += 1
         if tag not in BLOCK:
-            stack.append(Node(tag, "", ""))
+            stack.append(Node(tag, 0, ""))
             continue
         flush()
-        over = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
-        names = sorted({w for g in NAMED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(g).lower()) if w})
-        key = tag + "".join(f".{w}" for w in names)
-        state = over.state
+        over = holders[-1]
+        names = " ".join("".join(g) for g in NAMED.findall(m[3]))
+        key = tag + "".join(f".{w}" for w in sorted(set(names.lower().split())))
+        state, inside = over.state, over.inside
         if state != "noise":
-            inside = state == "article"
-            if (tag in NOISE and not (inside and tag == "header")) or NOISE_NAMES.intersection(names):
+            if tag not in CONTAINERS and ((tag in NOISE and not (inside and tag == "header")) or says_noise(names)):
                 state = "noise"
             elif tag in ("article", "main"):
-                state = "article"
-        node = Node(tag, f"{over.path}/{key}", state)
+                state, inside = "article", True
+            elif inside and names:
+                state = ""
+        node = Node(tag, h(f"{over.path}/{key}"), state, inside)
         over.children.append(key)
         stack.append(node)
+        holders.append(node)
         nodes.append(node)
     flush()
     return Page(nodes, blocks)
@@ -147,8 +178,8 @@ def tree_rows(pages: DataFrame) -> DataFrame:
                 rows = []
                 for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     page = read_page(text)
-                    rows += [(host, h(n.path), 0, h(" ".join(n.children))) for n in page.nodes if not n.state]
-                    rows += [(host, h(n.path), 1, h(words)) for n, words in page.blocks if not n.state]
+                    rows += [(host, n.path, 0, h(" ".join(n.children))) for n in page.nodes if not n.state]
+                    rows += [(host, n.path, 1, h(words)) for n, words in page.blocks if not n.state]
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()))], names=["host", "path", "kind", "feature"])
 
@@ -186,7 +217,7 @@ def extract(pages: DataFrame, keep: float = KEEP) -> DataFrame:
         for text, gone in zip(html, low):
             found = read_page(text)
             bad = set(gone) if gone is not None else set()
-            out.append("\n".join(words for n, words in found.blocks if n.state == "article" or (not n.state and h(n.path) not in bad)))
+            out.append("\n".join(words for n, words in found.blocks if n.state == "article" or (not n.state and n.path not in bad)))
         return pd.Series(out, dtype=object)
 
     rows = pages.withColumn("_host", host_of(F.col("url"))).join(low.withColumnsRenamed({"host": "_host", "low": "_low"}), "_host", "left")

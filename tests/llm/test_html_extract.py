@@ -36,6 +36,12 @@ CASES = [
     ("<p>unclosed <b>bold", "unclosed bold"),
     ("plain &lt;text&gt; < 3", "plain <text> < 3"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+    ("<body class='page has-sidebar'><div class='page no-comments'><p>a</p></div><div class='ad-free'>b</div></body>", "a\nb"),
+    ("<article class='post share-enabled'><div class='post-header'><h1>Head</h1></div><p>text</p><footer>f</footer></article>", "Head\ntext"),
+    ("<div class='site-footer'>no</div><div class='left-sidebar'>no</div><ul class=main_nav><li>no</ul><p>yes</p>", "yes"),
+    ("<article><p>a <svg/> b <svg><text>no</text></svg>c</p><p>x <math><mi>y</mi></math></p></article>", "a b c\nx y"),
+    ("<p>before</p><select><p>after", "before\nafter"),
+    ("<p>a<script>unclosed <p>b", "a"),
     ("", ""),
     (None, ""),
     ("<div><div><div></div>", ""),
@@ -67,3 +73,17 @@ def test_importance_is_entropy(spark):
         c = [n for r, n in counts.items() if r[1] == p]
         m = sum(c)
         assert got[p] == pytest.approx(-sum(n / m * math.log(n / m) for n in c) / math.log(m))
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    began = time.time()
+    page = he.read_page("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>end" + "</b>" * 100_000)
+    assert [w for _, w in page.blocks] == ["deep", "end"] and time.time() - began < 20
+
+
+def test_repeated_box_in_an_article_goes_by_entropy(spark):
+    page = lambda k: f"<article><h1>Title {k}</h1><p>story number {k} is told here</p><div class=author-box>Written by our editors.</div></article>"
+    got = run(spark, [(k, f"https://two.example/{k}", page(k)) for k in range(30)])
+    assert got == sorted((str(k), t, len(t)) for k in range(30) for t in [f"Title {k}\nstory number {k} is told here"])
