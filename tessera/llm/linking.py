@@ -68,6 +68,17 @@ def mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.join(keys, "key")
 
 
+def merge_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after more links (a, b): only the components that they join take part, not the links inside them."""
+    own = lambda x: classes.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    named = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    edges = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+    joined = write_table(connected_components(edges), "link-joined").select(F.col("id").alias("component"), F.col("component").alias("low"))
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct().join(classes, "id", "left_anti")
+    every = classes.unionByName(ends.withColumn("component", F.col("id")))
+    return write_table(every.join(joined, "component", "left").select("id", F.coalesce("low", "component").alias("component")), "link-classes")
+
+
 def common_parts(contents: DataFrame) -> DataFrame:
     """(id, outline, common) of the items: the outline and weight of what another of them has as well. contents: (id, shingle, w)."""
     cell = F.shiftrightunsigned("shingle", 59)
@@ -105,16 +116,16 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], least: fl
         pairs = left.withColumnsRenamed({"id": "b", "weight": "wb", "component": "cb", "outline": "ob"}).join(hub, "key").filter("ca <> cb").filter(may_reach(least))
         pairs = write_table(plausible(pairs, least).join(tried, ["a", "b"], "left_anti"), "link-centre-pairs")
         tried = tried.unionByName(pairs)
-        links = write_table(links.unionByName(verify(pairs)), "link-verified")
-        classes = write_table(connected_components(links), "link-classes")
+        found = write_table(verify(pairs), "link-verified")
+        links, classes = links.unionByName(found), merge_classes(classes, found)
         left = write_table(mixed(left.drop("component"), classes), "link-open")
     else:
         left = left.withColumns({"outline": F.lit(None).cast("array<double>"), "common": F.col("weight")})
     open_pairs = write_table(plausible(across(left, least, contents is not None), least).join(tried, ["a", "b"], "left_anti"), "link-open-pairs")
     if open_pairs.isEmpty():
         return links, classes
-    more = write_table(links.unionByName(verify(open_pairs)), "link-verified")
-    return more, write_table(connected_components(more), "link-classes")
+    found = write_table(verify(open_pairs), "link-verified")
+    return links.unionByName(found), merge_classes(classes, found)
 
 
 def across(left: DataFrame, least: float, outlined: bool) -> DataFrame:

@@ -270,7 +270,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     The windows are dealt by their hash once: both uses of the shuffle need the whole place, so Spark keeps them alike and reuses it.
     """
-    dealt = windows(docs).select("h1", "h2", F.struct("doc_id", "w0", "version", "start", "end").alias("place")).repartition("h1")
+    dealt = windows(docs).select("h1", "h2", F.struct("doc_id", "w0", "version", "start", "end").alias("place")).repartition("h1", "h2")
     shared = dealt.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("most")).filter("first.doc_id <> most.doc_id")
     hits = dealt.join(shared.select("h1", "h2", F.struct("first.doc_id", "first.w0").alias("first")), ["h1", "h2"])
     mark = F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("class_id")
