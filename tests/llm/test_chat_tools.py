@@ -61,6 +61,14 @@ def test_links_order_and_cycles(spark):
     assert got[1, 9] == (None, 0, [])
 
 
+def test_extra_columns_with_clashing_names_stay(spark):
+    rows = [(1, 0, "assistant", "call", "x", "free", "{}", None, "c", "r", "d", 7), (1, 1, "tool", "result", "x", None, None, "done", None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("depth string", "_calls string") + ", _results string, _depth string, _rest int")
+    got = ct.link_calls(df, SCHEMAS)
+    assert got.columns == [*df.columns, "linked", "depth", "errors", "valid"]
+    assert sorted((r["turn"], r["_calls"], r["_results"], r["_depth"], r["_rest"], r["linked"], r["depth"]) for r in got.collect()) == [(0, "c", "r", "d", 7, True, 0), (1, None, None, None, None, True, 1)]
+
+
 def test_canonical_json(spark):
     got = spark.createDataFrame([(1, 'q"\\\n\té😀')], "n int, s string").select(ct.canonical({"b": F.col("s"), "a": F.col("n"), "Z": F.lit(None).cast("string")}).alias("j")).first()["j"]
     assert json.loads(got) == {"a": 1, "b": 'q"\\\n\té😀'} and got.startswith('{"a":1,"b":"q')

@@ -50,3 +50,36 @@ def test_mix_and_encoding(spark, steps):
 def test_run_agrees_with_the_stages(spark, steps):
     key = lambda df: sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in df.collect())
     assert key(cp.run(spark, SF)) == key(steps[-1])
+
+
+CLASHES = {"score": "string", "predicted": "string", "kept": "string", "digest": "string", "text_id": "string", "position": "string", "epoch": "string", "copies": "string", "_rest": "int"}
+
+
+def test_nulls_repeats_empty_tables_and_clashing_columns(spark):
+    """A stage keeps the rows it should with their own further columns, whatever these are called."""
+    base = 10**12  # not among the labels
+    prose = lambda k: " ".join(f"word{(k * 131 + j * 7) % 997}" for j in range(80))
+    texts = {base + k: prose(k) for k in range(6)} | {base + 6: prose(0), base + 7: "", base + 8: None}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} {t}" for c, t in CLASHES.items())
+    row = lambda i, text: (i, text, None, None if (i or 0) % 2 else "a", None, *[f"{c}{i}" for c, t in CLASHES.items() if t == "string"], 1)
+    rows = [row(i, t) for i, t in texts.items()] + [row(base + 1, prose(1)), row(None, prose(9))]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        seen = []
+        for name, stage in cp.STAGES[:-1]:
+            docs = cp.write_table(stage(spark, docs, SF), "test-pipeline")
+            assert docs.dtypes == spark.createDataFrame([], schema).dtypes, name
+            got = docs.collect()
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c, t in CLASHES.items() if t == "string"), name
+            seen.append(Counter(r["doc_id"] for r in got))
+        last = cp.STAGES[-1][1](spark, docs, SF).collect()
+        assert Counter(r["doc_id"] for r in last) == seen[3]
+        if not given:
+            assert not any(seen) and not last
+            continue
+        assert seen[0] == Counter(r[0] for r in rows)  # no label, none rejected
+        assert seen[1] == Counter([None, *(base + k for k in (1, 2, 3, 4, 5, 6, 8))]) == seen[2]
+        # 560 words: source a (320 of them) weighs 1, the null source 2; each is met to within one text of 80 words
+        assert set(seen[3]) <= set(seen[2]) and base + 8 not in seen[3] and max(seen[3].values()) <= 3
+        own = sum(n for i, n in seen[3].items() if (i or 0) % 2 == 0)
+        assert abs(80 * own - 560 / 3) < 80 and abs(80 * (seen[3].total() - own) - 1120 / 3) < 80
