@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_tools, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, toxicity
+from tessera.llm import bpe, chat_tools, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, token_output, toxicity
 from tessera.llm.common import table
 
 
@@ -16,6 +16,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def piece_bpe() -> str:
     import public_tokenizers
 
@@ -34,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": lambda s, d: mixing.op8(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: near_dedup.op9(table(s, d, "documents")),
         "op10_bpe": lambda s, d: bpe.op10(table(s, d, "documents"), word_bpe()),
+        "op11_token_output": lambda s, d: token_output.op11(table(s, d, "documents"), byte_bpe()),
     }
 
 
