@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat_tools, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, token_output, toxicity
+from tessera.llm import alignment, bpe, chat_tools, exact_dedup, hnsw, html_extract, lattice_lm, mixing, near_dedup, substring_dedup, token_output, toxicity, yinyang
 from tessera.llm.common import table
 
 
@@ -41,8 +41,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": lambda s, d: near_dedup.op9(table(s, d, "documents")),
         "op10_bpe": lambda s, d: bpe.op10(table(s, d, "documents"), word_bpe()),
         "op11_token_output": lambda s, d: token_output.op11(table(s, d, "documents"), byte_bpe()),
+        "op12_yinyang": lambda s, d: yinyang.op12(table(s, d, "embeddings")),
+        "op13_alignment": lambda s, d: alignment.op13(table(s, d, "documents"), byte_bpe(), piece_bpe()),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tools": chat_tools.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+    return {"op1_chat_tools": chat_tools.SQL, "op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op12_yinyang": yinyang.SQL}

@@ -29,8 +29,8 @@ from tessera.llm import segments
 from tessera.llm.common import shared_dir, write_table
 
 MAGIC = b"TSIMPLE8"
-#: Ids in a block; ids after which a file ends with the document; distinct segments that a worker remembers; the widest id in a word.
-BLOCK, FILE_IDS, REMEMBERED, WIDEST = 1 << 16, 1 << 25, 1 << 20, 60
+#: Ids in a block; ids after which a file ends with the document; distinct segments that a worker remembers; the widest id in a word; tasks of a reading job.
+BLOCK, FILE_IDS, REMEMBERED, WIDEST, TASKS = 1 << 16, 1 << 25, 1 << 20, 60, 1 << 14
 
 # Fixed values of the coding: the ids in a word and their bits, by selector; the first two stand for runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -356,7 +356,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     yield from (out.slice(i, 1024) for i in range(0, len(out), 1024))
 
     # a task a file, or several where there are more files than a job should have tasks
-    dealt = files.select("path", "first").repartition(F.col("path"))
+    dealt = files.select("path", "first").repartitionByRange(max(1, min(files.count(), TASKS)), "first")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
