@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def fnv1a64(data: bytes) -> int:
-    """FNV-1a with the public 64-bit offset basis and prime."""
-    h = 0xCBF29CE484222325
+def fnv1a64(data: bytes, state: int = 0xCBF29CE484222325) -> int:
+    """FNV-1a with the public 64-bit offset basis and prime; state goes on from earlier bytes."""
+    h = state
     for b in data:
         h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
     return h
@@ -25,8 +25,8 @@ def key_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def hashed_name(slug: Column, text: Column) -> Column:
-    """slug-xxxxxxxx: the low 32 bits of the hash of text."""
-    return F.concat(slug, F.lit("-"), F.substring(key_hash(text), 9, 8))
+    """slug-xxxxxxxx: the low 32 bits of the hash of text; the hash alone where there is no slug."""
+    return F.concat_ws("-", F.nullif(slug, F.lit("")), F.substring(key_hash(text), 9, 8))
 
 
 def half(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import compose_key, slug
+from tessera.functions.hashing import hashed_name
+from tessera.functions.text import compose_key, cut_slug, faq_key, service_key, slug, split_trail
 from tessera.operators.relational import number_rows
 
 #: Label of a document, plural and title of each kind, in the order of the kinds.
@@ -33,13 +34,25 @@ def with_labels(rows: DataFrame, kind: str = "kind") -> DataFrame:
     return rows.join(F.broadcast(names), kind, "left")
 
 
-def doc_path(kind: Column, title: Column, name: Column, trail: Column) -> Column:
-    """docs/<kind>/<name>.md. Rulings are named by their title's slug; the others have names of their own, laws a folder each."""
-    law = slug(F.element_at(F.split(trail, r" \| "), 1))
-    file = F.when(kind.isin("pareceres", "tarf"), slug(title)).when(kind == "legislacao", F.concat(law, F.lit("/"), name)).otherwise(name)
+#: Longest slugs in the names of services and of questions.
+SERVICE_SLUG, QUESTION_SLUG = 200, 60
+
+
+def doc_path(kind: Column, title: Column, link: Column, trail: Column) -> Column:
+    """docs/<kind>/<name>.md. Rulings are named by their title's slug, services by slug and hash of the link, questions by slug and hash of link and question; provisions likewise, in a folder that is the first part of their trail."""
+    service = hashed_name(cut_slug(slug(title), SERVICE_SLUG), link)
+    question = hashed_name(cut_slug(slug(title), QUESTION_SLUG), F.concat(link, F.lit("\n"), title))
+    law = F.substring_index(trail, " | ", 1)
+    file = F.when(kind.isin("pareceres", "tarf"), slug(title)).when(kind == "servicos", service).when(kind == "legislacao", F.concat(law, F.lit("/"), question)).otherwise(question)
     return F.concat(F.lit("docs/"), kind, F.lit("/"), file, F.lit(".md"))
 
 
+def embedding_key(kind: Column, trail: Column, title: Column, subject: Column, summary: Column, body: Column) -> Column:
+    """What is embedded of a document, by its kind: rulings by number, subject and summary; services by trail, title and the body's start; questions by trail, question and answer, provisions with the provision too."""
+    service = service_key(F.concat_ws(" | ", *split_trail(trail)), title, body)
+    return F.when(kind.isin("pareceres", "tarf"), ruling_key(title, subject, summary)).when(kind == "servicos", service).when(kind == "legislacao", faq_key(trail, title, body, subject)).otherwise(faq_key(trail, title, body))
+
+
 def misplaced(rows: DataFrame, derived: str, path: str) -> DataFrame:
     """Rows whose derived path is not the one they were read from."""
     return rows.filter(~F.col(derived).eqNullSafe(F.col(path)))
@@ -66,7 +79,7 @@ def context(rows: DataFrame, part: list[str], order: list[str], label: str, bloc
 
 def missing_summary(rows: DataFrame, kind: str, name: str, summary: str, named: int = 5) -> DataFrame:
     """A row a kind with rulings that lack a summary: their number and the names of the first few."""
-    bad = rows.filter(F.col(kind).isin("pareceres", "tarf") & (F.trim(F.coalesce(F.col(summary), F.lit(""))) == ""))
+    bad = rows.filter(F.col(kind).isin("pareceres", "tarf") & (_strip(F.coalesce(F.col(summary), F.lit(""))) == ""))
     first = number_rows(bad, [kind], [F.col(name)]).withColumn("_name", F.when(F.col("n") <= named, F.struct("n", name)))
     return first.groupBy(kind).agg(F.count(F.lit(1)).alias("refused"), F.array_join(F.transform(F.array_sort(F.collect_list("_name")), lambda x: x[name].cast("string")), ", ").alias("names"))
 
@@ -75,7 +88,7 @@ def valid_summary(text: Column, description: str, keywords: str) -> Column:
     """What is wrong with a summary of two sections, '' if nothing: both in order, a description of 1 to 2000 characters, 3 bullets."""
     p1, p2 = F.instr(text, description), F.instr(text, keywords)
     said = _strip(F.substring(text, p1 + len(description), p2 - p1 - len(description)))
-    lines = F.filter(F.split(F.substring(text, p2 + len(keywords), F.char_length(text)), "\n"), lambda x: F.ltrim(x).startswith("- "))
+    lines = F.filter(F.split(F.substring(text, p2 + len(keywords), F.char_length(text)), "\n"), lambda x: F.regexp_replace(x, r"^\s+", "").startswith("- "))
     return F.when(p1 == 0, "no description").when(p2 == 0, "no keywords").when(p2 <= p1, "order").when(said == "", "empty").when(F.char_length(said) > 2000, "too long").when(F.size(lines) < 3, "few keywords").otherwise("")
 
 
@@ -127,8 +140,8 @@ def blocks_between(marks: DataFrame, part: str, at: str, end: str) -> DataFrame:
 
 
 def effective_url(own: Column, above: Column) -> Column:
-    """A node's own URL, else that of its nearest ancestor that has one; above: URLs from the root down."""
-    return F.coalesce(own, F.try_element_at(F.filter(F.reverse(above), lambda x: x.isNotNull()), F.lit(1)))
+    """A node's own URL, else that of its nearest ancestor that has one; above: URLs from the root down. An empty URL is none."""
+    return F.coalesce(F.nullif(own, F.lit("")), F.try_element_at(F.filter(F.reverse(above), lambda x: x != ""), F.lit(1)))
 
 
 def letters(text: Column) -> Column:
@@ -154,7 +167,7 @@ def day(text: Column) -> Column:
 
 def links(text: Column) -> Column:
     """URLs in a text without the sentence's marks after them; a last bracket goes only where none opens inside."""
-    found = F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"]+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"https?://\S+"), F.lit(0))
     bare = lambda x: F.when(x.endswith(")") & ~F.contains(x, F.lit("(")), F.regexp_replace(x, r"\)$", "")).otherwise(x)
     return F.transform(found, lambda x: F.regexp_replace(bare(x), r"[.,;:!?'\"]+$", ""))
 

@@ -91,10 +91,11 @@ class Rule:
     hints: tuple[str, ...] = ()  # a text without any of these has no match
 
 
-NAME = r"[A-ZÀ-Ý][a-zà-ÿ]+"
 c = lambda p: re.compile(p, re.I)
 # Classes, patterns, confidences and context words of the recognizers.
 NUCLEUS = r"\p{Lu}\p{L}+(?:\s+(?:d[aeo]s?\s+|e\s+)?\p{Lu}\p{L}+){1,3}"
+STREETS = r"Rua Av\.? Avenida Travessa Trav\. Pra[çc]a Rodovia Rod\. Estrada Alameda Al\. Largo"
+TOKEN = r"\p{Lu}[\p{L}\d'’.\-]*"
 STRONG = "Ltda Ltda. EIRELI Cia Cia. Companhia".split()
 STOP = set("Pessoa Física Fisica Jurídica Juridica Contribuinte Substituto Substituição Substituicao Vossa Senhoria Nota Fiscal Fiscais Simples Nacional Regime Especial Inscrição Inscricao Estadual Estaduais Cadastro Tributário Tributária Tributaria ICMS IPVA ITCD Auditor Analista Receita Fazenda Sefaz SEFAZ Secretaria Federal Portal Atendimento Junta Estado Município Municipio Prefeitura Porto Alegre Rio Grande Sul".split())
 PHONE, CEP, PROTOCOL, PLATE = (c(r"telefone|celular|fone|whatsapp|zap|contato|ligar|ligue|tel"), c(r"\bcep\b|endere[çc]o|c[óo]digo\s+postal"), c(r"\bprotocolo\b|\bproc\w*\b"), c(r"\bplacas?\b|ve[íi]culo|\bcarro\b|caminh[ãa]o|\bmoto\b"))
@@ -117,7 +118,7 @@ RULES = [
     Rule("PLACA", "placa-antiga", c(r"[a-z]{3}-?\d{4}"), 0.75, PLATE, True),
     Rule("DATA_NASCIMENTO", "nascimento", re.compile(r"\d{2}/\d{2}/\d{4}"), 0.9, c("nasc"), True, must=birthday),
     Rule("RAZAO_SOCIAL", "razao-social", regex.compile(r"(\p{Lu}[\p{L}\d&'’.\-]*(?:\s+(?:(?:d[aeo]s?|e|&)\s+)?\p{Lu}[\p{L}\d&'’.\-]*){0,4}\s+(?:Ltda\.?|S\.?/A\.?|S\.?A\.?|SA|EIRELI|EPP|MEI|ME|Cia\.?|Companhia))(?:[^\p{L}\p{N}]|$)"), 0.7, group=1, glue=False, edge=True, must=lambda s: company(s), hints=("Ltda", "SA", "S.A", "S/A", "S./A", "EIRELI", "EPP", "ME", "Cia", "Companhia")),
-    Rule("ENDERECO", "endereco", re.compile(rf"(?:Rua|Avenida|Av\.|Travessa|Praça|Rodovia|Estrada|Alameda)\s+(?:d[aeo]s?\s+)?{NAME}(?:\s+(?:d[aeo]s?\s+|e\s+)?{NAME}){{0,4}},?\s*(?:n[º°.]*\s*)?\d+"), 0.7, glue=False, edge=True, hints=("Rua", "Avenida", "Av.", "Travessa", "Praça", "Rodovia", "Estrada", "Alameda")),
+    Rule("ENDERECO", "endereco", regex.compile(rf"(?:{'|'.join(STREETS.split())})\s+(?:(?:d[aeo]s?|e)\s+)?{TOKEN}(?:\s+(?:(?:d[aeo]s?|e)\s+)?{TOKEN}){{0,4}}(?:\s*,\s*|\s+)(?:n[ºo°]?\.?\s*)?\d{{1,6}}\b"), 0.7, glue=False, edge=True, hints=("Rua", "Av", "Trav", "Pra", "Rod", "Estrada", "Al", "Largo")),
     Rule("NOME", "nome", regex.compile(rf"\b(?:Srta\.?|Sra\.?|Sr\.?|[Cc]ontribuinte|[Rr]equerente|[Pp]rodutora?\s+rural|[Ss][óo]ci[oa]|[Nn]ome|[Tt]itular|[Rr]espons[áa]vel|[Cc]ontadora?)\s*[:,]?\s*(?:(?:d[aeo]s?|e)\s+)?({NUCLEUS})\b"), 0.7, group=1, glue=False, edge=True, must=lambda s: not stopped(s), hints=("Sr", "ontribuinte", "equerente", "rodutor", "óci", "oci", "nome", "Nome", "itular", "espons", "ontador")),
 ]
 

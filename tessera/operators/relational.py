@@ -93,9 +93,3 @@ def span_overlap(found: DataFrame, expected: DataFrame, doc: str) -> DataFrame:
 def number_rows(rows: DataFrame, part: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Numbers from 1 that restart in each part."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-
-
-def content_hash(rows: DataFrame, part: str, path: str, content: str) -> DataFrame:
-    """A hash of a part's sorted (path, content) pairs, and their number: the same whatever the order of the input."""
-    line = F.sha2(F.concat_ws("\0", path, content), 256)
-    return rows.groupBy(part).agg(F.count(F.lit(1)).alias("n_files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))

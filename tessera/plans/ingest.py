@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import key_hash
-from tessera.operators.relational import content_hash, merge, orphans, reuse
+from tessera.operators.integrity import content_hash
+from tessera.operators.relational import merge, orphans, reuse
 from tessera.schemas import IDENTITY
 
 
