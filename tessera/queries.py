@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import legal as G
 from tessera.functions import text as T
 from tessera.operators import citations as C
+from tessera.operators import integrity as I
 from tessera.operators import lexical as L
 from tessera.operators import pii as P
 from tessera.operators import relational as R
@@ -453,9 +454,12 @@ def a_entity_kind_pivot(s, d):
     return read(s, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("SELECT source, count(*)::BIGINT AS n_files, sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM (SELECT source, sha256(doc_id::VARCHAR || chr(0) || text) AS line FROM documents) GROUP BY source")
+MERKLE = "WITH a AS (SELECT source, sha256(concat_ws(chr(0), doc_id::VARCHAR, text)) AS name, count(*) AS n FROM documents GROUP BY ALL), b AS (SELECT source, left(name, 6) AS name, sum(n) AS n, sha256(string_agg(name || ':' || n, chr(10) ORDER BY name || ':' || n)) AS hash FROM a GROUP BY source, left(name, 6)), c AS (SELECT source, left(name, 3) AS name, sum(n) AS n, sha256(string_agg(name || ':' || hash, chr(10) ORDER BY name)) AS hash FROM b GROUP BY source, left(name, 3)) SELECT source, sum(n)::BIGINT AS n_files, sha256(string_agg(name || ':' || hash, chr(10) ORDER BY name)) AS hash FROM c GROUP BY source"
+
+
+@query(MERKLE)
 def a_content_hash(s, d):
-    return R.content_hash(read(s, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string")), "source", "doc_id", "text")
+    return I.content_hash(read(s, d, "documents").withColumn("doc_id", F.col("doc_id").cast("string")), "source", "doc_id", "text")
 
 
 @query("SELECT coalesce(year(o_orderdate)::VARCHAR, 'TOTAL') AS year, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS open, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done, count(*)::BIGINT AS n, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1)::DOUBLE AS pct FROM orders GROUP BY ROLLUP (year(o_orderdate))")
@@ -589,4 +593,4 @@ def x_session(s, d):
     return logs.sessions(read(s, d, "events"), "2 hours")
 
 
-from tessera import queries_catalog  # noqa: E402,F401  registers its own queries here
+from tessera import queries_catalog, queries_tree  # noqa: E402,F401  register their own queries here

@@ -27,11 +27,10 @@ def k_ruling_key(s, d):
     return read(s, d, "part").select("p_partkey", K.ruling_key(F.col("p_name"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("")).alias("key"))
 
 
-@query(f"SELECT p_partkey, {KIND} AS kind, left(CASE WHEN p_partkey % 5 >= 3 THEN p_name || chr(10) || p_brand || chr(10) || p_type WHEN p_partkey % 5 = 0 THEN p_brand || chr(10) || p_name || chr(10) || trim(p_type) ELSE p_brand || chr(10) || 'P: ' || p_name || chr(10) || 'R: ' || p_type END, 6000) AS key FROM part")
+@query(f"SELECT p_partkey, {KIND} AS kind, left(CASE WHEN p_partkey % 5 >= 3 THEN p_name || chr(10) || p_brand || chr(10) || p_type WHEN p_partkey % 5 = 0 THEN p_brand || ' | ' || p_size || chr(10) || p_name || chr(10) || p_type ELSE p_brand || ' | ' || p_size || chr(10) || 'P: ' || p_name || CASE p_partkey % 5 WHEN 2 THEN chr(10) || p_brand ELSE '' END || chr(10) || 'R: ' || p_type END, 6000) AS key FROM part")
 def k_key_by_kind(s, d):
-    rows, name, brand, kind = parts(s, d), F.col("p_name"), F.col("p_brand"), F.col("p_type")
-    key = F.when(F.col("kind").isin("pareceres", "tarf"), K.ruling_key(name, brand, kind)).when(F.col("kind") == "servicos", T.service_key(brand, name, kind)).otherwise(T.faq_key(brand, name, kind))
-    return rows.select("p_partkey", "kind", key.alias("key"))
+    trail = F.concat("p_brand", F.lit(" | "), "p_size")
+    return parts(s, d).select("p_partkey", "kind", K.embedding_key(F.col("kind"), trail, F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_type")).alias("key"))
 
 
 @query(f"SELECT kind, count(*)::BIGINT AS n, label, plural, title FROM (SELECT {KIND} AS kind FROM part) JOIN (VALUES ('servicos', 'Serviço', 'serviços', 'Serviços'), ('faqs', 'FAQ', 'perguntas frequentes', 'Perguntas Frequentes'), ('legislacao', 'Legislação', 'perguntas de legislação', 'Legislação'), ('pareceres', 'Parecer', 'pareceres', 'Pareceres'), ('tarf', 'Acórdão TARF', 'acórdãos', 'Acórdãos TARF')) v(kind, label, plural, title) USING (kind) GROUP BY ALL")
@@ -39,11 +38,14 @@ def j_kind_labels(s, d):
     return K.with_labels(parts(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 
 
-PATH = f"'docs/' || kind || '/' || CASE WHEN kind IN ('pareceres', 'tarf') THEN {PLAIN_SLUG.format('p_name')} WHEN kind = 'legislacao' THEN {PLAIN_SLUG.format('p_brand')} || '/' || 'n' || p_partkey ELSE 'n' || p_partkey END || '.md'"
+FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({}, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+LOW = "format('{{:08x}}', ({} % 4294967296)::UBIGINT)"
+LINK = "'http://x/' || p_partkey"
+PATH = f"'docs/' || kind || '/' || CASE WHEN kind IN ('pareceres', 'tarf') THEN {PLAIN_SLUG.format('p_name')} WHEN kind = 'servicos' THEN {PLAIN_SLUG.format('p_name')} || '-' || {LOW.format(FNV.format(LINK))} ELSE CASE kind WHEN 'legislacao' THEN p_brand || '/' ELSE '' END || {PLAIN_SLUG.format('p_name')} || '-' || {LOW.format(FNV.format(LINK + ' || chr(10) || p_name'))} END || '.md'"
 
 
 def paths(s, d):
-    return parts(s, d).withColumn("path", K.doc_path(F.col("kind"), F.col("p_name"), F.concat(F.lit("n"), F.col("p_partkey")), F.concat_ws(" | ", "p_brand", "p_type")))
+    return parts(s, d).withColumn("path", K.doc_path(F.col("kind"), F.col("p_name"), F.concat(F.lit("http://x/"), F.col("p_partkey")), F.concat_ws(" | ", "p_brand", "p_type")))
 
 
 @query(f"SELECT p_partkey, {PATH} AS path FROM (SELECT *, {KIND} AS kind FROM part)")
@@ -85,12 +87,12 @@ def k_context(s, d):
 
 @query(f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p_partkey) AS n FROM (SELECT *, {KIND} AS kind FROM part) WHERE kind IN ('pareceres', 'tarf') AND p_size % 4 = 0) SELECT kind, count(*)::BIGINT AS refused, string_agg(p_partkey::VARCHAR, ', ' ORDER BY p_partkey) FILTER (n <= 5) AS names FROM b GROUP BY kind")
 def d_missing_summary(s, d):
-    return K.missing_summary(parts(s, d).withColumn("summary", F.when(F.col("p_size") % 4 == 0, "  ").otherwise("text")), "kind", "p_partkey", "summary")
+    return K.missing_summary(parts(s, d).withColumn("summary", F.when(F.col("p_size") % 4 == 0, " \n\t").otherwise("text")), "kind", "p_partkey", "summary")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'no description' WHEN 1 THEN 'no keywords' WHEN 2 THEN 'order' WHEN 3 THEN 'empty' WHEN 4 THEN 'too long' WHEN 5 THEN 'few keywords' ELSE '' END AS problem FROM part")
 def d_valid_summary(s, d):
-    k, head, tail = F.col("p_partkey") % 7, F.lit("## desc\n"), F.lit("\n## words\n- a\n - b\n- c")
+    k, head, tail = F.col("p_partkey") % 7, F.lit("## desc\n"), F.lit("\n## words\n- a\n\t- b\n- c")
     text = F.when(k == 0, "text").when(k == 1, F.concat(head, "p_name")).when(k == 2, F.concat(tail, head)).when(k == 3, F.concat(head, F.lit("  "), tail)).when(k == 4, F.concat(head, F.repeat("p_name", F.lit(400)), tail)).when(k == 5, F.concat(head, "p_name", F.lit("\n## words\n- a\nb\n- c"))).otherwise(F.concat(head, "p_name", tail))
     return read(s, d, "part").select("p_partkey", K.valid_summary(text, "## desc", "## words").alias("problem"))
 
@@ -163,11 +165,12 @@ def d_first_wins(s, d):
     return R.first_of(read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate"]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'parent' WHEN 2 THEN 'root' END AS url FROM part")
+@query("SELECT p_partkey, coalesce(nullif(own, ''), list_filter([mid, top], lambda u: u <> '')[1]) AS url FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '' END AS own, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN '' END AS mid, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS top FROM part)")
 def t_effective_url(s, d):
-    k, none = F.col("p_partkey") % 4, F.lit(None).cast("string")
-    above = F.array(F.when(k < 3, "root"), F.when(k < 2, "parent"))
-    return read(s, d, "part").select("p_partkey", K.effective_url(F.when(k == 0, "own").otherwise(none), above).alias("url"))
+    size, k = F.col("p_size") % 3, F.col("p_partkey") % 4
+    own = F.when(size == 0, F.col("p_name")).when(size == 1, "")
+    above = F.array(F.when(F.col("p_partkey") % 5 > 0, F.col("p_type")), F.when(k == 0, F.col("p_brand")).when(k == 1, ""))
+    return read(s, d, "part").select("p_partkey", K.effective_url(own, above).alias("url"))
 
 
 @query("SELECT p_partkey, p_partkey % 4 < 2 AS label FROM part")
@@ -202,10 +205,10 @@ def t_decode_bytes(s, d):
 NORMAL = "lower(strip_accents({}))"
 
 
-@query(f"SELECT page_id FROM pages WHERE contains({NORMAL.format('url')}, 'http') AND (contains({NORMAL.format('html')}, 'cookie') OR contains({NORMAL.format('url')}, 'cookie'))")
+@query("SELECT page_id FROM pages WHERE contains(lower(strip_accents(url)), 'http') AND (contains(lower(strip_accents(html)), 'article') OR contains(lower(strip_accents(url)), 'article')) AND (contains(lower(strip_accents(html)), '7') OR contains(lower(strip_accents(url)), '7'))")
 def s_search_fields(s, d):
     """A preset of fields, each term in any of them."""
-    return L.search(read(s, d, "pages"), "HTTP cookie", ["url", "html"]).select("page_id")
+    return L.search(read(s, d, "pages"), "HTTP Árticle 7", ["url", "html"]).select("page_id")
 
 
 @query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'CEP' WHEN 1 THEN 'DATA_NASCIMENTO' WHEN 2 THEN 'PLACA' WHEN 3 THEN 'NOME' WHEN 4 THEN 'RAZAO_SOCIAL' ELSE 'EMAIL' END AS cls, CASE c_custkey % 6 WHEN 0 THEN '90010-' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') WHEN 1 THEN '12/05/1980' WHEN 2 THEN 'ABC1D23' WHEN 3 THEN 'JOÃO da Silva' WHEN 4 THEN 'Andrade Ltda.' ELSE 'a' || c_custkey || '@ex.com' END AS found FROM customer")

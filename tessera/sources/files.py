@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import collapse
 from tessera.schemas import EXTRACTION, RECORD, SNAPSHOT_VERSION
+from tessera.sources import lines
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -88,13 +89,8 @@ def safe_path(path: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str = EXTRACTION) -> DataFrame:
-    """JSON lines of one file; a broken last line is dropped (an append that was cut), any other one is an error."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).filter(F.trim("line") != "")
-    rows = rows.withColumn("row", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    last = F.max("at").over(Window.partitionBy())
-    rows = rows.withColumn("last", last).filter(F.col("row._bad").isNull() | (F.col("at") < F.col("last")))
-    fine = F.when(F.col("row._bad").isNull(), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("broken line "), F.col("at"))).cast(f"struct<{_typed(schema)},_bad:string>"))
-    return rows.select(fine.alias("row")).select("row.*").drop("_bad")
+    """JSON lines; a broken last line is dropped (an append that was cut), any other one is an error."""
+    return lines.read_json_lines(spark, path, schema)
 
 
 def _typed(schema: str) -> str:
@@ -113,11 +109,8 @@ def read_snapshot(spark: SparkSession, path: str, entity: str) -> DataFrame:
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """(n, fields) of a text whose records are set apart by lines `// n`; labels start lines, other lines continue."""
-    text = spark.read.text(path, wholetext=True)
-    parts = text.select(F.posexplode(F.split("value", r"(?m)^\s*//\s*\d+\s*$")).alias("n", "record")).filter("n > 0")
-    get = lambda k: F.trim(F.regexp_extract("record", rf"(?s)(?:^|\n){k}:(.*?)(?=\n(?:descricao|assunto|link|resumo):|$)", 1))
-    return parts.select("n", *[get(k).alias(k) for k in ("descricao", "assunto", "link", "resumo")])
+    """The records of a reference text, see lines.read_references."""
+    return lines.read_references(spark, path)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
