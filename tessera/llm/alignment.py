@@ -10,6 +10,7 @@ counts) are broadcast, the others are joined by a shuffle, once a document, and
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import segments
-from tessera.llm.common import write_table
+from tessera.llm.common import drop_table, write_table
 
 #: Bounds of the broadcast segments (number, bytes, longest), of the broadcast id pairs, and the distinct segments that a task counts before it flushes.
 HEAD, HEAD_BYTES, HEAD_LONGEST, HEAD_PAIRS, FLUSH = 1 << 19, 1 << 26, 1024, 1 << 16, 1_500_000
@@ -232,17 +233,20 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, head: int
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     counted = align_segments(count_segments(docs.select("text"), byte_path, piece_path), byte_path, piece_path)
     aligned = write_table(counted.withColumn("seg", F.monotonically_increasing_id()), "segments")
-    scores = score_segments(aligned, write_table(count_pairs(aligned), "pairs"))
+    pairs = write_table(count_pairs(aligned), "pairs")
+    scores = score_segments(aligned, pairs)
     known = aligned.select("seg", "segment", "n", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "groups").join(scores, "seg").drop("seg")
     scored = write_table(known.select("segment", "n", *FACTS, "groups"), "scored-segments")
+    drop_table(aligned)
+    drop_table(pairs)
     cut = head_cut(scored, head)
     frequent = (head_level(F.col("n")) >= F.lit(cut)) & (F.octet_length("segment") <= HEAD_LONGEST)
     rows = scored.filter(frequent).orderBy(F.desc("n"), "segment").select("segment", "groups", *FACTS).toLocalIterator() if cut < float("inf") else iter(())
-    words, spelled, facts = [], [], []
+    words, spelled, facts = [], [], array("q")
     for r in rows:
         words.append(bytes(r[0]))
         spelled.append(r[1])
-        facts.append(np.array(r[2:], np.int64))
+        facts.extend(r[2:])
     sent = spark.sparkContext.broadcast(Head(words, spelled, np.array(facts, np.int64).reshape(-1, len(FACTS))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
