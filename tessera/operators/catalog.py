@@ -77,6 +77,12 @@ def context(rows: DataFrame, part: list[str], order: list[str], label: str, bloc
     return numbered.groupBy(*part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "").alias("context"))
 
 
+def adherence_line(label: Column, n: Column, distance: Column) -> Column:
+    """How near a numbered document of a context is; one that no search found says so."""
+    near = F.format_string("%s %s · aderência %.3f · distância %.3f\n", label, n.cast("string"), 1 - distance, distance)
+    return F.when(distance.isNull(), F.concat(label, F.lit(" "), n, F.lit(" · por co-citação de dispositivos (sem busca vetorial)\n"))).otherwise(near)
+
+
 def missing_summary(rows: DataFrame, kind: str, name: str, summary: str, named: int = 5) -> DataFrame:
     """A row a kind with rulings that lack a summary: their number and the names of the first few."""
     bad = rows.filter(F.col(kind).isin("pareceres", "tarf") & (_strip(F.coalesce(F.col(summary), F.lit(""))) == ""))

@@ -15,6 +15,7 @@ from tessera.operators import lexical as L
 from tessera.operators import pii as P
 from tessera.operators import relational as R
 from tessera.operators import vector as V
+from tessera.operators.catalog import adherence_line
 from tessera.operators.graph import connected_components
 from tessera.streaming import logs
 
@@ -85,10 +86,10 @@ def v_multi_kind_retrieve(s, d):
     return V.topk_per(rows, q, ceiling, "label").select("label", "rn", "vec_id", "dist")
 
 
-@query(RANKED + "SELECT label, rn::INT AS rn, 'documento ' || rn AS row_label, printf('%.3f', 1 - dist) AS adherence, printf('%.3f', dist) AS distance FROM r WHERE rn <= 5")
+@query(RANKED + "SELECT label, rn::INT AS rn, 'documento ' || rn || CASE WHEN rn % 4 = 0 THEN ' · por co-citação de dispositivos (sem busca vetorial)' ELSE printf(' · aderência %.3f · distância %.3f', 1 - dist, dist) END || chr(10) AS adherence FROM r WHERE rn <= 5")
 def v_adherence(s, d):
     hits = V.topk_per(*emb(s, d), 5, "label")
-    return hits.select("label", "rn", F.concat(F.lit("documento "), F.col("rn")).alias("row_label"), F.format_string("%.3f", 1 - F.col("dist")).alias("adherence"), F.format_string("%.3f", F.col("dist")).alias("distance"))
+    return hits.select("label", "rn", adherence_line(F.lit("documento"), F.col("rn"), F.when(F.col("rn") % 4 > 0, F.col("dist"))).alias("adherence"))
 
 
 @query(RANKED + ", t AS (SELECT * FROM r WHERE rn <= 3) SELECT t.label, t.rn::INT AS rn, t.vec_id, t.dist, coalesce(d.text, '') AS body, d.doc_id IS NOT NULL AS found FROM t LEFT JOIN documents d ON d.doc_id = t.vec_id")
@@ -543,13 +544,13 @@ def e_hit_at_k(s, d):
     return first.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("first") == 1).alias("hit1"), F.count_if(F.col("first") <= 5).alias("hit5"))
 
 
-@query("SELECT 20::BIGINT AS hits, 20::BIGINT AS same_place")
+@query(f"SELECT e.vec_id, row_number() OVER (ORDER BY {DIST}, e.vec_id)::INT AS one, row_number() OVER (ORDER BY {DIST}, e.vec_id)::INT AS other FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY one LIMIT 20")
 def e_parity(s, d):
     rows, q = emb(s, d)
-    order = Window.orderBy("dist", "vec_id")
-    one = V.topk(rows, q, 20).select("vec_id", F.row_number().over(order).alias("n"))
-    two = V.topk(rows, q, 20, fast=True).select("vec_id", F.row_number().over(order).alias("n"))
-    return one.join(two.withColumnRenamed("n", "m"), "vec_id", "full_outer").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("n") == F.col("m")).alias("same_place"))
+    order = Window.orderBy("dist", "vec_id")  # of the 20 rows of a result
+    one = V.topk(rows, q, 20).select("vec_id", F.row_number().over(order).alias("one"))
+    two = V.topk(rows, q, 20, fast=True).select("vec_id", F.row_number().over(order).alias("other"))
+    return one.join(two, "vec_id", "full_outer")
 
 
 @query("SELECT b.item_id, count(*)::BIGINT AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY b.item_id")

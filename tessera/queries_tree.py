@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,10 @@ from tessera.operators import integrity as I
 from tessera.operators import tree as T
 from tessera.plans import update as U
 from tessera.plans.ingest import HashingEmbedder
+from tessera.plans.retrieval import contexts
 from tessera.queries import query, read
 from tessera.sources import store as S
+from tessera.streaming import logs
 
 TREE = """WITH RECURSIVE nodes AS (SELECT p_partkey::BIGINT AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent, p_partkey % 3 AS seq, p_name AS title, CASE WHEN p_size % 3 = 0 THEN 'http://t/' || (p_size % 10) || '/' END AS url, CASE p_partkey % 3 WHEN 0 THEN 'faq' WHEN 1 THEN 'menu' ELSE '' END AS page_type FROM part),
 t AS (SELECT id, title, url, page_type, [seq::BIGINT] AS path, []::BIGINT[] AS ids, []::VARCHAR[] AS names, []::VARCHAR[] AS urls FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.title, n.url, n.page_type, list_append(t.path, n.seq::BIGINT), list_append(t.ids, t.id), list_append(t.names, t.title), list_append(t.urls, t.url) FROM nodes n JOIN t ON n.parent = t.id),
@@ -109,3 +112,40 @@ def u_update_publish(s, d):
 def k_folder_hash(s, d):
     files = read(s, d, "part").select("p_brand", F.concat("p_brand", F.lit("/"), "p_partkey", F.lit(".md")).alias("path"), F.concat("p_name", "p_type").alias("content"))
     return I.folder_hash(files, "p_brand", "path", "content")
+
+
+# ---- a stream over the log
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*)::BIGINT AS n FROM events WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 2 hour GROUP BY ALL")
+def x_stream_windows(s, d):
+    """The event log as a stream: started, stopped with its state, and gone on with; windows that are closed by then.
+
+    A stream's source is a folder or a pattern, hence the brackets.
+    """
+    events, work = read(s, d, "events"), f"{S.shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        found = logs.run_counts(stream, "event_id", "1 hour", "2 hours", f"{work}/out", f"{work}/state")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- retrieval
+BLOCK = """'## pergunta' || chr(10) || source || ' | ' || lang || chr(10) || 'Doc ' || doc_id || chr(10) || lang || chr(10) || chr(10) || '## resposta' || chr(10) || CASE WHEN doc_id % 3 > 0 THEN text WHEN kind IN ('pareceres', 'tarf') THEN '[corpo indisponível — ver link]' || chr(10) || 'summary ' || doc_id ELSE '[conteúdo indisponível — ver o link oficial]' END || chr(10) || 'Link: http://d/' || doc_id"""
+LABEL = "CASE kind WHEN 'servicos' THEN 'Serviço' WHEN 'faqs' THEN 'FAQ' WHEN 'legislacao' THEN 'Legislação' WHEN 'pareceres' THEN 'Parecer' ELSE 'Acórdão TARF' END"
+
+
+@query(f"""WITH r AS (SELECT v.vec_id, {KIND_OF} AS kind, round(greatest(0.0, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS dist, d.* FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE v.vec_id % 5 <> 4),
+h AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY dist, 'v' || vec_id) AS n FROM r),
+b AS (SELECT kind, string_agg(chr(10) || '## documento ' || n || ': ' || {LABEL} || chr(10) || {BLOCK} || chr(10), '' ORDER BY n) AS context FROM h WHERE n <= CASE kind WHEN 'faqs' THEN 20 ELSE 10 END GROUP BY kind)
+SELECT code, 'all' AS entity, CASE WHEN code = 3 THEN 'unavailable' ELSE 'found' END AS state, CASE code WHEN 2 THEN (SELECT context FROM b WHERE kind = 'pareceres') WHEN 3 THEN 'A consulta de Acórdãos TARF ainda não está disponível para esta entidade.' WHEN 4 THEN (SELECT context FROM b WHERE kind = 'legislacao') ELSE (SELECT context FROM b WHERE kind = 'servicos') || chr(10) || (SELECT context FROM b WHERE kind = 'faqs') END AS context FROM (VALUES (1), (2), (3), (4), (9)) t(code) UNION ALL SELECT 2, 'nobody', 'unknown', 'nobody'""")
+def r_contexts(s, d):
+    """The context of a question of every type, of an unknown code, of a collection without records and of an entity that there is not."""
+    id = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, U.NAMES)), (id % 5 + 1).cast("int"))
+    docs = read(s, d, "documents").withColumns({"kind": kind, "doc_path": F.concat(F.lit("docs/"), id)})
+    payload = F.to_json(F.struct("kind", F.concat("source", F.lit(" | "), "lang").alias("trilha"), F.concat(F.lit("Doc "), id).alias("titulo"), F.col("lang").alias("ementa"), F.concat(F.lit("summary "), id).alias("resumo"), F.concat(F.lit("http://d/"), id).alias("link"), "doc_path"))
+    vectors, question = read(s, d, "embeddings"), read(s, d, "embeddings").filter("vec_id = 0").select("embedding")
+    records = vectors.filter("vec_id % 5 <> 4").join(docs.select("doc_id", "kind", payload.alias("document")), F.col("vec_id") == id)
+    records = records.select(F.lit("all").alias("entity"), "kind", F.concat(F.lit("v"), "vec_id").alias("id"), "embedding", "document")
+    bodies = docs.filter(id % 3 > 0).select("doc_path", F.col("text").alias("body"))
+    rows = [(code, entity, contexts(records, bodies, {"all"}, entity, code, question)) for code, entity in ((1, "all"), (2, "all"), (3, "all"), (4, "all"), (9, "all"), (2, "nobody"))]
+    return reduce(lambda a, b: a.unionByName(b), [x.select(F.lit(code).alias("code"), F.lit(entity).alias("entity"), "state", "context") for code, entity, x in rows])

@@ -27,3 +27,16 @@ def count_stream(events: DataFrame, width: str, delay: str, path: str, checkpoin
     """Writes closed windows of a stream as Parquet; late rows within the delay still count."""
     counted = tumbling(events.withWatermark("ts", delay), width)
     return counted.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_counts(events: DataFrame, key: str, width: str, delay: str, path: str, checkpoint: str) -> DataFrame:
+    """Counts what a stream of events has now, each key once, and goes on from its checkpoint when called again: the closed windows written so far.
+
+    A window is closed, and written once, when an event later than its end plus the delay has been seen. Repeated keys within the delay
+    count once, rows later than the delay don't count. All files that have arrived are read in this call (trigger availableNow).
+    """
+    spark = events.sparkSession
+    counted = tumbling(once(events, key, delay), width)
+    query = counted.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counted.schema).parquet(path)
