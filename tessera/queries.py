@@ -594,4 +594,4 @@ def x_session(s, d):
     return logs.sessions(read(s, d, "events"), "2 hours")
 
 
-from tessera import queries_catalog, queries_tree  # noqa: E402,F401  register their own queries here
+from tessera import queries_catalog, queries_files, queries_tree  # noqa: E402,F401  register their own queries here
