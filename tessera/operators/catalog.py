@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hashed_name
 from tessera.functions.text import compose_key, cut_slug, faq_key, service_key, slug, split_trail
-from tessera.operators.relational import number_rows
+from tessera.operators.relational import number_in_parts, number_rows
 
 #: Label of a document, plural and title of each kind, in the order of the kinds.
 KINDS = [
@@ -86,8 +86,10 @@ def adherence_line(label: Column, n: Column, distance: Column) -> Column:
 def missing_summary(rows: DataFrame, kind: str, name: str, summary: str, named: int = 5) -> DataFrame:
     """A row a kind with rulings that lack a summary: their number and the names of the first few."""
     bad = rows.filter(F.col(kind).isin("pareceres", "tarf") & (_strip(F.coalesce(F.col(summary), F.lit(""))) == ""))
-    first = number_rows(bad, [kind], [F.col(name)]).withColumn("_name", F.when(F.col("n") <= named, F.struct("n", name)))
-    return first.groupBy(kind).agg(F.count(F.lit(1)).alias("refused"), F.array_join(F.transform(F.array_sort(F.collect_list("_name")), lambda x: x[name].cast("string")), ", ").alias("names"))
+    # a filter on the number right above the window: a task sends no more than `named` rows a kind
+    first = number_rows(bad.select(kind, name), [kind], [F.col(name)]).filter(F.col("n") <= named).groupBy(kind)
+    names = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", name))), lambda x: x[name].cast("string")), ", ").alias("names"))
+    return bad.groupBy(kind).agg(F.count(F.lit(1)).alias("refused")).join(names, kind)
 
 
 def valid_summary(text: Column, description: str, keywords: str) -> Column:
@@ -111,7 +113,7 @@ def below_minimum(rows: DataFrame, part: str, least: int) -> DataFrame:
 def fan_out(services: DataFrame, audiences: DataFrame, service: str) -> DataFrame:
     """A row a service, audience and occurrence, numbered in the order of services in each audience; audiences: (audience, rank)."""
     rows = services.join(audiences, "audience")
-    return number_rows(rows, ["audience"], [F.col(service), F.col("seq")], "id")
+    return number_in_parts(rows, ["audience"], [F.col(service), F.col("seq")], "id")
 
 
 def primary_occurrence(services: DataFrame, audiences: DataFrame, service: str) -> DataFrame:

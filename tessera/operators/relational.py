@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,14 @@ def number_all(rows: DataFrame, order: list[Column], name: str = "n") -> DataFra
     return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_task", "_before")
 
 
+def number_in_parts(rows: DataFrame, part: list[str], order: list[Column], name: str = "n") -> DataFrame:
+    """rows numbered from 1 in each part in the given total order, as number_all does: a part may be larger than a task."""
+    placed = number_all(rows, [*[F.col(c).asc_nulls_first() for c in part], *order], "_all")
+    firsts = placed.groupBy(*part).agg(F.min("_all").alias("_first")).withColumnsRenamed({c: f"_p{i}" for i, c in enumerate(part)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)])
+    return placed.join(firsts, same).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first", *[f"_p{i}" for i in range(len(part))])
+
+
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with more than one value."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n_values")).filter("n_values > 1")

@@ -226,7 +226,7 @@ def k_half(s, d):
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)::BIGINT AS n FROM orders")
 def w_number_rows(s, d):
-    return R.number_rows(read(s, d, "orders"), ["o_orderstatus"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", F.col("n").cast("long").alias("n"))
+    return R.number_in_parts(read(s, d, "orders"), ["o_orderstatus"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT l_partkey % 97 AS canon_key, l_orderkey AS doc FROM lineitem GROUP BY ALL")
