@@ -75,3 +75,19 @@ def h_cells(s, d):
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("html")))), lambda x: x["html"]), "\n")
     pages = read(s, d, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("<body><table><tr><th colspan=3>Customers of "), F.first("c_nationkey"), F.lit("</th></tr>"), rows, F.lit("</table></body>")).alias("html"))
     return B.cells(pages, "c_nationkey", "html").select("c_nationkey", "row", "col", "cols", "text")
+
+
+@query("""WITH p AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+l AS (SELECT source, doc_id, place, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM p UNION ALL SELECT source, doc_id, 0, 'CONSULTA Nº: ' || doc_id || ', de 2020' FROM documents WHERE doc_id % 3 = 0 AND doc_id > 0 UNION ALL SELECT source, doc_id, 1000000, 'CONSULTA Nº: ' || (doc_id % 2) || ', citada' FROM documents WHERE doc_id % 9 = 3),
+b AS (SELECT *, max(CASE WHEN place = 0 THEN doc_id END) OVER (PARTITION BY source ORDER BY doc_id, place ROWS UNBOUNDED PRECEDING) AS number FROM l WHERE line <> '' AND NOT regexp_matches(line, '^(_+|\\d+)$'))
+SELECT source, number::BIGINT AS number, string_agg(line, chr(10) ORDER BY doc_id, place) AS body FROM b WHERE number IS NOT NULL GROUP BY source, number""")
+def h_consultations(s, d):
+    """Documents as the pages of their source, under a heading and above a foot that repeat; every third opens a consultation, some cite another at the start of a line."""
+    from tessera.operators.consultations import consultations
+
+    id = F.col("doc_id")
+    opens = F.when((id % 3 == 0) & (id > 0), F.concat(F.lit("CONSULTA Nº: "), id, F.lit(", de 2020\n"))).otherwise("")
+    cites = F.when(id % 9 == 3, F.concat(F.lit("\nCONSULTA Nº: "), id % 2, F.lit(", citada"))).otherwise("")
+    text = F.concat(F.lit("SETOR CONSULTIVO, folha "), id, F.lit("\n______\n"), opens, F.coalesce("text", F.lit("")), cites, F.lit("\nthe page\n"), id)
+    pages = read(s, d, "documents").select("source", "doc_id", text.alias("page_text"))
+    return consultations(pages, "source", "doc_id", "page_text").select("source", "number", "body")
