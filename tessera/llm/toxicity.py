@@ -59,13 +59,14 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
-    """Learns from labelled rows outside the held-out fold. A doc_id with several labels is toxic if one of them says so."""
+    """Learns from labelled rows outside the held-out fold. A doc_id with several labels is toxic if one of them says so; of several texts of one doc_id the smallest counts, so the sample has at most 2 * per_class rows."""
     spark = docs.sparkSession
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(~held_out(0)).withColumn("h", F.xxhash64("doc_id"))
     chosen = [marked.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")  # at most 2 * per_class rows, so it may be broadcast
-    rows = write_table(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text"), "tox-sample")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = write_table(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "tox-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, scratch = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
 from tessera.llm.common import table
@@ -70,6 +71,16 @@ def test_held_out_of_the_tables(spark):
     got = toxicity.op2(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     held = got[got["held_out"]]
     assert (held["predicted"] == held["toxic"]).mean() >= 0.9  # some 70 rows
+    right = held["predicted"] == held["toxic"]
+    assert (right[held["toxic"] == 1].mean() + right[held["toxic"] == 0].mean()) / 2 >= 0.8  # always the same answer gives 0.5
+
+
+def test_repeated_documents_add_nothing_to_the_sample(spark, data):
+    docs, labels = spark.createDataFrame([(r[0], r[1]) for r in data[0]], "doc_id long, text string"), data[1]
+    marks = spark.createDataFrame([(r[0], r[2]) for r in labels], "doc_id long, toxic int")
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat(F.lit("\uffff"), "text")))
+    one, more = toxicity.fit(docs, marks), toxicity.fit(twice, marks)
+    assert one.weights == pytest.approx(more.weights) and one.bias == pytest.approx(more.bias)
 
 
 def test_fit_is_the_minimum_of_the_loss():
