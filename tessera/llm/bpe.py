@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import write_table
 
-#: Bounds of the broadcast words (number, bytes, longest in characters), and the distinct words a task counts before it flushes.
-HEAD, HEAD_BYTES, HEAD_CHARS, FLUSH = 1 << 19, 1 << 26, 4096, 600_000
+#: Bounds of the broadcast words (number, bytes, longest in characters), the distinct words a task counts before it flushes, and buckets of words a partition.
+HEAD, HEAD_BYTES, HEAD_CHARS, FLUSH, BUCKETS = 1 << 19, 1 << 26, 4096, 250_000, 8
 
 
 class Codec:
@@ -95,9 +95,10 @@ def codec(path: str) -> Codec:
 def word_table(texts: DataFrame, path: str) -> DataFrame:
     """Each distinct word once: word, n (its occurrences), ids.
 
-    A task counts its words before they move, and sends them as one compressed list a bucket of the words' hashes.
+    A task counts its words before they move, and sends them as one compressed list a bucket of the words' hashes. The receiving
+    task has its lists in order of buckets, and holds the words of one bucket at a time.
     """
-    buckets = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = codec(path), Counter()
@@ -121,18 +122,25 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
             yield out()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, seen = codec(path), Counter()  # buckets are whole in a partition
+        c, at, seen = codec(path), None, Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            every = list(seen)
+            for start in range(0, len(every), 10_000):
+                part = every[start : start + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64()), pa.array([c.ids(w) for w in part], pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
         for batch in batches:
-            for words, sizes in zip(batch.column(1), batch.column(2)):
+            for bucket, words, sizes in zip(*(batch.column(i) for i in range(3))):
+                if bucket.as_py() != at:
+                    yield from out()
+                    at, seen = bucket.as_py(), Counter()
                 found = zlib.decompress(words.as_py()).decode("utf-8", "surrogatepass").split("\n")
                 for w, n in zip(found, np.frombuffer(zlib.decompress(sizes.as_py()), "<u4").tolist()):
                     seen[w] += n
-        every = list(seen)
-        for at in range(0, len(every), 10_000):
-            part = every[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64()), pa.array([c.ids(w) for w in part], pa.list_(pa.int32()))], names=["word", "n", "ids"])
+        yield from out()
 
-    lists = texts.mapInArrow(count, "bucket int, words binary, sizes binary").repartition(buckets // 2, "bucket")
+    lists = texts.mapInArrow(count, "bucket int, words binary, sizes binary").repartition(buckets // BUCKETS, "bucket").sortWithinPartitions("bucket")
     return lists.mapInArrow(encode, "word string, n long, ids array<int>")
 
 
