@@ -45,16 +45,16 @@ def g_tree_flatten(s, d):
     return T.flatten(placed, items)
 
 
-@query(TREE + "SELECT id, item, 'node-' || (row_number() OVER (ORDER BY list_append(path, 4611686018427387904)) - 1) AS name FROM listed")
+@query(TREE + "SELECT id, coalesce(item, -1) AS item, 'node-' || (row_number() OVER (ORDER BY list_append(path, 4611686018427387904)) - 1) AS name FROM listed")
 def g_tree_names(s, d):
-    return T.numbered(T.listed(*hierarchy(s, d), text="question")).select("id", "item", "name")
+    return T.numbered(T.listed(*hierarchy(s, d), text="question")).select("id", F.coalesce("item", F.lit(-1)).alias("item"), "name")
 
 
-@query(TREE + "SELECT id, item, text, array_to_string(above, ' > ') AS above, coalesce(url, list_filter(list_reverse(urls), lambda u: u IS NOT NULL)[1]) AS url FROM listed WHERE contains(text, 'cold') AND contains(text, 'gear') OR contains(lower(text), 'urgent') AND contains(text, '17')")
+@query(TREE + "SELECT id, coalesce(item, -1) AS item, text, array_to_string(above, ' > ') AS above, coalesce(url, list_filter(list_reverse(urls), lambda u: u IS NOT NULL)[1]) AS url FROM listed WHERE contains(text, 'cold') AND contains(text, 'gear') OR contains(lower(text), 'urgent') AND contains(text, '17')")
 def g_tree_search(s, d):
     tree = T.listed(*hierarchy(s, d), text="question")
     hits = T.search(tree, "Cold GEAR").unionByName(T.search(tree, "urgent 17"))
-    return hits.select("id", "item", "text", F.array_join("above", " > ").alias("above"), "url")
+    return hits.select("id", F.coalesce("item", F.lit(-1)).alias("item"), "text", F.array_join("above", " > ").alias("above"), "url")
 
 
 @query(TREE + ", own AS (SELECT node, count(*) AS n FROM items GROUP BY node) SELECT a.id, coalesce(sum(o.n), 0)::BIGINT AS items FROM t a LEFT JOIN t b ON list_contains(list_append(b.ids, b.id), a.id) LEFT JOIN own o ON o.node = b.id GROUP BY a.id")
