@@ -1,9 +1,9 @@
 """Chat formatting: tool calls linked to their results.
 
 Calls and results are rows. A call and its result are joined by hash on (conv_id, call_id); a call may name the calls whose
-results its arguments use, and links of both kinds give each row a depth, the longest chain below it (Kahn's rounds,
-one join a round). Ordered by (depth, turn), as op1 gives them, a result stands after its call and a call after what it
-uses; plain conversations, as op1 reads them, name no uses. Arguments are validated against the tool's JSON schema by column expressions; a schema with a keyword that these don't check (nested ones, say) raises. Each message is serialised as
+results its arguments use, and links of both kinds give each row a depth, the longest chain below it (Kahn's rounds over
+calls and results, always run). Ordered by (depth, turn), as op1 gives them, a result stands after its call and a call after what it
+uses; plain conversations, as op1 reads them, name no uses, so there the rounds end after the results. Arguments are validated against the tool's JSON schema by column expressions; a schema with a keyword that these don't check (nested ones, say) raises. Each message is serialised as
 canonical JSON: keys in code-point order, no white space, null fields left out. No step gathers a conversation, so one
 that holds a third of all rows is no harder than many.
 """
@@ -89,12 +89,12 @@ def link_calls(messages: DataFrame, schemas: dict, uses: DataFrame | None = None
     side = lambda kind: messages.filter((F.col("kind") == kind) & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     calls, results = side("call").withColumnRenamed("n", "_calls"), side("result").withColumnRenamed("n", "_results")
     known = calls.join(results, key, "full_outer")
-    depth = call_depths(calls.select(key), uses) if uses is not None else calls.select(*key, F.lit(0).alias("_depth"))
     packed, others = stash(messages, own, new)
-    rows = packed.join(known.join(depth, key, "left"), key, "left")
+    rows = packed.join(known, key, "left").join(message_depths(known, uses), [*key, "kind"], "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     linked = F.when(call, F.coalesce(F.col("_results"), F.lit(0)) > 0).when(result, F.coalesce(F.col("_calls"), F.lit(0)) > 0)
-    level = F.when(call, F.col("_depth")).when(result, F.when(F.coalesce(F.col("_calls"), F.lit(0)) > 0, F.col("_depth") + 1).otherwise(F.lit(1))).otherwise(F.lit(0))
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    level = F.when((call | result) & keyed, F.col("_depth")).when(result, F.lit(1)).otherwise(F.lit(0))
     cyclic = (call | result) & F.col("_calls").isNotNull() & F.col("_depth").isNull()
     more = F.filter(F.array(F.when(F.coalesce(F.col("_calls"), F.lit(0)) > 1, F.lit("repeated call_id")), F.when(cyclic, F.lit("cycle")), F.when(result & ~linked, F.lit("no call"))), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
@@ -103,19 +103,27 @@ def link_calls(messages: DataFrame, schemas: dict, uses: DataFrame | None = None
     return rows.select(*own, *others, *new).select(*[F.col(f"`{c}`") for c in messages.columns if c not in new], *new)
 
 
-def call_depths(calls: DataFrame, uses: DataFrame) -> DataFrame:
-    """(conv_id, call_id, _depth): 0 without uses, else 2 more than the deepest call used; calls on or above cycles are left out."""
-    key = ["conv_id", "call_id"]
-    edges = uses.filter("needs is not null").distinct().join(calls, key, "left_semi")
-    edges = write_table(edges.join(calls.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi"), "calls-uses")
-    done = calls.join(edges.select(key).distinct(), key, "left_anti").withColumn("_depth", F.lit(0)).checkpoint()
-    while True:
-        waiting = edges.join(done.select(key), key, "left_anti")
-        met = waiting.join(done.withColumnsRenamed({"call_id": "needs", "_depth": "d"}), ["conv_id", "needs"], "left")
-        ready = met.groupBy(key).agg(F.count(F.when(F.col("d").isNull(), 1)).alias("open"), F.max("d").alias("d")).filter("open = 0").select(*key, (F.col("d") + 2).alias("_depth")).checkpoint()
-        if ready.isEmpty():
-            return done
-        done = done.unionByName(ready).checkpoint()
+def message_depths(known: DataFrame, uses: DataFrame | None) -> DataFrame:
+    """(conv_id, call_id, kind, _depth) of the call and the result of each known (conv_id, call_id, _calls), by Kahn's rounds.
+
+    A result needs its call, a call the results that it uses; a node without needs has depth 0, any other one more than the
+    deepest node it needs. Each round takes out the needs that the round before has met; what is on or above a cycle is never free and is left out.
+    """
+    key, node, need = ["conv_id", "call_id"], ["conv_id", "call_id", "kind"], ["conv_id", "needs", "needs_kind"]
+    waiting = known.select(*key, F.lit("result").alias("kind"), F.col("call_id").alias("needs"), F.lit("call").alias("needs_kind"))
+    if uses is not None:
+        calls = known.filter("_calls is not null").select(key)
+        used = uses.filter("needs is not null").select(*key, "needs").distinct().join(calls, key, "left_semi").join(calls.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
+        waiting = waiting.unionByName(used.select(*key, F.lit("call").alias("kind"), "needs", F.lit("result").alias("needs_kind")))
+    waiting = write_table(waiting, "calls-needs")
+    nodes = known.select(*key, F.explode(F.array(F.lit("call"), F.lit("result"))).alias("kind"))
+    free, level = write_table(nodes.join(waiting.select(node).distinct(), node, "left_anti"), "calls-free"), 0
+    done = free.withColumn("_depth", F.lit(level))
+    while not free.isEmpty():
+        left = write_table(waiting.join(free.toDF(*need), need, "left_anti"), "calls-needs")
+        free, level = write_table(waiting.select(node).distinct().join(left.select(node).distinct(), node, "left_anti"), "calls-free"), level + 1
+        done, waiting = done.unionByName(free.withColumn("_depth", F.lit(level))), left
+    return done
 
 
 def canonical(fields: dict[str, Column]) -> Column:

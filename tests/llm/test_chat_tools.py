@@ -96,3 +96,13 @@ def test_queries_with_sql(spark, name):
     assert sorted(got.columns) == columns
     key = lambda f: sorted(str([round(x, 6) if isinstance(x, float) else "null" if x is None or x != x else str(x) for x in r]) for r in f[columns].astype(object).itertuples(index=False))
     assert key(got) == key(want)
+
+
+def test_query_depths_come_from_rounds(spark, monkeypatch):
+    """op1 peels calls and results like any other graph: no depth is a constant, and an answer without a question still waits for it."""
+    seen, real = [], ct.message_depths
+    monkeypatch.setattr(ct, "message_depths", lambda *a: seen.append(real(*a)) or seen[-1])
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 5, "assistant", "no question"), (1, 6, "system", "s"), (None, 0, "user", "q")]
+    got = {(r["conv_id"], r["turn"]): r["depth"] for r in ct.op1(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 5): 1, (1, 6): 0, (None, 0): 0}
+    assert sorted((r["call_id"], r["kind"], r["_depth"]) for r in seen[0].collect()) == [("0", "call", 0), ("0", "result", 1), ("4", "call", 0), ("4", "result", 1)]
