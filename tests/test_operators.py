@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,37 @@ def test_incremental_equals_rebuild(spark):
     stamp = lambda x: [tuple(r) for r in manifest(x.withColumn("kind", F.lit("faqs"))).collect()]
     assert stamp(step) == stamp(whole.repartition(3))
     assert same_identity(dict(IDENTITY)) and not same_identity(IDENTITY | {"dim": 3})
+
+
+def test_nearest_each_is_brute_force_in_blocks(spark, monkeypatch):
+    """Copies, ties, odd and broken vectors over many blocks, against all pairs; the query makes no nested loop over pairs."""
+    import random
+
+    from pyspark.sql import Window
+
+    from tessera import queries
+    from tessera.operators import vector
+
+    rng = random.Random(1)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    odd = {5: None, 6: [0.0] * 8, 7: [1.0] * 5, 8: [float("nan")] + [1.0] * 7, 9: [None] + [1.0] * 7, 10: [float("inf")] + [1.0] * 7, 11: []}
+    rows = [(i, i % 5, odd[i % 37] if i % 37 in odd else [x + rng.choice([0, 0, 1e-4]) for x in rng.choice(base)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3)
+    asked = df.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
+    monkeypatch.setattr(vector, "BLOCK", (40, 64))
+    pairs = df.join(asked, F.col("vec_id") != F.col("qid")).withColumn("dist", vector.cosine_distance(F.col("embedding"), F.col("qv")))
+    want = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vec_id"))).filter("rn <= 5")
+    told = lambda f: sorted((r["qid"], r["rn"], r["vec_id"], r["ql"], r["label"], str(r["dist"])) for r in f.collect())
+    assert told(vector.nearest_each(df, asked, 5)) == told(want)
+    df.write.parquet(folder := f"{spark.conf.get('spark.checkpoint.dir')}/nearest-each/embeddings.parquet", mode="overwrite")
+    plan = queries.QUERIES["e_hit_at_k"](spark, folder.removesuffix("/embeddings.parquet"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_halves_round_as_the_expression_does(spark):
+    from tessera.operators.vector import rounded
+
+    values = [x / 2e6 + d for x in range(1, 400, 7) for d in (0.0, 1e-16, -1e-16, 3e-10)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()
+    assert rounded(np.array(values)).tolist() == [r[0] for r in got]
+
