@@ -235,3 +235,20 @@ def test_halves_round_as_the_expression_does(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()
     assert rounded(np.array(values)).tolist() == [r[0] for r in got]
 
+
+def test_rounds_of_components_work_on_what_is_left(spark, monkeypatch):
+    """Numbers, texts and bytes as nodes; each round's tables are smaller than the last one's, so that all rounds together stay in proportion to the edges."""
+    import random
+
+    from tessera.operators import graph
+
+    rng, sizes, real = random.Random(8), [], graph._written
+    monkeypatch.setattr(graph, "_written", lambda df: (lambda t: sizes.append(t.count()) or t)(real(df)))
+    edges = [(i, i + 1) for i in range(600) if i % 100 != 99] + [(rng.randrange(1000, 1200), 2000 + rng.randrange(300)) for _ in range(1500)]
+    got = dict(map(tuple, graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert sum(sizes) <= 4 * len(edges) and all(got[i] == i // 100 * 100 for i in range(600))
+    assert {got[a] for a, _ in edges if a >= 1000} == {1000} and len(got) == len({x for e in edges for x in e})
+    for kind, name in (("string", lambda x: f"n{x:05d}"), ("binary", lambda x: f"n{x:05d}".encode())):
+        other = graph.connected_components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")).collect()
+        assert {(r["id"] if kind == "string" else bytes(r["id"])): (r["component"] if kind == "string" else bytes(r["component"])) for r in other} == {name(k): name(v) for k, v in got.items()}
+
