@@ -63,8 +63,9 @@ def ingest(documents: DataFrame, pack: DataFrame, embedder: Embedder, incrementa
     """The new pack (id, embedding, document, key_hash) and the orphans. documents: id, key, document.
 
     Incremental collections keep records that left the tree (they are only listed); others are rebuilt without them.
+    documents may bring the key_hash of their keys along.
     """
-    current = documents.withColumn("key_hash", key_hash("key"))
+    current = documents if "key_hash" in documents.columns else documents.withColumn("key_hash", key_hash("key"))
     known = reuse(current, pack if cache_valid else pack.limit(0))
     pending = known.filter("embedding is null")
     fresh = current.join(embed(pending, embedder), "id")

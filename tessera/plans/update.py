@@ -104,13 +104,18 @@ def update(spark: SparkSession, root: str, entity: str, tree: DataFrame, embedde
     if bad := refusals(documents).limit(20).collect():
         raise Refused("; ".join(f"{r['kind']}: {r['problem']} ({r['detail']})" for r in bad))
     recovered = S.recover(spark, root, entity)
+    # paths, keys and hashes of the tree are derived once, not by each job of each kind
+    scratch = f"{S.shared_folder(spark)}/update-{uuid.uuid4().hex}"
+    prepared = documents.select("kind", "id", "key", "document").withColumn("key_hash", key_hash("key"))
+    prepared.write.option("compression", "zstd").partitionBy("kind").parquet(scratch)
+    documents = spark.read.schema(prepared.schema).parquet(scratch)
     run, entries, counts = f"run-{uuid.uuid4().hex}", [], {}
     for kind in running:
-        mine = documents.filter(F.col("kind") == kind).select("id", "key", "document")
+        mine = documents.filter(F.col("kind") == kind).select("id", "key", "document", "key_hash")
         pack = S.read_kind(spark, root, manifest, kind)
         incremental = kind in INCREMENTAL and valid
         records, gone = ingest(mine, pack, embedder, incremental, valid)
-        known = mine.withColumn("key_hash", key_hash("key")).join(pack.select("id", "key_hash"), ["id", "key_hash"], "left_semi").count() if valid else 0
+        known = mine.join(pack.select("id", "key_hash"), ["id", "key_hash"], "left_semi").count() if valid else 0
         entries.append(S.stage(records, root, entity, run, kind, embedder.dim))
         left = gone.count() if incremental else 0
         counts[kind] = {"reused": known, "embedded": entries[-1]["count"] - known - left, "orphans": left}
@@ -122,6 +127,7 @@ def update(spark: SparkSession, root: str, entity: str, tree: DataFrame, embedde
     if manifest:
         stamped["before"] = sorted({c["run"] for c in manifest["collections"]})
     S.publish(spark, root, stamped)
+    S.remove(spark, scratch)
     return {"manifest": stamped, "kinds": counts, "warnings": drifts(old_hashes, found, set(running)) if chosen else [], "recovered": recovered}
 
 

@@ -167,3 +167,14 @@ def test_names_of_services_and_questions(spark):
     assert got[0] == f"docs/servicos/emissao-de-guia-{h('http://a')}.md" and got[2] == f"docs/servicos/{h('http://a')}.md" and got[3] == "docs/tarf/acordao-no-1.md"
     cut = ("palavra-" * 40)[:60].rsplit("-", 1)[0]
     assert got[1] == f"docs/faqs/{cut}-{h('http://a' + chr(10) + long)}.md"
+
+
+def test_a_tree_is_derived_once(spark, root, monkeypatch):
+    """Paths, keys and hashes come from a table of the run, which is gone after it; no job of a kind derives them again."""
+    seen, real = [], U.ingest
+    monkeypatch.setattr(U, "ingest", lambda documents, *a: seen.append((documents.columns, documents.inputFiles())) or real(documents, *a))
+    run(spark, root, RULINGS + FAQS + LAWS)
+    assert [c for c, _ in seen] == [["id", "key", "document", "key_hash"]] * 3 and all(files for _, files in seen)
+    target, files = S._files(spark, seen[0][1][0])
+    assert not files.exists(target) and len(stored(spark, root)) == 11
+
