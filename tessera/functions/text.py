@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,3 +125,17 @@ def human_size(n: Column) -> Column:
     mb, kb = n / F.lit(1_000_000.0), n / F.lit(1_000.0)
     text = F.when(n >= 1_000_000, F.format_string("%.1f MB", mb)).when(n >= 1_000, F.format_string("%.1f kB", kb)).otherwise(F.format_string("%d B", n))
     return F.translate(text, ".", ",")
+
+
+def pieces(texts: Iterator[pd.Series], most: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts of Arrow batches (null: empty), in lists of at most `most` characters or one text, so that what a function makes of a batch is never held whole."""
+    for batch in texts:
+        held, size = [], 0
+        for t in batch:
+            t = t or ""
+            if held and size + len(t) > most:
+                yield held
+                held, size = [], 0
+            held.append(t)
+            size += len(t) + 64
+        yield held

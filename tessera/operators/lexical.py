@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalise
+from tessera.functions.text import normalise, pieces
 
 
 def terms_of(query: str) -> list[str]:
@@ -47,8 +47,8 @@ def highlight(query: str):
 
     @F.pandas_udf("array<struct<start int, end int>>")
     def ranges(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in texts:
-            yield pd.Series([spans(t or "", wanted) for t in x])
+        for x in pieces(texts):
+            yield pd.Series([spans(t, wanted) for t in x])
 
     return ranges
 

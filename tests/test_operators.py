@@ -252,3 +252,15 @@ def test_rounds_of_components_work_on_what_is_left(spark, monkeypatch):
         other = graph.connected_components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")).collect()
         assert {(r["id"] if kind == "string" else bytes(r["id"])): (r["component"] if kind == "string" else bytes(r["component"])) for r in other} == {name(k): name(v) for k, v in got.items()}
 
+
+def test_batches_are_taken_in_pieces():
+    """What highlight and mask_pii make of a batch leaves them piece by piece, in order and whole."""
+    import pandas as pd
+
+    batch = pd.Series(["the end " * 2000, None, "", *["the " * 500] * 2000, "x" * (1 << 20), "the"])
+    for f in (lexical.highlight("the en").func, pii.mask_pii.func):
+        parts = list(f(iter([batch, batch[:0]])))
+        assert len(parts) > 8 and sum(map(len, parts)) == len(batch)
+    marks = [r for part in lexical.highlight("the en").func(iter([batch])) for r in part]
+    assert marks == [lexical.spans(t or "", ["the", "en"]) for t in batch]
+
