@@ -111,14 +111,14 @@ def below_minimum(rows: DataFrame, part: str, least: int) -> DataFrame:
 
 
 def fan_out(services: DataFrame, audiences: DataFrame, service: str) -> DataFrame:
-    """A row a service, audience and occurrence, numbered in the order of services in each audience; audiences: (audience, rank)."""
-    rows = services.join(audiences, "audience")
+    """A row a service, audience and occurrence, numbered in the order of services in each audience; audiences: (audience, rank), a declared list that is broadcast."""
+    rows = services.join(F.broadcast(audiences), "audience")
     return number_in_parts(rows, ["audience"], [F.col(service), F.col("seq")], "id")
 
 
 def primary_occurrence(services: DataFrame, audiences: DataFrame, service: str) -> DataFrame:
     """Of each service the occurrence in the first audience of the declared order, else its first one."""
-    ranked = services.join(audiences, "audience", "left")
+    ranked = services.join(F.broadcast(audiences), "audience", "left")
     return ranked.groupBy(service).agg(F.min_by("audience", F.struct(F.coalesce(F.col("rank"), F.lit(2**31 - 1)), "seq")).alias("audience"))
 
 

@@ -46,11 +46,17 @@ def number_all(rows: DataFrame, order: list[Column], name: str = "n") -> DataFra
 
 
 def number_in_parts(rows: DataFrame, part: list[str], order: list[Column], name: str = "n") -> DataFrame:
-    """rows numbered from 1 in each part in the given total order, as number_all does: a part may be larger than a task."""
-    placed = number_all(rows, [*[F.col(c).asc_nulls_first() for c in part], *order], "_all")
-    firsts = placed.groupBy(*part).agg(F.min("_all").alias("_first")).withColumnsRenamed({c: f"_p{i}" for i, c in enumerate(part)})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)])
-    return placed.join(firsts, same).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first", *[f"_p{i}" for i in range(len(part))])
+    """rows numbered from 1 in each part in the given total order, as number_all does: a part may be larger than a task.
+
+    A row's number comes from its part's rows in the tasks before and its place among those of its own task, so the last join is by
+    task and part and deals out no part as a whole.
+    """
+    placed = rows.orderBy(*[F.col(c).asc_nulls_first() for c in part], *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)).checkpoint()
+    sizes = placed.groupBy("_task", *part).agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*part).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).select(F.col("_task").alias("_t"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], "_first", "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)], F.col("_task") == F.col("_t"))
+    return placed.join(before, same).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_task", "_t", "_first", "_before", *[f"_p{i}" for i in range(len(part))])
 
 
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -264,3 +264,12 @@ def test_batches_are_taken_in_pieces():
     marks = [r for part in lexical.highlight("the en").func(iter([batch])) for r in part]
     assert marks == [lexical.spans(t or "", ["the", "en"]) for t in batch]
 
+
+def test_numbers_in_parts_deal_out_no_part_whole(spark):
+    """Two large parts, a null one and single rows; the last join is by task and part."""
+    rows = [(("a", "b", None)[i % 3] if i < 900 else f"p{i}", (i * 37) % 1009) for i in range(950)]
+    got = relational.number_in_parts(spark.createDataFrame(rows, "p string, v int"), ["p"], [F.col("v")])
+    want = {(p, v): k + 1 for q in {p for p, _ in rows} for k, (p, v) in enumerate(sorted(r for r in rows if r[0] == q))}
+    assert got.columns == ["p", "v", "n"] and {(r["p"], r["v"]): r["n"] for r in got.collect()} == want
+    assert "_task" in next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+
