@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words as the tokenizer file's own normaliser and splitter do; each distinct word is encoded once, in
-Spark, and decoded once, by a join of its ids to the vocabulary's table of pieces; both are joined back by position. The most
-frequent words (at most HEAD and HEAD_BYTES, exact bounds kept by a histogram of counts) are broadcast and joined where the text lies;
-the others are joined by a shuffle, by word, once a document, and return to it by their number. In between a document is a
-compressed list of word numbers.
+Texts are split into words as the tokenizer file's own normaliser and splitter do; each distinct word is encoded and, by a join of its
+ids to the vocabulary's table of pieces, decoded; both are joined back by position. The most frequent words (at most HEAD and
+HEAD_BYTES, exact bounds kept by a histogram of counts) are broadcast and joined where the text lies. The others are dealt out by word,
+so that all places of a word meet, and what it is spelled as returns to its documents by position. In between a document is one compressed
+list of word numbers, followed by the words that are not broadcast; it is made once and moves once.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import write_table
+from tessera.llm.common import frugal, write_table
 
-#: Bounds of the broadcast words (number, bytes, longest in characters), the distinct words a task counts before it flushes, and buckets of words a partition.
-HEAD, HEAD_BYTES, HEAD_CHARS, FLUSH, BUCKETS = 1 << 19, 1 << 26, 4096, 250_000, 8
+#: Bounds of the broadcast words (number, bytes, longest in characters), the distinct words a task counts before it flushes, buckets of words a partition, and places of a word in a row.
+HEAD, HEAD_BYTES, HEAD_CHARS, FLUSH, BUCKETS, PLACES = 1 << 19, 1 << 26, 4096, 250_000, 8, 256
 
 
 class Codec:
@@ -92,14 +93,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """Each distinct word once: word, n (its occurrences), ids.
+def word_counts(texts: DataFrame, path: str) -> DataFrame:
+    """Each distinct word once: word, n (its occurrences).
 
     A task counts its words before they move, and sends them as one compressed list a bucket of the words' hashes. The receiving
     task has its lists in order of buckets, and holds the words of one bucket at a time.
     """
     buckets = BUCKETS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = codec(path), Counter()
 
@@ -121,14 +123,15 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
         if seen:
             yield out()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, at, seen = codec(path), None, Counter()
+    @frugal
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
             every = list(seen)
             for start in range(0, len(every), 10_000):
                 part = every[start : start + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64()), pa.array([c.ids(w) for w in part], pa.list_(pa.int32()))], names=["word", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for bucket, words, sizes in zip(*(batch.column(i) for i in range(3))):
@@ -141,7 +144,30 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
         yield from out()
 
     lists = texts.mapInArrow(count, "bucket int, words binary, sizes binary").repartition(buckets // BUCKETS, "bucket").sortWithinPartitions("bucket")
-    return lists.mapInArrow(encode, "word string, n long, ids array<int>")
+    return lists.mapInArrow(total, "word string, n long")
+
+
+def spelled(rows: DataFrame, path: str) -> DataFrame:
+    """rows (word and others; equal words one after another) as (ids, places): a word's ids once, and the others of at most PLACES of its rows."""
+    others = [c for c in rows.columns if c != "word"]
+    kinds = dict(rows.dtypes)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            n, words = batch.num_rows, batch.column(0)
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            cuts = np.flatnonzero((np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))) % PLACES == 0)
+            places = pa.StructArray.from_arrays(batch.columns[1:], names=others)
+            ids = [c.ids(w) for w in words.take(pa.array(cuts)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(np.append(cuts, n).astype(np.int32)), places)], names=["ids", "places"])
+
+    return rows.select("word", *others).mapInArrow(run, f"ids array<int>, places array<struct<{', '.join(f'{c}: {kinds[c]}' for c in others)}>>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -160,6 +186,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     table = F.broadcast(pieces(rows.sparkSession, path).withColumnsRenamed({"id": "_id", "piece": "_piece"}))
     spread = rows.select(*others, F.posexplode_outer("ids").alias("_at", "_id")).join(table, "_id", "left").select(*others, "_at", "_id", "_piece")
 
+    @frugal
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -191,9 +218,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 
 def head_cut(words: DataFrame, bound: int = HEAD) -> float:
-    """The count from which words are broadcast: at most bound words, of HEAD_BYTES, have it. The histogram has at most 260 rows."""
+    """The count from which words are broadcast: at most bound words, of HEAD_BYTES with their spelling, have it. The histogram has at most 260 rows."""
     level = F.floor(F.log2("n") * 4)
-    size = F.octet_length("word") + F.octet_length("decoded") + F.octet_length("ids")
+    size = F.octet_length("word") * 8 + 8  # an id has a byte of the word at least, and a piece is its bytes as one or two each
     rows = words.filter(F.char_length("word") <= HEAD_CHARS).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum(size).alias("bytes")).collect()
     cut, total, held = float("inf"), 0, 0
     for r in sorted(rows, key=lambda r: -r["level"]):
@@ -204,26 +231,51 @@ def head_cut(words: DataFrame, bound: int = HEAD) -> float:
     return float(cut)
 
 
-class Head:
-    """The broadcast words: their numbers, most frequent first, their ids one after another, and their decoded texts."""
+class Numbers:
+    """Numbers of the broadcast words, most frequent first. They travel as one text."""
 
-    def __init__(self, rows: list[tuple[str, bytes, str]], kind: np.dtype) -> None:
-        self.kind = kind  # of ids, in words' bytes
-        self.number = {w: i for i, (w, _, _) in enumerate(rows)}
-        self.ends = np.concatenate([[0], np.cumsum([len(ids) // kind.itemsize for _, ids, _ in rows], dtype=np.int64)])
-        self.flat = np.frombuffer(b"".join(ids for _, ids, _ in rows), kind).astype("<u4")
-        self.texts = np.array([*(t for _, _, t in rows), None], object)[:-1]
+    def __init__(self, words: list[str]) -> None:
+        self.size, self.text = len(words), "\n".join(words)
+
+    def __getstate__(self) -> tuple[int, str]:
+        return self.size, self.text
+
+    def __setstate__(self, state: tuple[int, str]) -> None:
+        self.size, self.text = state
+
+    @functools.cached_property
+    def number(self) -> dict[str, int]:
+        found = dict(zip(self.text.split("\n"), range(self.size)))
+        self.text = ""
+        return found
 
-    def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
-        """Each word's number, and the words beyond the broadcast ones, which are numbered from len(texts) on."""
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each word's number, and the words beyond the broadcast ones, which are numbered from size on."""
         far: dict[str, int] = {}
-        size, get = len(self.texts), self.number.get
+        size, get = self.size, self.number.get
         got = [n if (n := get(w, -1)) >= 0 else size + far.setdefault(w, len(far)) for w in words]
         return np.array(got, "<u4"), list(far)
 
+
+class Spelling:
+    """Ids of the broadcast words one after another, and their decoded texts. The texts travel as one."""
+
+    def __init__(self, ids: list[bytes], texts: list[str], kind: np.dtype) -> None:
+        self.kind = kind  # of ids, in words' bytes
+        self.ends = np.concatenate([[0], np.cumsum([len(x) // kind.itemsize for x in ids], dtype=np.int64)])
+        self.flat = np.frombuffer(b"".join(ids), kind).astype("<u4")
+        self.size, self.joined = len(texts), "\n".join(texts)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "texts"}
+
+    @functools.cached_property
+    def texts(self) -> np.ndarray:
+        return np.array([*(self.joined.split("\n") if self.size else []), None], object)[:-1]
+
     def spell(self, numbers: np.ndarray, far: list[tuple[bytes, str]]) -> tuple[np.ndarray, str]:
         """The ids and the decoded text of a document."""
-        size = len(self.texts)
+        size = self.size
         near = numbers < size
         mine, rest = numbers[near], numbers[~near].astype(np.int64) - size
         begin, length = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
@@ -247,13 +299,22 @@ class Head:
         return out, " ".join(filter(None, texts.tolist()))
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers byte by byte, low bytes first: frequent words have small numbers, so the high bytes compress to nothing."""
-    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+def packed(numbers: np.ndarray, far: list[str] | tuple[str, ...] = ()) -> bytes:
+    """Numbers byte by byte, low bytes first: frequent words have small numbers, so the high bytes compress to nothing. The words far follow."""
+    words = "\n".join(far).encode("utf-8", "surrogatepass")
+    return zstandard.compress(len(numbers).to_bytes(4, "little") + np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes() + words, 3)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel() if blob else np.zeros(0, "<u4")
+    whole = zstandard.decompress(blob) if blob else bytes(4)
+    return np.ascontiguousarray(np.frombuffer(whole, np.uint8, 4 * int.from_bytes(whole[:4], "little"), 4).reshape(4, -1).T).view("<u4").ravel()
+
+
+def far_words(blob: bytes) -> list[str]:
+    """The words behind the numbers."""
+    whole = zstandard.decompress(blob) if blob else bytes(4)
+    words = whole[4 + 4 * int.from_bytes(whole[:4], "little") :].decode("utf-8", "surrogatepass")
+    return words.split("\n") if words else []
 
 
 def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
@@ -266,36 +327,52 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     width = 4 if len(codec(path).pieces) < 1 << 16 else 8  # hex digits of an id
+    kind = np.dtype(f">u{width // 2}")
     code = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), width, "0")), ""))
-    words = write_table(decode(word_table(docs.select("text"), path), path).withColumn("ids", code), "bpe-words")
+    words = write_table(word_counts(docs.select("text"), path), "bpe-words")
     cut = head_cut(words, head)
-    frequent = (F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS)
-    chosen = words.filter(frequent).orderBy(F.desc("n"), "word").select("word", "ids", "decoded").toLocalIterator() if cut < float("inf") else []
-    sent = spark.sparkContext.broadcast(Head([tuple(r) for r in chosen], np.dtype(f">u{width // 2}")))
-
+    found: list[tuple[int, str, bytes, str]] = []
+    if cut < float("inf"):
+        frequent = words.filter((F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS))
+        known = decode(spelled(frequent.select("word", "n", F.col("word").alias("name")), path), path)
+        got = known.select(F.explode("places").alias("p"), code.alias("ids"), "decoded").select("p.n", "p.name", "ids", "decoded").toArrow()
+        found = sorted(zip(*(c.to_pylist() for c in got.columns)), key=lambda r: (-r[0], r[1]))
+    numbers, spelling = (spark.sparkContext.broadcast(x) for x in (Numbers([r[1] for r in found]), Spelling([r[2] for r in found], [r[3] for r in found], kind)))
+    del found
+
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, near = codec(path), sent.value
+        c, near = codec(path), numbers.value
         for batch in batches:
-            blobs = [packed(n) if len(n := near.numbers(c.words(t.as_py()))[0]) else b"" for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "tkey", "packed"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                blobs = [packed(*got) if len((got := near.of(c.words(t.as_py())))[0]) else b"" for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], names=["key", "tkey", "doc_id", "packed"])
 
+    @frugal
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, near = codec(path), sent.value
         for batch in batches:
-            far = [near.numbers(c.words(t.as_py()))[1] for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.list_(pa.string()))], names=["doc_id", "tkey", "gaps"])
-
-    # the texts are split twice: what moves is less than what a table of both results would take
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    lists = keyed.mapInArrow(pack, "doc_id long, tkey long, packed binary")
-    rare = keyed.mapInArrow(gaps, "doc_id long, tkey long, gaps array<string>").select("doc_id", "tkey", F.posexplode("gaps").alias("at", "word"))
-    filled = rare.join(words.filter(~frequent).select("word", "ids", "decoded"), "word").select("doc_id", "tkey", "at", "ids", "decoded")
-    filled = filled.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("at", "ids", "decoded")).alias("fill"))
-    rows = lists.alias("p").join(filled.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.tkey") == F.col("f.tkey")), "left")
-    rows = rows.select("p.doc_id", "packed", "fill.at", "fill.ids", "fill.decoded")
-
+            far = [far_words(x.as_py()) for x in batch.column(3)]
+            sizes = [len(x) for x in far]
+            owner = pa.array(np.repeat(np.arange(len(far)), sizes))
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at), pa.array([w for x in far for w in x], pa.string())], names=["key", "tkey", "at", "word"])
+
+    # documents are split once and dealt out once: both uses of the shuffle need the whole packed list, so Spark keeps them alike and reuses it.
+    # A null doc_id may meet doc_id 0, as equal texts have equal gaps
+    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text").alias("tkey"), "doc_id", "text")
+    dealt = keyed.mapInArrow(pack, "key long, tkey long, doc_id long, packed binary").repartition("key", "tkey")
+    rare = dealt.mapInArrow(gaps, "key long, tkey long, at int, word string")
+    # few places have a rare word, but a word that is too long to be broadcast may be anywhere: it is dealt out by its place as well
+    spread = F.when(F.char_length("word") > HEAD_CHARS, F.hash("key", "tkey")).otherwise(0)
+    rare = rare.withColumn("part", spread).repartition("word", "part").sortWithinPartitions("word").drop("part")
+    filled = decode(spelled(rare, path), path).select(F.explode("places").alias("p"), code.alias("ids"), "decoded")
+    filled = filled.groupBy("p.key", "p.tkey").agg(F.collect_set(F.struct("p.at", "ids", "decoded")).alias("fill"))
+    rows = dealt.join(filled, ["key", "tkey"], "left").select("doc_id", "packed", "fill.at", "fill.ids", "fill.decoded")
+
+    @frugal
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = sent.value
+        near = spelling.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)

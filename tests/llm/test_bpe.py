@@ -67,3 +67,20 @@ def test_numbers_survive_packing():
     for x in ([], [0], [1, 255, 256, 70_000, 1 << 31], list(range(5000))):
         n = np.array(x, "<u4")
         assert bpe.unpacked(bpe.packed(n) if len(n) else b"").tolist() == x
+
+
+def test_words_follow_packed_numbers():
+    for far in ([], ["é"], ["a", "bc", "日本"]):
+        assert bpe.far_words(bpe.packed(np.arange(3, dtype="<u4"), far)) == far
+        assert bpe.unpacked(bpe.packed(np.arange(3, dtype="<u4"), far)).tolist() == [0, 1, 2]
+
+
+def test_documents_are_split_once_after_counting(spark, library, tmp_path):
+    """The packed lists move once, and the words beyond the broadcast ones are taken from them, not from the texts again."""
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "y" * 5000 + " rare") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = bpe.encode_documents(spark.read.parquet(str(tmp_path / "docs")), word_bpe(), 8)
+    got = [tuple(r) for r in df.collect()]
+    check(got, dict(rows), library)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(got) == len(rows) and plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
