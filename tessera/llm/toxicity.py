@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, write_table
+from tessera.llm.common import frugal, held_out, write_table
 
 #: Bounds of the fit; they are parameters of fit() and do not depend on the input.
 NGRAMS, BITS, PER_CLASS, FEATURES, RIDGE = (3, 4, 5, 6), 18, 8192, 8192, 1e-3
@@ -68,6 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     rows = write_table(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "tox-sample")
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, scratch = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)
         for batch in batches:
@@ -92,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     place[at] = np.arange(len(at))
     sent = spark.sparkContext.broadcast(place)
 
+    @frugal
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.zeros(1 << BITS, bool)
         for batch in batches:

@@ -83,3 +83,20 @@ def test_nulls_repeats_empty_tables_and_clashing_columns(spark):
         assert set(seen[3]) <= set(seen[2]) and base + 8 not in seen[3] and max(seen[3].values()) <= 3
         own = sum(n for i, n in seen[3].items() if (i or 0) % 2 == 0)
         assert abs(80 * own - 560 / 3) < 80 and abs(80 * (seen[3].total() - own) - 1120 / 3) < 80
+
+
+def test_workers_give_back_what_stages_have_freed():
+    """Workers are kept for later stages, and so was the memory of all stages before."""
+    import numpy as np
+
+    from tessera.llm.common import frugal
+
+    held, resident = [], lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    def run(batches):
+        many = [np.ones(8_000) for _ in range(5_000)]
+        held.append(np.ones(8_000))  # above them, so that the C library keeps what lies below
+        yield len(many)
+
+    before = resident()
+    assert list(frugal(run)(iter(()))) == [5_000] and resident() - before < 100
