@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessera.llm.common import write_table
+from tessera.llm.common import frugal, write_table
 from tessera.llm.linking import crowded, link
 
 SHINGLE, LEAST, BANDS, ROWS, K, CHUNK = 5, 0.8, 8, 3, 1 << 16, 1 << 21
@@ -33,49 +33,79 @@ WORDS = re.compile(r"\w+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hasher:
-    """64-bit hashes of words (with fold: of their lower case), kept for words seen; the memory of it is bounded."""
+#: What ASCII has besides word characters, as blanks.
+BLANKS = bytes(i if i > 127 or chr(i).isalnum() or i == 95 else 32 for i in range(256))
+ODD = 32
 
-    def __init__(self, fold: bool = False) -> None:
-        self.seen: dict[str, int] = {}
-        self.fold = fold
 
-    def words(self, found: list[str]) -> np.ndarray:
-        seen, get = self.seen, xxhash.xxh3_64_intdigest
-        if len(seen) > 300_000:
-            seen.clear()
-        for w in set(found).difference(seen):
-            seen[w] = get(w.lower() if self.fold else w)
-        return np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
+def split(text: str | None) -> list[bytes]:
+    """The words of the lower-case text in UTF-8: those of WORDS, which is asked itself only where a text has many signs beyond ASCII."""
+    low = (text or "").lower()
+    if not low.isascii():
+        odd = [c for c in set(low) if c > "\x7f" and not c.isalnum()]
+        if len(odd) > ODD:
+            return [w.encode("utf-8", "surrogatepass") for w in WORDS.findall(low)]
+        for c in odd:
+            low = low.replace(c, " ")
+    return low.encode("utf-8", "surrogatepass").translate(BLANKS).split()
 
-    def shingles(self, found: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles' hashes, ascending, and how often each occurs."""
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = self.words(found)
-        size = min(n, len(h))
-        rolled = h[: len(h) - size + 1].copy()
-        for j in range(1, size):
-            rolled = (rolled ^ (rolled >> np.uint64(31))) * GOLD + h[j : len(h) - size + 1 + j]
-        return np.unique((rolled ^ (rolled >> np.uint64(29))) * GOLD, return_counts=True)
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. Hashing is cheaper than a table of words seen, whose words mostly occur once."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
-def split(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+
+def rolled(found: list[bytes], n: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles, in the order of the text."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = hashes(found)
+    size = min(n, len(h))
+    out = h[: len(h) - size + 1].copy()
+    for j in range(1, size):
+        out = (out ^ (out >> np.uint64(31))) * GOLD + h[j : len(h) - size + 1 + j]
+    return (out ^ (out >> np.uint64(29))) * GOLD
+
+
+def shingles(found: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles' hashes, ascending, and how often each occurs."""
+    return np.unique(rolled(found, n), return_counts=True)
+
+
+class Wanted:
+    """Some hashes, ascending; a table of their leading bits tells most of the others at once."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20) -> None:
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.likely = np.zeros(1 << bits, bool)
+        self.likely[keys >> self.shift] = True
+
+    def maybe(self, x: np.ndarray) -> np.ndarray:
+        return self.likely[x >> self.shift]
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are there, and the places in keys of those."""
+        among = np.flatnonzero(self.maybe(x))
+        if not len(among):
+            return among, among
+        at = np.minimum(np.searchsorted(self.keys, x[among]), len(self.keys) - 1)
+        hit = self.keys[at] == x[among]
+        return among[hit], at[hit]
 
 
 @F.pandas_udf(BinaryType())
 def text_id(text: pd.Series) -> pd.Series:
     """The 128-bit hash of a text's words: what a text is known by, since a doc_id may have several."""
-    return text.map(lambda t: xxhash.xxh3_128_digest(" ".join(split(t))))
+    return text.map(lambda t: xxhash.xxh3_128_digest(b" ".join(split(t))))
 
 
 def summarize(docs: DataFrame, k: int) -> DataFrame:
-    """Of (doc_id, text): a row a document (doc_id, high, low, words, shingles) and rows of counters (shingle, n)."""
+    """Of (doc_id, version, text): a row a document (doc_id, version, high, low, words, shingles) and rows of counters (shingle, n)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
-        names = ["doc_id", "high", "low", "words", "shingles", "shingle", "n"]
+        held, size = [], 0
+        names = ["doc_id", "version", "high", "low", "words", "shingles", "shingle", "n"]
 
         def counters() -> pa.RecordBatch:
             ids, n = np.unique(np.concatenate(held), return_counts=True)
@@ -83,44 +113,45 @@ def summarize(docs: DataFrame, k: int) -> DataFrame:
                 n = n - np.partition(n, len(n) - 4 * k - 1)[len(n) - 4 * k - 1]
             ids, n = ids[n > 0].view(np.int64), n[n > 0]
             none = pa.nulls(len(ids), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(ids), pa.array(n)], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array(ids), pa.array(n)], names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for t in part.column(1).to_pylist():
+                for t in part.column(2).to_pylist():
                     found = split(t)
-                    sh, _ = hasher.shingles(found)
-                    key = np.array([xxhash.xxh3_128_intdigest(" ".join(found)) >> s & 0xFFFFFFFFFFFFFFFF for s in (64, 0)], np.uint64).view(np.int64)
+                    sh = np.sort(rolled(found))
+                    sh = sh[np.append(True, sh[1:] != sh[:-1])] if len(sh) else sh
+                    key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(found)), ">i8")
                     rows.append((int(key[0]), int(key[1]), len(found), len(sh)))
                     held.append(sh)
                     size += len(sh)
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), none, none], names=names)
                 if size >= CHUNK:
                     yield counters()
                     held, size = [], 0
         if size:
             yield counters()
 
-    return docs.mapInArrow(run, "doc_id long, high long, low long, words long, shingles long, shingle long, n long")
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, high long, low long, words long, shingles long, shingle long, n long")
 
 
 def count_exactly(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(shingle, df) of the wanted shingles, over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(Wanted(wanted))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, keys = Hasher(), sent.value
-        n = np.zeros(len(keys), np.int64)
+        keys = sent.value
+        n = np.zeros(len(keys.keys), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                sh, _ = hasher.shingles(split(t))
-                at = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
-                n[at[keys[at] == sh]] += 1
+            for t in batch.column(0):
+                sh = rolled(split(t.as_py()))
+                n[keys.find(np.unique(sh[keys.maybe(sh)]))[1]] += 1
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(n[at])], names=["shingle", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.keys[at].view(np.int64)), pa.array(n[at])], names=["shingle", "df"])
 
     return docs.select("text").mapInArrow(run, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
 
@@ -129,14 +160,12 @@ class Weights:
     """Weights of shingles: factors of the frequent ones, ascending by hash, and the factor of all others."""
 
     def __init__(self, keys: np.ndarray, idf: np.ndarray, rest: float) -> None:
-        self.keys, self.idf, self.rest = keys, idf, rest
+        self.keys, self.idf, self.rest, self.wanted = keys, idf, rest, Wanted(keys)
 
     def of(self, shingles: np.ndarray, tf: np.ndarray) -> np.ndarray:
         idf = np.full(len(shingles), self.rest)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-            hit = self.keys[at] == shingles
-            idf[hit] = self.idf[at[hit]]
+        hit, at = self.wanted.find(shingles)
+        idf[hit] = self.idf[at]
         return tf * idf
 
 
@@ -175,14 +204,15 @@ def sign(docs: DataFrame, weights: Weights) -> DataFrame:
     """(id, weight, keys) of texts: text_id, the total weight and a 64-bit key a band (texts without words have none)."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, draws = Hasher(), tables()
+        draws = tables()
         for batch in batches:
             ids, total, keys = [], [], []
-            for t in batch.column(0).to_pylist():
-                found = split(t)
-                ids.append(xxhash.xxh3_128_digest(" ".join(found)))
-                sh, tf = hasher.shingles(found)
+            for t in batch.column(0):
+                found = split(t.as_py())
+                ids.append(xxhash.xxh3_128_digest(b" ".join(found)))
+                sh, tf = shingles(found)
                 w = sent.value.of(sh, tf)
                 total.append(float(w.sum()))
                 if len(sh):
@@ -203,14 +233,15 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
     sent = pairs.sparkSession.sparkContext.broadcast(weights)
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, va = Hasher(), None, None
+        last, va = None, None
         for batch in batches:
             keep = []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:
-                    va, last = vector(ta.as_py(), hasher, sent.value), a
-                keep.append(weighted_jaccard(va, vector(tb.as_py(), hasher, sent.value)) >= least)
+                    va, last = vector(ta.as_py(), sent.value), a
+                keep.append(weighted_jaccard(va, vector(tb.as_py(), sent.value)) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
@@ -221,20 +252,20 @@ def shingled(texts: DataFrame, weights: Weights) -> DataFrame:
     """(id, shingle, w): the distinct shingles of texts (id, text) with their weights."""
     sent = texts.sparkSession.sparkContext.broadcast(weights)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [vector(t, hasher, sent.value) for t in part.column(1).to_pylist()]
+                found = [vector(t, sent.value) for t in part.column(1).to_pylist()]
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(sh) for sh, _ in found]))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(np.concatenate([sh for sh, _ in found]).view(np.int64)), pa.array(np.concatenate([w for _, w in found]).astype(float))], names=["id", "shingle", "w"])
 
     return texts.select("id", "text").mapInArrow(run, "id binary, shingle long, w double")
 
 
-def vector(text: str, hasher: Hasher, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    sh, tf = hasher.shingles(split(text))
+def vector(text: str, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    sh, tf = shingles(split(text))
     return sh, weights.of(sh, tf)
 
 
@@ -245,9 +276,9 @@ def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.n
 
 
 def fit_weights(docs: DataFrame, k: int = K) -> tuple[Weights, DataFrame]:
-    """The weights of all shingles of docs (doc_id, text), and a row a document with the 128-bit hash of its words."""
+    """The weights of all shingles of docs (doc_id, version, text), and a row a document with the 128-bit hash of its words."""
     seen = write_table(summarize(docs, k), "near-summary")
-    files = seen.filter("shingle is null").select("doc_id", "high", "low", "words", "shingles")
+    files = seen.filter("shingle is null").select("doc_id", "version", "high", "low", "words", "shingles")
     n, w = files.agg(F.count(F.when(F.col("shingles") > 0, 1)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
     floor = w / k
     likely = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * floor).filter("n > 1")
@@ -264,20 +295,22 @@ def fit_weights(docs: DataFrame, k: int = K) -> tuple[Weights, DataFrame]:
 def classify(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """near_dedup with the text_id of each row, by which rows of one doc_id are told apart."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     weights, files = fit_weights(docs)
     wide = lambda c: F.lpad(F.hex(c), 16, "0")
-    files = write_table(files.select("doc_id", F.unhex(F.concat(wide("high"), wide("low"))).alias("id")).distinct(), "near-files")
-    reps = files.groupBy("id").agg(F.min("doc_id").alias("rep_id"))
+    places = write_table(files.select("doc_id", "version", F.unhex(F.concat(wide("high"), wide("low"))).alias("id")), "near-files")
+    files = places.select("doc_id", "id").distinct()
+    reps = places.groupBy("id").agg(F.min("doc_id").alias("rep_id"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version"))).alias("place"))
     own = reps.filter("rep_id is not null").select("id")
     signed = write_table(sign(docs, weights).dropDuplicates(["id"]).join(own, "id", "left_semi"), "near-signed")
     members = crowded(signed.select("id", "weight", F.explode("keys").alias("key")).dropDuplicates(["key", "id"]))
-    # only texts that collide are read again; they are dealt out once, not at each verification
-    wanted = members.select("id").distinct()
-    texts = write_table(docs.select(text_id("text").alias("id"), "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+    # only texts that collide are read again, one of each by its doc_id and version; they are dealt out once, not at each verification
+    wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("place.doc_id", "place.version", "id")
+    texts = write_table(docs.join(wanted, ["doc_id", "version"]).groupBy("id").agg(F.min("text").alias("text")), "near-texts")
     contents = lambda ids: shingled(texts.join(ids, "id", "left_semi"), weights)
     links, classes = link(members, lambda pairs: verified(pairs, texts, weights, least).distinct(), least, contents)
     degree = links.select(F.col("a").alias("id"), "b").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("b"))).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = reps.join(classes, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = reps.drop("place").join(classes, "id", "left").join(degree, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # of a class the row with the smallest doc_id stays, of several texts of that doc_id the one with the smallest id
     first = named.filter("rep_id is not null").groupBy("component").agg(F.min(F.struct("rep_id", "id")).alias("first"))
     named = write_table(named.join(first, "component", "left").select("id", "rep_id", F.col("first.rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("first.id").eqNullSafe(F.col("id")).alias("first")), "near-named")
