@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash, write_table
+from tessera.llm.common import frugal, stash, write_table
 from tessera.llm.linking import crowded, link
-from tessera.llm.near_dedup import GOLD, Hasher
+from tessera.llm.near_dedup import GOLD, hashes, shingles, split
 
 LEAST, RECALL, RUN, NEAR, LEAST_WORDS, SHINGLE = 0.8, 0.98, 20, 16, 20, 5
 WORD = re.compile(r"\w+")
@@ -61,6 +61,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * GOLD
 
 
+class Hasher:
+    """64-bit hashes of the words of texts (with fold: of each word's lower case)."""
+
+    def __init__(self, fold: bool = False) -> None:
+        self.fold = fold
+
+    def words(self, text: str) -> list[bytes]:
+        """The lower case of a whole text is that of its words, but for two letters; with fold a word counts by itself."""
+        if self.fold and ("İ" in text or "Σ" in text):
+            return [w.lower().encode("utf-8", "surrogatepass") for w in WORD.findall(text)]
+        return split(text)
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        return hashes([w for t in texts for w in self.words(t)])
+
+
 @dataclass
 class Words:
     """The words of texts one after another.
@@ -88,17 +104,23 @@ class Words:
 def read(texts: list[str], hasher: Hasher) -> Words:
     """hasher: one with fold, so that a word counts by its lower case. Texts are read together, each ended by a line end."""
     whole = "\n".join([*texts, ""])
-    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], word_marks()[codes], [False]]).view(np.int8)))
+    if whole.isascii():
+        codes = np.frombuffer(whole.encode("ascii"), np.uint8)
+    else:
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = word_marks().take(codes)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the last code is a line end
+    edges = np.append(0, edges) if len(inside) and inside[0] else edges
     start, end = edges[::2], edges[1::2]
-    h = hasher.words(WORD.findall(whole))
+    h = hasher.texts(texts)
     size = max(10, int(len(h)).bit_length())
     sums = tuple(np.concatenate([np.zeros(1, np.uint64), np.cumsum((h if k == 0 else mix(h)) * powers(BASES[k], size)[0][: len(h)], dtype=np.uint64)]) for k in (0, 1))
-    line = np.searchsorted(np.flatnonzero(codes == 10), start)
+    ends = np.searchsorted(start, np.flatnonzero(codes == 10))  # words before each line end
+    line = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     first = np.flatnonzero(np.diff(line, prepend=-1))
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
-    text = np.searchsorted(begin, start, side="right") - 1
-    origin = np.searchsorted(text, np.arange(len(texts)))
+    origin = np.searchsorted(start, begin[:-1])
+    text = np.repeat(np.arange(len(texts)), np.diff(origin, append=len(start)))
     return Words(start - begin[text], end - begin[text], sums, text, origin[text], line, first, np.append(first[1:], len(start)) if len(start) else first)
 
 
@@ -163,6 +185,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """
     names = ["doc_id", "version", "w0", "w1", "start", "end", "node", "weight", "keys"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=True)
         odd = np.random.default_rng(7).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,6 +214,7 @@ def windows(docs: DataFrame) -> DataFrame:
     """(h1, h2, doc_id, version, w0, start, end) of the marked windows."""
     names = ["h1", "h2", "doc_id", "version", "w0", "start", "end"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(fold=True)
         for batch in batches:
@@ -205,29 +229,30 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, text) of the wanted nodes: their lower-case words; one text of equal nodes."""
+    """(id, text) of nodes (doc_id, version, start, end, id), each cut from its own document; no other text is looked at."""
+    spans = nodes.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end", "id")).alias("spans"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(fold=True)
         for batch in batches:
-            for _, texts in parts(batch, 2):
-                w = read(texts, hasher)
-                found = [x.lower() for t in texts for x in WORD.findall(t)]
-                lines = [" ".join(found[a:b]) for a, b in zip(w.first.tolist(), w.last.tolist())]
-                yield pa.RecordBatch.from_arrays([binary(w.spans(w.first, w.last, 0), w.spans(w.first, w.last, 1)), pa.array(lines, pa.string())], names=["id", "text"])
+            for text, spans in zip(batch.column(0), batch.column(1)):
+                t, found = text.as_py(), spans.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in found], pa.binary()), pa.array([t[x["start"] : x["end"]] for x in found], pa.string())], names=["id", "text"])
 
-    return docs.mapInArrow(run, "id binary, text string").join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    # a row that is there twice gives the same text
+    return docs.join(spans, ["doc_id", "version"]).select("text", "spans").mapInArrow(run, "id binary, text string").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def verify_jaccard(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(fold=True)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                sx, sy = (hasher.shingles(t.as_py().split(" "), SHINGLE)[0] for t in (x, y))
+                sx, sy = (shingles(hasher.words(t.as_py()), SHINGLE)[0] for t in (x, y))
                 both = len(np.intersect1d(sx, sy, assume_unique=True))
                 keep.append(both >= least * (len(sx) + len(sy) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -238,10 +263,11 @@ def verify_jaccard(pairs: DataFrame, texts: DataFrame, least: float) -> DataFram
 def shingled(texts: DataFrame) -> DataFrame:
     """(id, shingle, w): the distinct shingles of texts (id, text), of weight 1."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher = Hasher(fold=True)
         for batch in batches:
-            found = [hasher.shingles(t.as_py().split(" "), SHINGLE)[0] for t in batch.column(1)]
+            found = [shingles(hasher.words(t.as_py()), SHINGLE)[0] for t in batch.column(1)]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.ones(len(owner)))], names=["id", "shingle", "w"])
 
@@ -251,11 +277,12 @@ def shingled(texts: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, version, w0, w1, start, end, class_id, first) of the lines whose class has two documents; first: its first (doc_id, w0)."""
     units = write_table(paragraphs(docs, *tune(least)), "sub-lines")
-    place = F.struct("doc_id", "w0")
-    nodes = units.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(place).alias("first"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
-    nodes = write_table(nodes, "sub-nodes")
+    place = F.struct("doc_id", "w0", "version", "start", "end")
+    nodes = units.groupBy("node").agg(F.max("doc_id").alias("high"), F.min(place).alias("at"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
+    nodes = write_table(nodes.select("node", F.col("at.doc_id").alias("low"), "high", F.struct("at.doc_id", "at.w0").alias("first"), "at", "weight", "keys"), "sub-nodes")
     members = crowded(nodes.select(F.col("node").alias("id"), "weight", F.explode(F.array_distinct("keys")).alias("key")))
-    texts = write_table(node_texts(docs, members.select("id").distinct()), "sub-texts")
+    wanted = nodes.select(F.col("node").alias("id"), "at").join(members.select("id").distinct(), "id", "left_semi")
+    texts = write_table(node_texts(docs, wanted.select("at.doc_id", "at.version", "at.start", "at.end", "id")), "sub-texts")
     _, classes = link(members, lambda pairs: verify_jaccard(pairs, texts, least), least, lambda ids: shingled(texts.join(ids, "id", "left_semi")))
     named = nodes.select("node", "low", "high", "first").join(classes.withColumnsRenamed({"id": "node", "component": "class_id"}), "node", "left")
     linked = named.filter(F.col("class_id").isNotNull())

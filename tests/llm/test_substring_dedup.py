@@ -182,3 +182,18 @@ def test_a_very_long_text(spark):
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000))
     got = sd.repeated_passages(frame(spark, [(1, long), (2, "x " + long[100_000:101_000])])).collect()
     assert {r["doc_id"] for r in got} == {1, 2}
+
+
+def test_words_as_the_pattern_finds_them():
+    """Also that the lower case of a text has the words of the text: no other letter than these two changes what is a word."""
+    hasher = sd.Hasher(fold=True)
+    assert all(len(x) == 1 and x.isalnum() == c.isalnum() for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c != "İ" for x in [c.lower()])
+    for t in ["", "ὈΔΥΣΣΕΎΣ İx Straße_ÉCOLE", "naïve “café” — ÉCOLE 9½", "a\x1cb\x85c\u2028d", "日本語 текст עברית 😀", " ".join(f"a{chr(c)}b" for c in range(0x2000, 0x2100))]:
+        assert hasher.words(t) == [w.lower().encode() for w in sd.WORD.findall(t)], t
+
+
+def test_only_documents_of_wanted_lines_are_cut(spark):
+    """A node's text is the span of its own document, so that nothing else is split into words again."""
+    docs = spark.createDataFrame([(1, 5, "ab cd\nEF É gh"), (1, 6, "other text"), (2, 5, "never"), (1, 5, "ab cd\nEF É gh")], "doc_id long, version int, text string")
+    nodes = spark.createDataFrame([(1, 5, 6, 13, b"x"), (1, 6, 0, 5, b"y")], "doc_id long, version int, start int, end int, id binary")
+    assert sorted((bytes(r["id"]), r["text"]) for r in sd.node_texts(docs, nodes).collect()) == [(b"x", "EF É gh"[:7]), (b"y", "other")]
