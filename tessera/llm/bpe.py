@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import frugal, write_table
+from tessera.llm.common import frugal, give_back, joined, write_table
 
 #: Bounds of the broadcast words (number, bytes, longest in characters), the distinct words a task counts before it flushes, buckets of words a partition, and places of a word in a row.
 HEAD, HEAD_BYTES, HEAD_CHARS, FLUSH, BUCKETS, PLACES = 1 << 19, 1 << 26, 4096, 250_000, 8, 256
@@ -173,7 +173,7 @@ def spelled(rows: DataFrame, path: str) -> DataFrame:
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece) of the tokenizer's vocabulary: a table of fixed size, whatever the input."""
     rows = codec(path).pieces
-    return spark.createDataFrame(list(enumerate(rows.tolist())), "id int, piece string")
+    return spark.createDataFrame(pa.table({"id": np.arange(len(rows), dtype=np.int32), "piece": pa.array(rows, pa.string())}))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -234,8 +234,8 @@ def head_cut(words: DataFrame, bound: int = HEAD) -> float:
 class Numbers:
     """Numbers of the broadcast words, most frequent first. They travel as one text."""
 
-    def __init__(self, words: list[str]) -> None:
-        self.size, self.text = len(words), "\n".join(words)
+    def __init__(self, words: pa.Array) -> None:
+        self.size, self.text = len(words), joined(words)
 
     def __getstate__(self) -> tuple[int, str]:
         return self.size, self.text
@@ -260,11 +260,11 @@ class Numbers:
 class Spelling:
     """Ids of the broadcast words one after another, and their decoded texts. The texts travel as one."""
 
-    def __init__(self, ids: list[bytes], texts: list[str], kind: np.dtype) -> None:
+    def __init__(self, ids: pa.Array, texts: pa.Array, kind: np.dtype) -> None:
         self.kind = kind  # of ids, in words' bytes
-        self.ends = np.concatenate([[0], np.cumsum([len(x) // kind.itemsize for x in ids], dtype=np.int64)])
-        self.flat = np.frombuffer(b"".join(ids), kind).astype("<u4")
-        self.size, self.joined = len(texts), "\n".join(texts)
+        self.ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False) // kind.itemsize, dtype=np.int64)])
+        self.flat = np.frombuffer(joined(ids, b""), kind).astype("<u4")
+        self.size, self.joined = len(texts), joined(texts)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "texts"}
@@ -331,14 +331,19 @@ def encode_documents(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     code = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), width, "0")), ""))
     words = write_table(word_counts(docs.select("text"), path), "bpe-words")
     cut = head_cut(words, head)
-    found: list[tuple[int, str, bytes, str]] = []
+    found = pa.table({"n": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})
     if cut < float("inf"):
         frequent = words.filter((F.floor(F.log2("n") * 4) >= F.lit(cut)) & (F.char_length("word") <= HEAD_CHARS))
         known = decode(spelled(frequent.select("word", "n", F.col("word").alias("name")), path), path)
         got = known.select(F.explode("places").alias("p"), code.alias("ids"), "decoded").select("p.n", "p.name", "ids", "decoded").toArrow()
-        found = sorted(zip(*(c.to_pylist() for c in got.columns)), key=lambda r: (-r[0], r[1]))
-    numbers, spelling = (spark.sparkContext.broadcast(x) for x in (Numbers([r[1] for r in found]), Spelling([r[2] for r in found], [r[3] for r in found], kind)))
-    del found
+        found = got.sort_by([("n", "descending"), ("name", "ascending")])
+        del got
+    # the columns stay Arrow's: a Python object for each word and spelling would be most of what the driver holds
+    name, ids, decoded = (found[c].combine_chunks() for c in ("name", "ids", "decoded"))
+    numbers = spark.sparkContext.broadcast(Numbers(name))
+    spelling = spark.sparkContext.broadcast(Spelling(ids, decoded, kind))
+    del found, name, ids, decoded
+    give_back()
 
     @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Encoding and decoding against the tokenizers library itself."""
 
 import os
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -84,3 +86,20 @@ def test_documents_are_split_once_after_counting(spark, library, tmp_path):
     check(got, dict(rows), library)
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(got) == len(rows) and plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
+def test_driver_holds_no_object_for_each_word(spark, library):
+    """The broadcast words, ids and spellings stay Arrow columns on the driver, some ten bytes each, until they are one text."""
+    some, size = random.Random(3), 40_000
+    words = ["".join(some.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(size)]
+    texts = [" ".join(words[i::100]) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bpe.codec(word_bpe())
+    tracemalloc.start()
+    try:
+        df = bpe.encode_documents(docs, word_bpe())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160 * size
+    check([tuple(r) for r in df.collect()], texts, library)
