@@ -10,21 +10,21 @@ counts) are broadcast, the others are joined by a shuffle, once a document, and
 from __future__ import annotations
 
 import functools
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import segments
-from tessera.llm.common import drop_table, write_table
+from tessera.llm.common import drop_table, frugal, give_back, joined, write_table
 
-#: Bounds of the broadcast segments (number, bytes, longest), of the broadcast id pairs, and the distinct segments that a task counts before it flushes.
-HEAD, HEAD_BYTES, HEAD_LONGEST, HEAD_PAIRS, FLUSH = 1 << 19, 1 << 26, 1024, 1 << 16, 1_500_000
-#: What is known of a segment, in the order of Head's arrays.
+#: Bounds of the broadcast segments (number, bytes, longest), of the broadcast id pairs, the distinct segments that a task counts before it flushes, and the bytes of text cut at once.
+HEAD, HEAD_BYTES, HEAD_LONGEST, HEAD_PAIRS, FLUSH, SLICE = 1 << 19, 1 << 26, 1024, 1 << 16, 1 << 20, 1 << 20
+#: What is known of a segment, in the order of Composer's columns.
 FACTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -99,7 +99,7 @@ def vocabularies(byte_path: str, piece_path: str) -> Vocabularies:
 
 def pieces(both: Vocabularies, batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """The batch a slice at a time: row of its first text, buffer, where texts and where segments start, and where segments end."""
-    for first, raw in segments.slices(batch, column):
+    for first, raw in segments.slices(batch, column, SLICE):
         texts = [b" " + t if (t := both.text(x.decode())) else b"" for x in raw]
         buffer, bounds = segments.join(texts)
         starts = segments.cut(buffer, bounds)
@@ -109,6 +109,7 @@ def pieces(both: Vocabularies, batch: pa.RecordBatch, column: int) -> Iterator[t
 def count_segments(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """(segment, n): the distinct segments of all texts that have tokens. A task counts before it sends."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, table, found = vocabularies(byte_path, piece_path), segments.Numbers(), []
         counts = np.zeros(1 << 16, np.int64)
@@ -136,6 +137,7 @@ def count_segments(texts: DataFrame, byte_path: str, piece_path: str) -> DataFra
 def align_segments(counted: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """counted with n_a, n_b, n_groups, groups, and the ids a and b that each link joins."""
 
+    @frugal
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(byte_path, piece_path)
         for whole in batches:
@@ -189,31 +191,48 @@ def head_cut(scored: DataFrame, bound: int) -> float:
     return cut
 
 
-class Head:
-    """The broadcast segments, most frequent first, their facts and groups. The table to find them is built in the worker."""
+class Finder:
+    """Numbers of the broadcast segments, most frequent first. They travel as one buffer; the table to find them is built in the worker."""
 
-    def __init__(self, words: list[bytes], groups: list[str], facts: np.ndarray) -> None:
-        self.words, self.groups, self.facts = words, groups, facts
+    def __init__(self, words: pa.Array) -> None:
+        self.size, self.sizes = len(words), pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.whole = joined(words, b"") + bytes(segments.PAD)
         self.table: segments.Numbers | None = None
 
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "table": None}
+    def build(self, chunk: int = 1 << 16) -> None:
+        """A chunk at a time, so that little beside the table is held; the buffer goes."""
+        self.table, self.rank = segments.Numbers(), np.empty(self.size, np.int32)
+        bounds = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        for at in range(0, self.size, chunk):
+            to = min(self.size, at + chunk)
+            numbers, _ = self.table.number(self.whole, bounds[at:to], bounds[at + 1 : to + 1])
+            self.rank[numbers] = np.arange(at, to, dtype=np.int32)
+        self.whole, self.sizes = b"", self.sizes[:0]
 
     def number(self, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Each segment's number, and the segments beyond the broadcast ones, which are numbered from size on."""
         if self.table is None:
-            self.table = segments.Numbers()
-            whole, bounds = segments.join(self.words)
-            numbers, _ = self.table.number(whole, bounds[:-1], bounds[1:])
-            self.rank = np.empty(len(numbers) + 1, np.int64)[:-1]
-            self.rank[numbers] = np.arange(len(numbers))
-            self.spelled = np.array([*self.groups, None], object)[:-1]
+            self.build()
         numbers, fresh = self.table.number(buffer, starts, ends, grow=False)
-        known = numbers < len(self.words)
+        known = numbers < self.size
         numbers = numbers.astype(np.int64)
         numbers[known] = self.rank[numbers[known]]
         return numbers, fresh
 
 
+class Composer:
+    """Facts and groups of the broadcast segments, in the order of their numbers. The groups travel as one text."""
+
+    def __init__(self, groups: pa.Array, facts: np.ndarray) -> None:
+        self.size, self.text, self.facts = len(groups), joined(groups), facts
+
+    @functools.cached_property
+    def groups(self) -> np.ndarray:
+        found = np.array([*(self.text.split("\n") if self.size else []), None], object)[:-1]
+        self.text = ""
+        return found
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers byte by byte, low bytes first, compressed: frequent segments have small ones."""
     return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
@@ -241,21 +260,26 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, head: int
     drop_table(pairs)
     cut = head_cut(scored, head)
     frequent = (head_level(F.col("n")) >= F.lit(cut)) & (F.octet_length("segment") <= HEAD_LONGEST)
-    rows = scored.filter(frequent).orderBy(F.desc("n"), "segment").select("segment", "groups", *FACTS).toLocalIterator() if cut < float("inf") else iter(())
-    words, spelled, facts = [], [], array("q")
-    for r in rows:
-        words.append(bytes(r[0]))
-        spelled.append(r[1])
-        facts.extend(r[2:])
-    sent = spark.sparkContext.broadcast(Head(words, spelled, np.array(facts, np.int64).reshape(-1, len(FACTS))))
-
+    columns = ["n", "segment", "groups", *FACTS]
+    if cut < float("inf"):
+        found = scored.filter(frequent).select(columns).toArrow().sort_by([("n", "descending"), ("segment", "ascending")])
+    else:
+        found = pa.table({c: pa.array([], {"segment": pa.binary(), "groups": pa.string()}.get(c, pa.int64())) for c in columns})
+    # two parts, of which a stage loads one; the columns stay Arrow's until then
+    finder = spark.sparkContext.broadcast(Finder(found["segment"].combine_chunks()))
+    facts = np.stack([found[f].to_numpy().astype(np.int64) for f in FACTS], axis=1)
+    composer = spark.sparkContext.broadcast(Composer(found["groups"].combine_chunks(), facts))
+    del found, facts
+    give_back()
+
+    @frugal
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, near = vocabularies(byte_path, piece_path), sent.value
+        both, near = vocabularies(byte_path, piece_path), finder.value
         for batch in batches:
             for first, buffer, bounds, starts, ends in pieces(both, batch, 1):
                 numbers, fresh = near.number(buffer, starts, ends)
                 at = np.searchsorted(starts, bounds)
-                size, blobs, rare = len(near.words), [], []
+                size, blobs, rare = near.size, [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     mine = numbers[a:b].copy()
                     far = np.flatnonzero(mine >= size)
@@ -271,23 +295,23 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, head: int
     whole = split_docs.select("row", "doc_id", "packed").join(filled, "row", "left").select("doc_id", "packed", "fill")
     names = [*FACTS, "groups"]
 
+    @frugal
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = sent.value
-        head_groups = np.array([*near.groups, None], object)[:-1]
+        near = composer.value
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
                 sums, texts = np.zeros((batch.num_rows, len(FACTS)), np.int64), []
                 for i, (blob, fill) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                     numbers = unpacked(blob)
-                    mine, groups = near.facts, head_groups
-                    far = numbers >= len(near.words)
+                    mine, groups = near.facts, near.groups
+                    far = numbers >= near.size
                     text = np.empty(len(numbers), object)
                     text[~far] = groups[numbers[~far]]
                     sums[i] = mine[numbers[~far]].sum(axis=0)
                     if fill:
                         fill = sorted(fill, key=lambda x: x["at"])
-                        which = numbers[far] - len(near.words)
+                        which = numbers[far] - near.size
                         text[far] = np.array([*(x["groups"] for x in fill), None], object)[which]
                         sums[i] += np.array([[x[f] for f in FACTS] for x in fill], np.int64)[which].sum(axis=0)
                     texts.append(";".join(text.tolist()))

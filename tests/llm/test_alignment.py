@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+import tracemalloc
 from collections import Counter
 from itertools import accumulate
 
@@ -90,3 +92,34 @@ def test_empty_table(spark):
 def test_query_on_documents(spark):
     docs = table(spark, SF, "documents")
     assert sorted(run(spark, docs), key=str) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_broadcast_segments_are_no_objects_and_travel_in_parts(spark, monkeypatch):
+    """The driver holds Arrow columns, and neither stage's workers load what only the other one needs."""
+    some, size, sent = random.Random(5), 30_000, []
+    words = ["".join(some.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(size)]
+    docs = spark.createDataFrame([(i, " ".join(words[i::50])) for i in range(50)], "doc_id long, text string").repartition(4)
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(vars(value).copy()) or broadcast(sc, value))
+    tracemalloc.start()
+    try:
+        alignment.align_documents(docs, byte_bpe(), piece_bpe())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 280 * size
+    assert len(sent) == 2 and not any(isinstance(x, (list, dict)) for parts in sent for x in parts.values())
+    assert not {"groups", "text", "facts"} & sent[0].keys() and not {"whole", "table"} & sent[1].keys()
+
+
+def test_number_of_broadcast_segments_by_chunks():
+    import numpy as np
+    import pyarrow as pa
+
+    words = [b" w%d" % i + b"x" * (i % 23) for i in range(500)]
+    finder = alignment.Finder(pa.array(words))
+    finder.build(64)
+    whole, bounds = alignment.segments.join([*words[::-1], b" new", b" newer and longer than that", b" new"])
+    numbers, fresh = finder.number(whole, bounds[:-1], bounds[1:])
+    assert numbers.tolist()[:500] == list(range(500))[::-1] and fresh == [b" new", b" newer and longer than that"]
+    assert numbers.tolist()[500:] == [500, 501, 500] and np.array_equal(np.sort(finder.rank), np.arange(500))
