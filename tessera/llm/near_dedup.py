@@ -38,16 +38,20 @@ BLANKS = bytes(i if i > 127 or chr(i).isalnum() or i == 95 else 32 for i in rang
 ODD = 32
 
 
-def split(text: str | None) -> list[bytes]:
-    """The words of the lower-case text in UTF-8: those of WORDS, which is asked itself only where a text has many signs beyond ASCII."""
+def spelled(text: str | None) -> bytes:
+    """The words of the lower-case text in UTF-8, blanks between them: those of WORDS, which is asked itself only where a text has many signs beyond ASCII."""
     low = (text or "").lower()
     if not low.isascii():
         odd = [c for c in set(low) if c > "\x7f" and not c.isalnum()]
         if len(odd) > ODD:
-            return [w.encode("utf-8", "surrogatepass") for w in WORDS.findall(low)]
+            return " ".join(WORDS.findall(low)).encode("utf-8", "surrogatepass")
         for c in odd:
             low = low.replace(c, " ")
-    return low.encode("utf-8", "surrogatepass").translate(BLANKS).split()
+    return low.encode("utf-8", "surrogatepass").translate(BLANKS)
+
+
+def split(text: str | None) -> list[bytes]:
+    return spelled(text).split()
 
 
 def hashes(words: list[bytes]) -> np.ndarray:

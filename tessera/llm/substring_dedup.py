@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import frugal, stash, write_table
 from tessera.llm.linking import crowded, link
-from tessera.llm.near_dedup import GOLD, hashes, shingles, split
+from tessera.llm.near_dedup import GOLD, hashes, shingles, spelled
+from tessera.llm.segments import PAD, Numbers
 
 LEAST, RECALL, RUN, NEAR, LEAST_WORDS, SHINGLE = 0.8, 0.98, 20, 16, 20, 5
 WORD = re.compile(r"\w+")
@@ -61,20 +62,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * GOLD
 
 
+def word_hashes(buffer: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a buffer, which blanks part; it begins with one and ends with PAD of them.
+
+    Of words of up to 16 bytes, each distinct one is hashed once; equal ones are found all together, by their bytes and length.
+    """
+    inside = np.frombuffer(buffer, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    low, high = Numbers.keys(buffer, start, size)
+    key = mix(mix(low + size.astype(np.uint64) * np.uint64(BASES[1])) + high * np.uint64(BASES[0]))
+    _, lead, back = np.unique(key, return_index=True, return_inverse=True)
+    of = lambda at: hashes([buffer[a : a + n] for a, n in zip(start[at].tolist(), size[at].tolist())])
+    out, first = of(lead)[back], lead[back]
+    other = np.flatnonzero((size > 16) | (size != size[first]) | (low != low[first]) | (high != high[first]))
+    if len(other):
+        out[other] = of(other)
+    return out
+
+
 class Hasher:
     """64-bit hashes of the words of texts (with fold: of each word's lower case)."""
 
     def __init__(self, fold: bool = False) -> None:
         self.fold = fold
 
-    def words(self, text: str) -> list[bytes]:
+    def spelled(self, text: str) -> bytes:
         """The lower case of a whole text is that of its words, but for two letters; with fold a word counts by itself."""
         if self.fold and ("İ" in text or "Σ" in text):
-            return [w.lower().encode("utf-8", "surrogatepass") for w in WORD.findall(text)]
-        return split(text)
+            return " ".join(w.lower() for w in WORD.findall(text)).encode("utf-8", "surrogatepass")
+        return spelled(text)
+
+    def words(self, text: str) -> list[bytes]:
+        return self.spelled(text).split()
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        return hashes([w for t in texts for w in self.words(t)])
+        return word_hashes(b" ".join([b"", *map(self.spelled, texts), b" " * PAD]))
 
 
 @dataclass
@@ -138,18 +161,25 @@ def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[t
 
 
 def line_shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the line, shingle), ascending and distinct, of the lines with words; a short line is one shingle."""
+    """(number of the line, shingle), distinct and ascending by line, of the lines with words; a short line is one shingle."""
     at = np.arange(max(0, len(w.start) - SHINGLE + 1))
     at = at[w.line[at] == w.line[at + SHINGLE - 1]]
     short = np.flatnonzero(w.last - w.first < SHINGLE)
     index = np.repeat(np.arange(len(w.first)), w.last - w.first)
     line = np.concatenate([index[at], short])
     shingle = np.concatenate([w.spans(at, at + SHINGLE, 0), w.spans(w.first[short], w.last[short], 0)])
-    order = np.lexsort((shingle, line))
+    order = np.argsort(line, kind="stable")  # two ascending runs
     line, shingle = line[order], shingle[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (shingle[1:] != shingle[:-1])
-    return line[new], shingle[new]
+    mixed = mix(shingle + line.astype(np.uint64) * GOLD)
+    ranked = np.sort(mixed)
+    again = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if len(again):  # few lines have a shingle twice
+        some = np.flatnonzero(np.isin(mixed, again))
+        some = some[np.lexsort((shingle[some], line[some]))]
+        keep = np.ones(len(line), bool)
+        keep[some[1:][(line[some[1:]] == line[some[:-1]]) & (shingle[some[1:]] == shingle[some[:-1]])]] = False
+        line, shingle = line[keep], shingle[keep]
+    return line, shingle
 
 
 def marks(w: Words, run: int = RUN, near: int = NEAR) -> np.ndarray:

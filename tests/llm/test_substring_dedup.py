@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import substring_dedup as sd
@@ -197,3 +198,27 @@ def test_only_documents_of_wanted_lines_are_cut(spark):
     docs = spark.createDataFrame([(1, 5, "ab cd\nEF É gh"), (1, 6, "other text"), (2, 5, "never"), (1, 5, "ab cd\nEF É gh")], "doc_id long, version int, text string")
     nodes = spark.createDataFrame([(1, 5, 6, 13, b"x"), (1, 6, 0, 5, b"y")], "doc_id long, version int, start int, end int, id binary")
     assert sorted((bytes(r["id"]), r["text"]) for r in sd.node_texts(docs, nodes).collect()) == [(b"x", "EF É gh"[:7]), (b"y", "other")]
+
+
+def test_each_distinct_word_is_hashed_once(monkeypatch):
+    """Equal short words are hashed once, wherever they are, and every word has the hash it has alone."""
+    texts = ["The cat, the CAT_7 x\u00e9\u00c9 \u65e5\u672c a\u2014b", "", "\u03a3\u0399\u03a3 \u0130x the", "a b ab ba " + "".join(map(chr, range(0x2010, 0x2040))) + " cat", "w" * 16 + " " + "v" * 15, "a\x1cb\x00c"]
+    real, asked = sd.hashes, []
+    monkeypatch.setattr(sd, "hashes", lambda words: asked.extend(words) or real(words))
+    hasher = sd.Hasher(fold=True)
+    words = [w.lower().encode() for t in texts for w in sd.WORD.findall(t)]
+    assert hasher.texts(texts).tolist() == real(words).tolist()
+    assert sorted(asked) == sorted(set(words)) and len(words) > len(set(words))
+    far = ["q" * 17, "q" * 16, "q" * 18, "q" * 17, "q" * 16 + "r"]
+    assert hasher.texts([" ".join(far), ""]).tolist() == real([w.encode() for w in far]).tolist()
+    assert len(hasher.texts([])) == len(hasher.texts(["", " ,"])) == 0
+
+
+def test_shingles_of_a_line_are_distinct():
+    texts = ["a b c d e a b c d e a b c d e f\nshort line\na b c d e f g", "short line\na b c d e f"]
+    w = sd.read(texts, sd.Hasher(fold=True))
+    line, shingle = sd.line_shingles(w)
+    lines = [x.split() for t in texts for x in t.split("\n")]
+    want = [len({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}) for x in lines]
+    assert np.bincount(line).tolist() == want and np.all(np.diff(line) >= 0)
+    assert len(set(zip(line.tolist(), shingle.tolist()))) == len(line)
