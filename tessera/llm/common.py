@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +43,7 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path  # type: ignore[attr-defined]
+    settle(spark)
     return out
 
 
@@ -67,6 +70,24 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: When settle last ran, and the seconds between two runs at least.
+_settled, SETTLE_S = float("-inf"), 10.0
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets the driver go of plans, shuffles and broadcasts of jobs that have ended, at most once in SETTLE_S seconds.
+
+    Its JVM would rather grow to its whole heap than collect them, and Python, whose frames refer to them, would keep what it has freed.
+    """
+    global _settled
+    if time.monotonic() - _settled < SETTLE_S:
+        return
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    give_back()
+    _settled = time.monotonic()
+
+
 def joined(texts: pa.Array, between: str | bytes = "\n") -> str | bytes:
     """The texts (or bytes, as between is) as one, made by Arrow: an object a text takes many times its room."""
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), pa.scalar(between, texts.type))[0].as_py()

@@ -81,9 +81,9 @@ def hit_filter(hits: DataFrame, bits: int = HIT_BITS) -> np.ndarray:
             at = np.unique(probes(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "mask"])
 
-    got = hits.select("digest").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    got = hits.select("digest").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    out[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     return out.view(np.uint8)
 
 

@@ -286,10 +286,10 @@ def fit_weights(docs: DataFrame, k: int = K) -> tuple[Weights, DataFrame]:
     n, w = files.agg(F.count(F.when(F.col("shingles") > 0, 1)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
     floor = w / k
     likely = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= 0.75 * floor).filter("n > 1")
-    keys = np.sort(likely.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))  # at most K / 0.75 of them
-    got = count_exactly(docs, keys).toPandas() if len(keys) else None
-    df = got["df"].to_numpy(float) if got is not None else np.zeros(0)
-    ids = got["shingle"].to_numpy(np.int64).view(np.uint64) if got is not None else np.zeros(0, np.uint64)
+    keys = np.sort(likely.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))  # at most K / 0.75 of them
+    got = count_exactly(docs, keys).toArrow() if len(keys) else None
+    df = got["df"].to_numpy().astype(float) if got is not None else np.zeros(0)
+    ids = got["shingle"].to_numpy().view(np.uint64) if got is not None else np.zeros(0, np.uint64)
     order = np.argsort(ids)
     lowest = max(floor, 1.0)
     most = np.log(1 + max(n, 1) / lowest)

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import frugal, held_out, write_table
+from tessera.llm.common import frugal, held_out, joined, write_table
 
 #: Bounds of the fit; they are parameters of fit() and do not depend on the input.
 NGRAMS, BITS, PER_CLASS, FEATURES, RIDGE = (3, 4, 5, 6), 18, 8192, 8192, 1e-3
@@ -77,18 +78,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "n0", "n1"])
 
-    counts = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    counts = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = np.zeros(1 << BITS)
     if not size.get(0) or not size.get(1):  # one class or no rows: every text has that class's score
         return Model(weights, {(): -40.0, (0,): -40.0, (1,): 40.0}[tuple(sorted(k for k, n in size.items() if n))])
-    n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
+    bucket, n0, n1 = (counts[c].to_numpy() for c in ("bucket", "n0", "n1"))
+    del counts
+    n0, n1 = n0.astype(float), n1.astype(float)
     big0, big1 = size[0], size[1]
     ratio = np.log((n1 + 1) / (big1 + 2)) - np.log((n0 + 1) / (big0 + 2))
     seen, total = n0 + n1, big0 + big1
     chi = (n1 * (big0 - n0) - n0 * (big1 - n1)) ** 2 * total / (big0 * big1 * seen * np.maximum(total - seen, 1))
-    order = np.lexsort((counts["bucket"].to_numpy(), -chi))[:features]
-    at, r = counts["bucket"].to_numpy(np.int64)[order], ratio[order]
+    order = np.lexsort((bucket, -chi))[:features]
+    at, r = bucket[order], ratio[order]
     place = np.full(1 << BITS, -1, np.int32)
     place[at] = np.arange(len(at))
     sent = spark.sparkContext.broadcast(place)
@@ -100,10 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
             kept = [(p := sent.value[buckets(t, scratch)])[p >= 0].astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["toxic", "x"])
 
-    got = rows.mapInArrow(select, "toxic int, x binary").toPandas().sort_values(["toxic", "x"])
-    y, starts = got["toxic"].to_numpy(float), np.concatenate([[0], np.cumsum(got["x"].map(len).to_numpy(np.int64) // 2)])
-    flat = np.frombuffer(b"".join(got["x"]), "<u2")  # two bytes a feature of a row are all the driver holds of the sample
-    del got
+    got = rows.mapInArrow(select, "toxic int, x binary").toArrow().sort_by([("toxic", "ascending"), ("x", "ascending")])
+    y, x = got["toxic"].to_numpy().astype(float), got["x"].combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.binary_length(x).to_numpy().astype(np.int64) // 2)])
+    flat = np.frombuffer(joined(x, b""), "<u2")  # two bytes a feature of a row are all the driver holds of the sample
+    del got, x
     w, bias = logistic(flat, starts, y, r)
     weights[at] = w * r
     return Model(weights, bias - threshold(flat, starts, y, r, np.append(w, bias)))
